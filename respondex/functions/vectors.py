@@ -43,7 +43,7 @@ def matrix_of(vectors: pa.Array, dim: int) -> np.ndarray:
         raise ValueError(f"vector of length {bad}, expected {dim}")
     if flat.null_count:
         raise ValueError("vector with a null element")
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(present), dim)
 
 
 def distances(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:

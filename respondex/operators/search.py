@@ -35,6 +35,7 @@ def search(
     key: str = STUDENT_KEY,
     questions: Sequence[str] = QUESTIONS,
     include_embedding: bool = True,
+    route: str = "auto",
 ) -> DataFrame:
     """The answers nearest to ``vector``, nearest first.
 
@@ -42,11 +43,22 @@ def search(
     a row without any comes once, with NULL distance and NULL text, after all others.
     ``limit`` counts result rows; 0 or less means all. Filter ``survey`` first to search
     among some students only. Nothing runs before the caller acts.
+
+    ``route`` is "direct" (join, then rank), "narrow" (rank keys, then fetch the winners)
+    or "auto": direct if Spark would broadcast the survey anyway or all rows are wanted.
+    Both give the same rows.
     """
+    if route not in ("auto", "direct", "narrow"):
+        raise ValueError(f"unknown route {route!r}")
+    if route == "narrow" and not 0 < limit <= MAX_TOP:
+        raise ValueError(f"the narrow route takes a limit from 1 to {MAX_TOP}")
+    if route == "auto":
+        ranked = 0 < limit <= MAX_TOP and not fits_auto_broadcast(survey)
+        route = "narrow" if ranked else "direct"
     found = (
-        _top(survey, embeddings, vector, limit, key)
-        if 0 < limit <= MAX_TOP
-        else _everything(survey, embeddings, vector, key)
+        _narrow(survey, embeddings, vector, limit, key)
+        if route == "narrow"
+        else _direct(survey, embeddings, vector, key)
     )
     columns = [*survey.columns, *(["embedding"] if include_embedding else [])]
     ordered = found.select(
@@ -81,7 +93,7 @@ def _same_student(survey: DataFrame, other: DataFrame, key: str) -> Column:
     return survey[key].cast("string").eqNullSafe(other["_student"])
 
 
-def _top(
+def _narrow(
     survey: DataFrame, embeddings: DataFrame, vector: Sequence[float], limit: int, key: str
 ) -> DataFrame:
     """A superset of the first ``limit`` result rows, at most a few per student.
@@ -118,18 +130,22 @@ def _top(
     return survey.join(F.broadcast(winners), _same_student(survey, winners, key))
 
 
-def _everything(
+def _direct(
     survey: DataFrame, embeddings: DataFrame, vector: Sequence[float], key: str
 ) -> DataFrame:
-    """All result rows.
+    """All result rows, for the caller to rank.
 
     Written as matches plus rows without a match, and not as one outer join: Spark can
-    split a hot key on both sides of an inner join, but only on the left of an outer one.
+    split a hot key on both sides of an inner join, but only on the left of an outer one,
+    and it can broadcast a small survey only to an inner join.
     """
     scored = _scored(embeddings, vector)
     text_key = survey[key].cast("string")
     matched = survey.join(scored, text_key == scored["_student"]).drop("_student")
-    known = embeddings.select(F.col("student_id").alias("_student")).distinct()
+    known = embeddings.select(F.col("student_id").alias("_student"))
+    if fits_auto_broadcast(survey):
+        known = known.join(students_of(survey, key), "_student", "left_semi")
+    known = known.distinct()
     unmatched = survey.join(known, text_key == known["_student"], "left_anti")
     return matched.unionByName(unmatched.select("*", *_no_answer()))
 
