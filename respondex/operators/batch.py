@@ -11,6 +11,7 @@ from respondex.functions.text import pick_answer
 from respondex.operators.nearest import answers_of, nearest_answers
 from respondex.operators.search import MAX_TOP, students_of
 from respondex.schemas import QUESTIONS, STUDENT_KEY
+from respondex.session import scratch_path
 
 
 def search_batch(
@@ -25,21 +26,28 @@ def search_batch(
     """For every question in ``queries(qid, vector)`` what ``search`` gives, plus a rank.
 
     Columns: ``qid, result_rank``, the survey's, ``result_question_id, result_distance,
-    result_text``. A question without a vector gets no rows. Sizes are checked with small
-    jobs while the plan is built, so ``queries`` should be a stored table.
+    result_text``. A question without a vector gets no rows.
+
+    The pass over the vectors runs here and leaves its winners, ``limit`` keys per
+    question, in a scratch table; texts are fetched when the caller acts. ``queries``
+    should be a stored table, as it is read more than once.
     """
     if not 0 < limit <= MAX_TOP:
         raise ValueError(f"limit must be between 1 and {MAX_TOP} for many questions")
     students = students_of(survey, key)
     candidates = answers_of(embeddings, students.filter(F.col("_student").isNotNull()))
-    near = nearest_answers(candidates, queries, limit).select(
+    path = scratch_path(survey.sparkSession, "winners")
+    nearest_answers(candidates, queries, limit).write.parquet(path)
+    stored = survey.sparkSession.read.parquet(path)
+    near = stored.select(
         "qid",
         F.col("student_id").alias("_student"),
         F.col("question_id").alias("result_question_id"),
         "result_distance",
     )
-    # Students without any answer come last and matter only if answers run out.
-    if len(candidates.select("student_id").take(limit)) < limit:
+    # Students without any answer come last and matter only if answers run out, which
+    # they do for all questions alike.
+    if stored.filter(F.col("rank") == limit).isEmpty():
         near = near.unionByName(_absent(students, candidates, queries, limit))
     return _with_answers(survey, near, limit, key, questions)
 

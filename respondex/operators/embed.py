@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from respondex.functions.text import with_prefix
 from respondex.models import BatchFunction, Model
-from respondex.schemas import EMBEDDINGS, TEXT_KEY
-from respondex.session import child_dirs, is_committed, scratch_path
+from respondex.schemas import EMBEDDINGS, TEXT_KEY, TEXTS
+from respondex.session import child_dirs, drop_scratch, is_committed, scratch_path
 
 
 def embedded_keys(embeddings: DataFrame) -> DataFrame:
@@ -92,9 +92,17 @@ def _place(found: Sequence[float] | None, row: np.ndarray, model: Model) -> str
     return None
 
 
-def embed_texts(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns but ``text``, plus ``embedding`` and ``error``. Map-only."""
+def embed_texts(
+    rows: DataFrame, model: Model, text: str = "text", partitions: int | None = None
+) -> DataFrame:
+    """All columns but ``text``, plus ``embedding`` and ``error``.
+
+    Map-only over the tasks that read ``rows``; where those are too few for the model's
+    cost, ``partitions`` spreads the texts first.
+    """
     kept = [c for c in rows.columns if c != text]
+    if partitions:
+        rows = rows.repartition(partitions, *kept)
     return rows.select(*kept, embed_column(F.col(text), model).alias("_found")).select(
         *kept, "_found.embedding", "_found.error"
     )
@@ -180,17 +188,18 @@ class EmbeddingStore:
             .write.partitionBy("batch")
             .parquet(staged)
         )
+        schema = T.StructType([*TEXTS.fields, T.StructField("batch", T.LongType())])
+        parts = self.spark.read.schema(schema).parquet(staged)
         for number in range(batches):
-            part = self.spark.read.parquet(staged).filter(F.col("batch") == number)
+            part = parts.filter(F.col("batch") == number)
             self._write(part.drop("batch"), model, run, number, partitions)
+        drop_scratch(self.spark, staged)
         return run
 
     def _write(
         self, rows: DataFrame, model: Model, run: str, number: int, partitions: int | None
     ) -> None:
-        if partitions:
-            rows = rows.repartition(partitions, *TEXT_KEY)
-        found = embed_texts(rows, model)
+        found = embed_texts(rows, model, partitions=partitions)
         status = F.when(F.col("error").isNull(), "ok").otherwise("failed")
         target = f"{self.path}/run={run}/batch={number}"
         found.withColumn("status", status).write.mode("overwrite").partitionBy(

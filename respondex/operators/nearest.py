@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from respondex.functions.vectors import matrix_of
 from respondex.session import fits_auto_broadcast, scratch_path
@@ -57,34 +58,30 @@ def nearest_answers(
     that appends to a table in the shared scratch folder.
     """
     asked = queries.filter(F.col("vector").isNotNull()).select("qid", "vector")
-    counted = asked.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("qid").alias("n_distinct")
-    ).first()
-    if counted["n"] != counted["n_distinct"]:
-        raise ValueError("every question needs a qid of its own")
-    if counted["n"] <= block:
-        return _nearest_block(embeddings, asked, limit)
+    table = asked.limit(block + 1).toArrow()
+    if table.num_rows <= block:
+        return _nearest_block(embeddings, table, limit)
     # Hashed blocks vary in size, so they are planned half full.
-    n_blocks = math.ceil(2 * counted["n"] / block)
+    n_blocks = math.ceil(2 * asked.count() / block)
     number = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
     spark = embeddings.sparkSession
     path = scratch_path(spark, "nearest")
     for b in range(n_blocks):
-        some = _nearest_block(embeddings, asked.filter(number == b), limit)
+        some = _nearest_block(embeddings, asked.filter(number == b).toArrow(), limit)
         some.write.parquet(f"{path}/block={b}")
     return spark.read.parquet(path).drop("block")
 
 
-def _nearest_block(embeddings: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    table = asked.toArrow()
-    vectors = table.column("vector").combine_chunks()
+def _nearest_block(embeddings: DataFrame, asked: pa.Table, limit: int) -> DataFrame:
+    qids = asked.column("qid").combine_chunks()
+    if qids.null_count or pc.count_distinct(qids).as_py() != len(qids):
+        raise ValueError("every question needs a qid of its own")
+    vectors = asked.column("vector").combine_chunks()
     dim = len(vectors[0]) if len(vectors) else 0
     matrix = matrix_of(vectors, dim).astype(np.float32).astype(np.float64)
     if not np.isfinite(matrix).all():
         raise ValueError("question vectors must hold finite numbers only")
-    shared = embeddings.sparkSession.sparkContext.broadcast(
-        (table.column("qid").combine_chunks(), matrix)
-    )
+    shared = embeddings.sparkSession.sparkContext.broadcast((qids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vectors = shared.value
@@ -93,7 +90,7 @@ def _nearest_block(embeddings: DataFrame, asked: DataFrame, limit: int) -> DataF
             best.add(batch)
         yield from best.rows(qids)
 
-    qid_type = asked.schema["qid"].dataType.simpleString()
+    qid_type = from_arrow_type(qids.type).simpleString()
     local = embeddings.select("student_id", "question_id", "embedding").mapInArrow(
         run,
         f"qid {qid_type}, student_id string, question_id string, result_distance double",

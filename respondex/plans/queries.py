@@ -176,7 +176,8 @@ def embed_pending(spark, sf_dir):
 @query
 def embed_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _elements(embed_texts(rows, WORDS), F.col("embedding"), "doc_id")
+    vectors = embed_texts(rows, WORDS, partitions=spark.sparkContext.defaultParallelism)
+    return _elements(vectors, F.col("embedding"), "doc_id")
 
 
 def _questions(spark, sf_dir) -> DataFrame:

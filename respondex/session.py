@@ -47,6 +47,14 @@ def is_committed(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table made at ``scratch_path``, and nothing else."""
+    if not path.startswith(f"{scratch_base(spark)}/respondex/"):
+        raise ValueError(f"not a scratch table: {path}")
+    fs, hadoop_path = _fs(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def child_dirs(spark: SparkSession, path: str) -> list[str]:
     fs, hadoop_path = _fs(spark, path)
     if not fs.exists(hadoop_path):

@@ -52,7 +52,7 @@ def test_survey_to_prompts(spark, csv, tmp_path):
     assert lines.first()["line"] == "(distance: 0.0, perm: 102) grammar grammar"
 
     asked = spark.createDataFrame([(1, "grammar grammar"), (2, "essays")], "qid int, text string")
-    ready = prepare_prompts(asked, frame, vectors, model=word_count_model(64), limit=2,
+    ready = prepare_prompts(asked, frame, vectors, model=word_count_model(64), limit=3,
                             template="{context}|{question}")
     prompts = {r["qid"]: r["prompt"] for r in ready.collect()}
     assert prompts[1].startswith("grammar grammar\n\n") and prompts[1].endswith("|grammar grammar")

@@ -138,3 +138,23 @@ def test_hot_student_and_hot_perm(stored, set_conf):
     for route in ("direct", "narrow"):
         got = result_rows(search(*frames, query, limit=700, route=route))
         assert [r[:3] for r in got] == [r[:3] for r in want]
+
+
+def test_narrow_route_measures_every_vector_once(frames, set_conf):
+    """The ranking of students is used twice but computed once."""
+    set_conf(*NO_BROADCAST)
+    final = plan_of(search(*frames, QUERY, limit=5), executed=True).split("Initial Plan")[0]
+    vector_scans = [x for x in final.splitlines() if "FileScan" in x and "embedding#" in x]
+    assert len(vector_scans) == 2 and final.count("ReusedExchange") == 2
+
+
+def test_hot_keys_are_split_when_all_rows_are_wanted(stored, set_conf):
+    set_conf(*NO_BROADCAST)
+    set_conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1KB")
+    set_conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    set_conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1KB")
+    survey = [(str(i), f"a{i}", None, None, None) for i in range(3000)]
+    vectors = [("7" if i % 3 == 0 else str(i), "r1", [float(i), 1.0]) for i in range(3000)]
+    found = search(stored(survey, SURVEY), stored(vectors, EMBEDDINGS), [6.2, 1.0], limit=0)
+    assert "skew=true" in plan_of(found, executed=True)
+    assert found.filter("perm = '7'").count() == 1001
