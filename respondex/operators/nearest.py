@@ -103,17 +103,21 @@ def _nearest_block(embeddings: DataFrame, asked: pa.Table, limit: int) -> DataFr
 class _Best:
     """The nearest answers a task has seen so far, per question.
 
-    Squared distances to a block of questions come from one matrix product. Its rounding
-    error is bounded, so it only screens: a pair whose lower bound is above the question's
-    current limit cannot win. What is left is measured exactly, in element order.
+    One matrix product gives a lower bound on the squared distances to a block of
+    questions: it is |a|^2 + |q|^2 - 2aq less ``slack`` times both squares, which is more
+    than rounding can add. A pair whose lower bound is above the question's current limit
+    cannot win. What is left is measured exactly, in element order.
     """
 
     _ORDER = [(c, "ascending") for c in ("query", "distance", "student_id", "question_id")]
 
     def __init__(self, queries: np.ndarray, limit: int):
         self.queries = queries
-        self.squares = np.einsum("ij,ij->i", queries, queries)
         self.limit = limit
+        self.slack = 16 * queries.shape[1] * np.finfo(np.float64).eps
+        self.squares = np.einsum("ij,ij->i", queries, queries)
+        ones = np.ones(len(queries))
+        self.right = np.column_stack([-2 * queries, ones, self.squares * (1 - self.slack)]).T
         self.bar = np.full(len(queries), np.inf)  # squared distance that still may win
         self.kept: pa.Table | None = None
 
@@ -135,20 +139,22 @@ class _Best:
             return
         exact = matrix.astype(np.float64)
         squares = np.einsum("ij,ij->i", exact, exact)
-        slack = 16 * self.queries.shape[1] * np.finfo(np.float64).eps
+        left = np.column_stack([exact, squares * (1 - self.slack), np.ones(len(exact))])
         firsts: np.ndarray | None = None
         step = max(1, _SCREEN_VALUES // len(exact))
         for start in range(0, len(self.queries), step):
             stop = min(start + step, len(self.queries))
-            sizes = squares[:, None] + self.squares[None, start:stop]
-            low = sizes * (1 - slack)
-            low -= 2 * (exact @ self.queries[start:stop].T)
-            bar = self.bar[start:stop].copy()
-            crowded = np.flatnonzero((low <= bar).sum(axis=0) > self.limit)
-            for j in crowded:
-                high = low[:, j] + 2 * slack * sizes[:, j]
-                bar[j] = min(bar[j], np.partition(high, self.limit - 1)[self.limit - 1])
-            rows, cols = np.nonzero(low <= bar)
+            low = left @ self.right[:, start:stop]
+            near = low <= self.bar[start:stop]
+            if np.count_nonzero(near) > self.limit * (stop - start):
+                for j in np.flatnonzero(near.sum(axis=0) > self.limit):
+                    q = start + j
+                    high = low[:, j] + 2 * self.slack * (squares + self.squares[q])
+                    self.bar[q] = min(
+                        self.bar[q], np.partition(high, self.limit - 1)[self.limit - 1]
+                    )
+                near = low <= self.bar[start:stop]
+            rows, cols = np.nonzero(near)
             if len(rows) > 8 * self.limit * (stop - start):
                 if firsts is None:
                     firsts = _first_copies(matrix, keys, self.limit)
