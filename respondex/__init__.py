@@ -10,6 +10,7 @@ from respondex.operators.search import display_lines, join_answers, search
 from respondex.plans.pipelines import (
     add_texts,
     build,
+    prepare_prompt,
     prepare_prompts,
     search_lines,
     search_question,
@@ -18,8 +19,9 @@ from respondex.schemas import create_tables
 from respondex.sources.embeddings import (
     export_embeddings,
     materialize_if_absent,
+    model_embeddings,
     read_embeddings,
 )
-from respondex.sources.survey import read_survey, write_survey
+from respondex.sources.survey import read_survey, read_survey_split, write_survey
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -21,7 +21,8 @@ class Model:
     """How texts and questions of one model become vectors.
 
     ``load`` runs once per task and returns the batch function, so a heavy model is read
-    once and not per text. It must be picklable.
+    once and not per text. It must be picklable. ``source`` is where the model's answer
+    vectors can be had, on any path Spark reads.
     """
 
     name: str
@@ -30,9 +31,13 @@ class Model:
     query_prefix: str = ""
     load: Callable[[], BatchFunction] | None = None
     batch_size: int = 256
+    source: str | None = None
 
-    def using(self, load: Callable[[], BatchFunction]) -> Model:
-        return replace(self, load=load)
+    def using(
+        self, load: Callable[[], BatchFunction] | None = None, source: str | None = None
+    ) -> Model:
+        """The same model with an embedding function, a source of vectors, or both."""
+        return replace(self, load=load or self.load, source=source or self.source)
 
 
 # Names, widths and prefixes. "mxbai" is the pair of plain vectors and

@@ -19,6 +19,9 @@ from respondex.sources.embeddings import MAX_BROADCAST_KEYS
 # Questions sent to the tasks at once: 50 MB of vectors at width 1536.
 BLOCK_QUERIES = 4096
 
+# Answers a task keeps for all its questions together.
+BLOCK_ANSWERS = 1_000_000
+
 _PAIR_VALUES = 1 << 17
 _SCREEN_VALUES = 1 << 22
 
@@ -58,6 +61,7 @@ def nearest_answers(
     that appends to a table in the shared scratch folder.
     """
     asked = queries.filter(F.col("vector").isNotNull()).select("qid", "vector")
+    block = max(1, min(block, BLOCK_ANSWERS // limit))
     table = asked.limit(block + 1).toArrow()
     if table.num_rows <= block:
         return _nearest_block(embeddings, table, limit)

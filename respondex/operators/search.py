@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from respondex.functions.text import display_line, pick_answer
 from respondex.functions.vectors import distance_to
 from respondex.schemas import QUESTIONS, STUDENT_KEY
-from respondex.session import fits_auto_broadcast
+from respondex.session import fits_auto_broadcast, input_bytes
 
 # Up to this limit the winners (a key and a vector each) are small enough to broadcast.
 MAX_TOP = 10_000
 
+# Up to this much input the direct route is quicker. Beyond it, every task would hand
+# ``limit`` wide rows to the final merge, where the narrow route hands keys.
+DIRECT_INPUT_BYTES = 4 << 30
+
 
 def result_order(key: str = STUDENT_KEY) -> list[Column]:
     """Nearest first; NaN, then NULL at the end; key and question break ties."""
@@ -45,16 +49,16 @@ def search(
     among some students only. Nothing runs before the caller acts.
 
     ``route`` is "direct" (join, then rank), "narrow" (rank keys, then fetch the winners)
-    or "auto": direct if Spark would broadcast the survey anyway or all rows are wanted.
-    Both give the same rows.
+    or "auto": direct for small input (a survey that Spark broadcasts, up to 4 GB of
+    embeddings) or if all rows are wanted. Both give the same rows.
     """
     if route not in ("auto", "direct", "narrow"):
         raise ValueError(f"unknown route {route!r}")
     if route == "narrow" and not 0 < limit <= MAX_TOP:
         raise ValueError(f"the narrow route takes a limit from 1 to {MAX_TOP}")
     if route == "auto":
-        ranked = 0 < limit <= MAX_TOP and not fits_auto_broadcast(survey)
-        route = "narrow" if ranked else "direct"
+        small = fits_auto_broadcast(survey) and input_bytes(embeddings) <= DIRECT_INPUT_BYTES
+        route = "narrow" if 0 < limit <= MAX_TOP and not small else "direct"
     found = (
         _narrow(survey, embeddings, vector, limit, key)
         if route == "narrow"

@@ -209,6 +209,7 @@ ORACLE: dict[str, str] = {
         FROM wide LEFT JOIN emb ON perm = student_id""",
     "search_topk": _BASE
     + _search(limit=25, extra=", round(CAST(embedding[1] AS DOUBLE), 6) AS embedding"),
+    "search_narrow": _BASE + _search(limit=25),
     "search_all": _BASE + _search(),
     "search_prefilter": _BASE + _search("dept = 'D1'", 10),
     "search_prefilter_and": _BASE + _search("dept = 'D1' AND first_gen = 1", 10),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from respondex.functions.text import DEFAULT_TEMPLATE
 from respondex.models import Model, model
@@ -114,3 +115,12 @@ def prepare_prompts(
     found = search_batch(survey, embeddings, spark.read.parquet(path), limit=limit, **options)
     contexts = build_context(found, options.get("key", STUDENT_KEY))
     return with_messages(render_prompts(contexts, queries, template))
+
+
+def prepare_prompt(
+    question: str, results: DataFrame, template: str = DEFAULT_TEMPLATE, key: str = STUDENT_KEY
+) -> DataFrame:
+    """Context, prompt and chat messages for one question and its search results."""
+    asked = results.sparkSession.createDataFrame([(0, question)], "qid int, text string")
+    contexts = build_context(results.withColumn("qid", F.lit(0)), key)
+    return with_messages(render_prompts(contexts, asked, template)).drop("qid")

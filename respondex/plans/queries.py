@@ -272,6 +272,14 @@ def search_topk(spark, sf_dir):
     return found.withColumn("embedding", F.round(first, 6))
 
 
+@query
+def search_narrow(spark, sf_dir):
+    """The same question by the route for big tables."""
+    return _search(
+        spark, sf_dir, survey(spark, sf_dir), limit=25, include_embedding=False, route="narrow"
+    )
+
+
 @query
 def search_all(spark, sf_dir):
     return _search(spark, sf_dir, survey(spark, sf_dir), limit=0, include_embedding=False)

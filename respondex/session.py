@@ -71,3 +71,9 @@ def fits_auto_broadcast(df: DataFrame) -> bool:
     """True where Spark would broadcast ``df`` on its own; no hint is involved."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return 0 <= estimated_bytes(df) <= limit
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of all tables ``df`` reads, whatever is done with them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))

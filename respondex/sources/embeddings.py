@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from respondex.models import Model
 from respondex.operators.keys import orphan_keys
 from respondex.schemas import EMBEDDINGS, TEXT_KEY
 from respondex.session import is_committed
@@ -29,6 +30,14 @@ def materialize_if_absent(spark: SparkSession, source: str, copy: str) -> DataFr
     return spark.read.parquet(copy)
 
 
+def model_embeddings(spark: SparkSession, model: Model, copies: str) -> DataFrame:
+    """The answer vectors of a model, from a copy under ``copies`` made on first use."""
+    copy = f"{copies.rstrip('/')}/{model.name}.parquet"
+    if model.source:
+        materialize_if_absent(spark, model.source, copy)
+    return read_embeddings(spark, copy)
+
+
 def export_join(texts: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row per text with its vector, NULL where there is none."""
     return (

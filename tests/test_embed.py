@@ -13,6 +13,7 @@ from respondex.sources.embeddings import (
     export_embeddings,
     export_join,
     materialize_if_absent,
+    model_embeddings,
     read_embeddings,
 )
 
@@ -188,6 +189,14 @@ def test_columns_are_picked_by_name(spark, tmp_path):
     assert tuple(read_embeddings(spark, f"{tmp_path}/e").first()) == ("7", "r1", [1.5])
 
 
+def test_model_vectors_are_copied_on_first_use(spark, stored, tmp_path):
+    source = f"{tmp_path}/source"
+    stored([("1", "r1", [1.0])], EMBEDDINGS).write.parquet(source)
+    remote = lengths().using(source=source)
+    assert model_embeddings(spark, remote, str(tmp_path)).count() == 1
+    assert model_embeddings(spark, lengths(), str(tmp_path)).count() == 1
+
+
 def test_copy_is_made_once_and_repaired(spark, tmp_path):
     source, copy = f"{tmp_path}/source", f"{tmp_path}/copy"
     spark.range(3).write.parquet(source)

@@ -5,6 +5,7 @@ from respondex.models import RETRIEVAL_PREFIX, word_count_model
 from respondex.plans.pipelines import (
     add_texts,
     build,
+    prepare_prompt,
     prepare_prompts,
     search_lines,
     search_question,
@@ -51,6 +52,9 @@ def test_survey_to_prompts(spark, csv, tmp_path):
     lines = search_lines("grammar grammar", frame, vectors, model=word_count_model(64), limit=1)
     assert lines.first()["line"] == "(distance: 0.0, perm: 102) grammar grammar"
 
+    one = prepare_prompt("grammar?", found, "{question}: {context}").first()
+    assert one["prompt"] == "grammar?: grammar grammar" == one["messages"][1]["content"]
+
     asked = spark.createDataFrame([(1, "grammar grammar"), (2, "essays")], "qid int, text string")
     ready = prepare_prompts(asked, frame, vectors, model=word_count_model(64), limit=3,
                             template="{context}|{question}")

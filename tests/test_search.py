@@ -13,6 +13,7 @@ from helpers import (
     result_rows,
     rounded,
 )
+from respondex.operators import search as search_module
 from respondex.operators.search import search
 
 QUERY = [0.0, 1.0, 0.0]
@@ -105,6 +106,15 @@ def test_wrong_options(frames):
         search(*frames, QUERY, limit=0, route="narrow")
 
 
+def test_route_follows_the_size(frames, set_conf, monkeypatch):
+    direct = plan_of(search(*frames, QUERY, limit=5)).count("TakeOrderedAndProject")
+    monkeypatch.setattr(search_module, "DIRECT_INPUT_BYTES", 10)
+    assert plan_of(search(*frames, QUERY, limit=5)).count("TakeOrderedAndProject") > direct
+    monkeypatch.undo()
+    set_conf(*NO_BROADCAST)
+    assert plan_of(search(*frames, QUERY, limit=5)).count("TakeOrderedAndProject") > direct
+
+
 def test_plan_is_a_top_k(frames, set_conf):
     assert "TakeOrderedAndProject" in plan_of(search(*frames, QUERY, limit=5))
     set_conf(*NO_BROADCAST)
