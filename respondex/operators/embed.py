@@ -14,7 +14,13 @@ from pyspark.sql import types as T
 from respondex.functions.text import with_prefix
 from respondex.models import BatchFunction, Model
 from respondex.schemas import EMBEDDINGS, TEXT_KEY, TEXTS
-from respondex.session import child_dirs, drop_scratch, is_committed, scratch_path
+from respondex.session import (
+    MAX_BROADCAST_KEYS,
+    child_dirs,
+    drop_scratch,
+    is_committed,
+    scratch_path,
+)
 
 
 def embedded_keys(embeddings: DataFrame) -> DataFrame:
@@ -27,6 +33,21 @@ def pending_texts(texts: DataFrame, done_keys: DataFrame) -> DataFrame:
     return texts.join(done_keys.select(*TEXT_KEY), list(TEXT_KEY), "left_anti")
 
 
+def pending_rows(texts: DataFrame, done_keys: DataFrame) -> DataFrame | None:
+    """``pending_texts`` after a look at how many there are; None if there are none.
+
+    The look compares keys only. If few texts are pending, as after a top-up of the
+    survey, their keys are broadcast and the stored texts need no shuffle at all.
+    """
+    keys = pending_texts(texts.select(*TEXT_KEY), done_keys)
+    n_keys = keys.count()
+    if n_keys == 0:
+        return None
+    if n_keys <= MAX_BROADCAST_KEYS:
+        return texts.join(F.broadcast(keys), list(TEXT_KEY), "left_semi")
+    return pending_texts(texts, done_keys)
+
+
 def embed_column(text: Column, model: Model) -> Column:
     """``struct<embedding, error>`` of a text column.
 
@@ -166,15 +187,19 @@ class EmbeddingStore:
         batches: int = 1,
         files_per_batch: int = 32,
         partitions: int | None = None,
-    ) -> str:
+    ) -> str | None:
         """Embed the texts that have no vector yet and return the run's name.
 
         With ``batches`` > 1 the pending texts are first written out by batch, so each
         batch reads its own part only and a failure costs at most one batch of calls.
-        ``partitions`` spreads the calls of a batch over that many tasks.
+        ``partitions`` spreads the calls of a batch over that many tasks. Returns None if
+        nothing was pending.
         """
         run = f"{time.time_ns():020d}"
-        pending = pending_texts(texts, self.keys()).select(*TEXT_KEY, "text")
+        pending = pending_rows(texts, self.keys())
+        if pending is None:
+            return None
+        pending = pending.select(*TEXT_KEY, "text")
         if batches <= 1:
             self._write(pending, model, run, 0, partitions)
             return run

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from respondex.functions.vectors import matrix_of
-from respondex.session import fits_auto_broadcast, scratch_path
-from respondex.sources.embeddings import MAX_BROADCAST_KEYS
+from respondex.session import MAX_BROADCAST_KEYS, fits_auto_broadcast, scratch_path
 
 # Questions sent to the tasks at once: 50 MB of vectors at width 1536.
 BLOCK_QUERIES = 4096

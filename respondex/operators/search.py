@@ -166,6 +166,6 @@ def join_answers(
 
 
 def display_lines(results: DataFrame, key: str = STUDENT_KEY) -> DataFrame:
-    """Search results as printable lines, in result order."""
+    """Search results as printable lines, in the order they come in."""
     line = display_line(F.col("result_distance"), F.col(key), F.col("result_text"))
-    return results.orderBy(*result_order(key)).select(line.alias("line"))
+    return results.select(line.alias("line"))

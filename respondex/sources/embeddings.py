@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from respondex.models import Model
 from respondex.operators.keys import orphan_keys
 from respondex.schemas import EMBEDDINGS, TEXT_KEY
-from respondex.session import is_committed
-
-# Keys are short strings, so this many of them stay in the tens of megabytes.
-MAX_BROADCAST_KEYS = 200_000
-
+from respondex.session import MAX_BROADCAST_KEYS, is_committed
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(student_id, question_id, embedding), picked by name whatever the file order."""

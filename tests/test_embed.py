@@ -1,6 +1,7 @@
 import pytest
 
 from helpers import EMBEDDINGS, NO_BROADCAST, plan_of
+from respondex.operators import embed as job
 from respondex.models import MODELS, Model, model, word_count_model
 from respondex.operators.embed import (
     EmbeddingStore,
@@ -106,12 +107,21 @@ def test_second_run_adds_nothing(spark, stored, tmp_path, batches):
     texts = stored(sample(), TEXTS)
     store = EmbeddingStore(spark, f"{tmp_path}/store")
     assert store.embeddings().count() == 0
-    store.add_pending(texts, lengths(), batches=batches, files_per_batch=2)
-    store.add_pending(texts, lengths(), batches=batches, files_per_batch=2)
+    assert store.add_pending(texts, lengths(), batches=batches, files_per_batch=2)
+    assert store.add_pending(texts, lengths(), batches=batches, files_per_batch=2) is None
     assert store.embeddings().count() == 50
     assert vectors_of(store)["9"] == [10.0, 1.0]
 
 
+@pytest.mark.parametrize("bound", [0, 10])
+def test_a_few_new_texts_are_found_by_key(stored, monkeypatch, bound):
+    monkeypatch.setattr(job, "MAX_BROADCAST_KEYS", bound)
+    done = stored(sample(48), TEXTS)
+    found = job.pending_rows(stored(sample(), TEXTS), done)
+    assert sorted(r["student_id"] for r in found.collect()) == ["48", "49"]
+    assert job.pending_rows(done, stored(sample(), TEXTS)) is None
+
+
 def test_failed_texts_stay_pending(spark, stored, tmp_path):
     texts = stored([("1", "r1", "ok"), ("2", "r1", "boom")], TEXTS)
     store = EmbeddingStore(spark, f"{tmp_path}/store")

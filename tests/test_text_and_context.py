@@ -24,7 +24,7 @@ def test_distances_are_cut_not_rounded(spark):
 
 
 def test_display_lines(spark):
-    rows = [(1, "9", "r1", 0.75, "far"), (1, "7", "r2", 0.5, "near"), (1, "8", None, None, None)]
+    rows = [(1, "7", "r2", 0.5, "near"), (1, "9", "r1", 0.75, "far"), (1, "8", None, None, None)]
     got = display_lines(spark.createDataFrame(rows, RESULTS)).collect()
     assert [r["line"] for r in got] == [
         "(distance: 0.5, perm: 7) near", "(distance: 0.75, perm: 9) far", "(distance: nan, perm: 8) ",
