@@ -89,8 +89,9 @@ def test_number_perm_still_joins(spark, frames):
 @pytest.mark.parametrize("bad", [[1.0, 2.0], [1.0, None, 2.0]])
 def test_faulty_vectors_fail(spark, frames, bad):
     vectors = frames[1].unionByName(spark.createDataFrame([("3", "r1", bad)], EMBEDDINGS))
-    with pytest.raises(PySparkException):
-        search(frames[0], vectors, QUERY, limit=5).collect()
+    for route in ("direct", "narrow"):
+        with pytest.raises(Exception, match="vector of length 2|null element"):
+            search(frames[0], vectors, QUERY, limit=5, route=route).collect()
 
 
 def test_unknown_question_id_fails(spark, frames):
