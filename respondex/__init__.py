@@ -1,5 +1,9 @@
 """Search over free-text survey answers, as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from respondex.models import MODELS, Model, model, word_count_model
 from respondex.operators.batch import search_batch
 from respondex.operators.context import build_context, render_prompts, with_messages
@@ -24,4 +28,8 @@ from respondex.sources.embeddings import (
 )
 from respondex.sources.survey import read_survey, read_survey_split, write_survey
 
+# Functions of this package travel to the executors as code and not as an import, so that
+# it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -75,7 +75,7 @@ def test_qid_must_be_unique(spark, frames):
         search_batch(*frames[:2], twice)
 
 
-@pytest.mark.parametrize("limit", [0, -1])
+@pytest.mark.parametrize("limit", [0, -1, 1001])
 def test_all_rows_for_many_questions_is_refused(frames, limit):
     with pytest.raises(ValueError, match="limit"):
         search_batch(*frames, limit=limit)
