@@ -29,8 +29,8 @@ def embedded_keys(embeddings: DataFrame) -> DataFrame:
 
 
 def pending_texts(texts: DataFrame, done_keys: DataFrame) -> DataFrame:
-    """Texts whose key is not among ``done_keys``."""
-    return texts.join(done_keys.select(*TEXT_KEY), list(TEXT_KEY), "left_anti")
+    """Texts whose key is not among ``done_keys``, which may repeat."""
+    return texts.join(done_keys.select(*TEXT_KEY).distinct(), list(TEXT_KEY), "left_anti")
 
 
 def pending_rows(texts: DataFrame, done_keys: DataFrame) -> DataFrame | None:

@@ -27,10 +27,11 @@ def orphan_keys(
 ) -> DataFrame:
     """Keys of ``child`` that ``parent`` lacks, with the number of child rows.
 
-    Counting first leaves one row per key for the join, so a hot key cannot pile up.
+    Both sides are reduced to one row per key inside each task before the join, so a hot
+    key cannot pile up.
     """
     counted = child.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.join(parent.select(*key), list(key), "left_anti")
+    return counted.join(parent.select(*key).distinct(), list(key), "left_anti")
 
 
 def vector_faults(embeddings: DataFrame, dim: int) -> DataFrame:

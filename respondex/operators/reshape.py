@@ -56,4 +56,4 @@ def keep_first(texts: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def new_texts(texts: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose key is not stored yet. The first answer stored stays for good."""
-    return texts.join(stored.select(*TEXT_KEY), list(TEXT_KEY), "left_anti")
+    return texts.join(stored.select(*TEXT_KEY).distinct(), list(TEXT_KEY), "left_anti")

@@ -147,7 +147,7 @@ ORACLE: dict[str, str] = {
     "csv_scan": _BASE + _WIDE,
     "csv_scan_split": _BASE + _WIDE,
     "embedding_scan": _BASE + _elements("emb", "student_id, question_id"),
-    "materialize_copy": _BASE + _elements("emb", "student_id, question_id"),
+    "materialize_if_absent": _BASE + _elements("emb", "student_id, question_id"),
     "vector_cast": _BASE + _elements("emb", "student_id, question_id"),
     "texts_scan": _BASE + "SELECT * FROM texts",
     "texts_long": _BASE + "SELECT * FROM texts",
@@ -166,19 +166,19 @@ ORACLE: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM emb e
             WHERE e.student_id = r.student_id AND e.question_id = r.question_id)
         GROUP BY ALL""",
-    "assigned_ids": _BASE
+    "assign_ids": _BASE
     + """SELECT row_number() OVER (ORDER BY student_id, question_id) AS id,
         student_id, question_id, text FROM texts""",
-    "pending": _BASE
+    "pending_texts": _BASE
     + """SELECT t.student_id, t.question_id, t.text
         FROM texts t LEFT JOIN emb e USING (student_id, question_id)
         WHERE e.embedding IS NULL""",
     "embed_pending": _BASE + _WORDS + _elements("text_vec", "student_id, question_id"),
     "embed_documents": _BASE + _counts("doc_vec", "documents", "doc_id")
     + _elements("doc_vec", "doc_id"),
-    "embedded_queries": _BASE + _ASKED + _elements("asked_vec", "qid"),
+    "embed_queries": _BASE + _ASKED + _elements("asked_vec", "qid"),
     "query_prefix": _BASE + _QUESTIONS + "SELECT qid, text AS asked FROM asked",
-    "export_rows_joined": _BASE
+    "export_join": _BASE
     + """SELECT t.student_id, t.question_id, CAST(len(e.embedding) AS INTEGER) AS width
         FROM texts t LEFT JOIN emb e USING (student_id, question_id)""",
     "export_roundtrip": _BASE
@@ -186,11 +186,11 @@ ORACLE: dict[str, str] = {
         SELECT t.student_id, t.question_id, coalesce(e.embedding, [NULL]) AS embedding
         FROM texts t LEFT JOIN emb e USING (student_id, question_id))"""
     + _elements("export", "student_id, question_id"),
-    "l2_distance_pairs": """
+    "l2_distance": """
         SELECT a.vec_id, round(array_distance(CAST(a.embedding AS DOUBLE[64]),
                                               CAST(b.embedding AS DOUBLE[64])), 6) AS distance
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "l2_normalized": _BASE
+    "l2_normalize": _BASE
     + _WORDS
     + """, norms AS (
         SELECT student_id, question_id, sqrt(sum(element * element)) AS norm
@@ -198,7 +198,7 @@ ORACLE: dict[str, str] = {
         SELECT student_id, question_id, CAST(pos AS INTEGER) AS pos,
                round(CASE WHEN norm = 0 THEN element ELSE element / norm END, 6) AS element
         FROM text_vec_elements JOIN norms USING (student_id, question_id)""",
-    "vector_audit": """
+    "vector_length_audit": """
         SELECT CAST(vec_id AS VARCHAR) AS student_id, CAST(label AS VARCHAR) AS question_id,
                CAST(CASE label % 3 WHEN 0 THEN 63 ELSE 64 END AS INTEGER) AS length,
                label % 3 = 1 AS null_element
@@ -239,14 +239,14 @@ ORDER BY {_ORDER} LIMIT 10
     "pick_answer": _BASE
     + f"""SELECT perm, question_id AS result_question_id, {_PICK} AS result_text
         FROM wide LEFT JOIN emb ON perm = student_id""",
-    "display": _BASE
+    "display_lines": _BASE
     + f"""SELECT '(distance: ' || coalesce(substr(regexp_replace(printf('%.12f', d),
             '(\\.[0-9]+?)0+$', '\\1'), 1, 4), 'nan') || ', perm: ' || perm || ') '
             || coalesce({_PICK}, '') AS line
         FROM (SELECT wide.*, question_id, {_DISTANCE} AS d
               FROM wide LEFT JOIN emb ON perm = student_id)
         ORDER BY {_ORDER} LIMIT 25""",
-    "search_batch_words": _BASE
+    "search_batch": _BASE
     + _WORDS
     + _ASKED
     + _FOUND
@@ -262,8 +262,8 @@ ORDER BY {_ORDER} LIMIT 10
                                           CAST(q.embedding AS DOUBLE[64])) AS d
                     FROM embeddings q, emb))
         WHERE rk <= 3""",
-    "context": _BASE + _WORDS + _ASKED + _FOUND + "SELECT * FROM contexts",
-    "prompts": _BASE + _WORDS + _ASKED + _FOUND + _PROMPTS + "SELECT * FROM prompts",
+    "build_context": _BASE + _WORDS + _ASKED + _FOUND + "SELECT * FROM contexts",
+    "render_prompt": _BASE + _WORDS + _ASKED + _FOUND + _PROMPTS + "SELECT * FROM prompts",
     "prompt_messages": _BASE
     + _WORDS
     + _ASKED

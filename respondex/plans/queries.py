@@ -42,9 +42,14 @@ DIM = 64
 WORDS = word_count_model(DIM, query_prefix=RETRIEVAL_PREFIX)
 
 
-def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
-    return run
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a query under ``name``."""
+
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        return run
+
+    return register
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -68,35 +73,35 @@ def _rounded(results: DataFrame) -> DataFrame:
 # Sources and sinks
 
 
-@query
-def survey_scan(spark, sf_dir):
+@query("survey_scan")
+def _survey_scan(spark, sf_dir):
     survey(spark, sf_dir).createOrReplaceTempView("survey_frame")
     return spark.sql("SELECT * FROM survey_frame")
 
 
-@query
-def csv_scan(spark, sf_dir):
+@query("csv_scan")
+def _csv_scan(spark, sf_dir):
     path = scratch_path(spark, "csv")
     write_survey(survey(spark, sf_dir), path)
     return read_survey(spark, path, types={"first_gen": "int"})
 
 
-@query
-def csv_scan_split(spark, sf_dir):
+@query("csv_scan_split")
+def _csv_scan_split(spark, sf_dir):
     path = scratch_path(spark, "csv")
     write_survey(survey(spark, sf_dir), path)
     return read_survey_split(spark, path, types={"first_gen": "int"})
 
 
-@query
-def embedding_scan(spark, sf_dir):
+@query("embedding_scan")
+def _embedding_scan(spark, sf_dir):
     path = scratch_path(spark, "embeddings")
     embeddings(spark, sf_dir).write.parquet(path)
     return _elements(read_embeddings(spark, path), F.col("embedding"), *TEXT_KEY)
 
 
-@query
-def materialize_copy(spark, sf_dir):
+@query("materialize_if_absent")
+def _materialize_copy(spark, sf_dir):
     source, copy = scratch_path(spark, "source"), scratch_path(spark, "copy")
     embeddings(spark, sf_dir).write.parquet(source)
     materialize_if_absent(spark, source, copy)
@@ -104,16 +109,16 @@ def materialize_copy(spark, sf_dir):
     return _elements(rows, F.col("embedding"), *TEXT_KEY)
 
 
-@query
-def texts_scan(spark, sf_dir):
+@query("texts_scan")
+def _texts_scan(spark, sf_dir):
     return _stored(texts(spark, sf_dir), "texts")
 
 
 # Reshaping and keys
 
 
-@query
-def texts_long(spark, sf_dir):
+@query("texts_long")
+def _texts_long(spark, sf_dir):
     return texts(spark, sf_dir)
 
 
@@ -125,44 +130,44 @@ def _two_rounds(spark, sf_dir) -> DataFrame:
     return to_long(first.unionByName(second), keep=["round"])
 
 
-@query
-def dedup_first(spark, sf_dir):
+@query("dedup_first")
+def _dedup_first(spark, sf_dir):
     return keep_first(_two_rounds(spark, sf_dir), ["round"])
 
 
-@query
-def append_new(spark, sf_dir):
+@query("append_new")
+def _append_new(spark, sf_dir):
     stored = to_long(survey(spark, sf_dir))
     return new_texts(keep_first(_two_rounds(spark, sf_dir), ["round"]), stored)
 
 
-@query
-def pk_audit(spark, sf_dir):
+@query("pk_audit")
+def _pk_audit(spark, sf_dir):
     keys = texts(spark, sf_dir).select(*TEXT_KEY)
     return duplicate_keys(keys.unionByName(embeddings(spark, sf_dir).select(*TEXT_KEY)))
 
 
-@query
-def fk_audit(spark, sf_dir):
+@query("fk_audit")
+def _fk_audit(spark, sf_dir):
     return orphan_keys(_two_rounds(spark, sf_dir), embeddings(spark, sf_dir))
 
 
-@query
-def assigned_ids(spark, sf_dir):
+@query("assign_ids")
+def _assigned_ids(spark, sf_dir):
     return assign_ids(texts(spark, sf_dir), TEXT_KEY)
 
 
 # Embedding job
 
 
-@query
-def pending(spark, sf_dir):
+@query("pending_texts")
+def _pending(spark, sf_dir):
     done = embedded_keys(embeddings(spark, sf_dir))
     return pending_texts(texts(spark, sf_dir), done)
 
 
-@query
-def embed_pending(spark, sf_dir):
+@query("embed_pending")
+def _embed_pending(spark, sf_dir):
     """Embed what the first run left over; a third run then finds nothing to do."""
     rows = _stored(texts(spark, sf_dir), "texts")
     store = EmbeddingStore(spark, scratch_path(spark, "store"))
@@ -173,8 +178,8 @@ def embed_pending(spark, sf_dir):
     return _elements(store.embeddings(), F.col("embedding"), *TEXT_KEY)
 
 
-@query
-def embed_documents(spark, sf_dir):
+@query("embed_documents")
+def _embed_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     vectors = embed_texts(rows, WORDS, partitions=spark.sparkContext.defaultParallelism)
     return _elements(vectors, F.col("embedding"), "doc_id")
@@ -184,25 +189,25 @@ def _questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-@query
-def embedded_queries(spark, sf_dir):
+@query("embed_queries")
+def _embedded_queries(spark, sf_dir):
     return _elements(embed_queries(_questions(spark, sf_dir), WORDS), F.col("vector"), "qid")
 
 
-@query
-def query_prefix(spark, sf_dir):
+@query("query_prefix")
+def _query_prefix(spark, sf_dir):
     asked = with_prefix(F.col("text"), RETRIEVAL_PREFIX).alias("asked")
     return _questions(spark, sf_dir).select("qid", asked)
 
 
-@query
-def export_rows_joined(spark, sf_dir):
+@query("export_join")
+def _export_rows_joined(spark, sf_dir):
     rows = export_join(texts(spark, sf_dir), embeddings(spark, sf_dir))
     return rows.select(*TEXT_KEY, F.size("embedding").alias("width"))
 
 
-@query
-def export_roundtrip(spark, sf_dir):
+@query("export_roundtrip")
+def _export_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "export")
     export_embeddings(texts(spark, sf_dir), embeddings(spark, sf_dir), path)
     rows = read_embeddings(spark, path)
@@ -213,8 +218,8 @@ def export_roundtrip(spark, sf_dir):
 # Vectors
 
 
-@query
-def l2_distance_pairs(spark, sf_dir):
+@query("l2_distance")
+def _l2_distance_pairs(spark, sf_dir):
     """Every vector against the next one."""
     left = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
     right = left.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
@@ -222,14 +227,14 @@ def l2_distance_pairs(spark, sf_dir):
     return left.join(right, "vec_id").select("vec_id", F.round(gap, 6).alias("distance"))
 
 
-@query
-def l2_normalized(spark, sf_dir):
+@query("l2_normalize")
+def _l2_normalized(spark, sf_dir):
     counts = embed_texts(texts(spark, sf_dir), WORDS)
     return _elements(counts, l2_normalize(F.col("embedding")), *TEXT_KEY)
 
 
-@query
-def vector_audit(spark, sf_dir):
+@query("vector_length_audit")
+def _vector_audit(spark, sf_dir):
     """Faults planted by label: a missing element, a NULL element, or none."""
     vector, label = F.col("embedding"), F.col("label")
     broken = (
@@ -245,8 +250,8 @@ def vector_audit(spark, sf_dir):
     return vector_faults(planted, DIM)
 
 
-@query
-def vector_cast(spark, sf_dir):
+@query("vector_cast")
+def _vector_cast(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
     return _elements(rows, as_vector("embedding", DIM), *TEXT_KEY)
 
@@ -254,8 +259,8 @@ def vector_cast(spark, sf_dir):
 # Search
 
 
-@query
-def search_join(spark, sf_dir):
+@query("search_join")
+def _search_join(spark, sf_dir):
     rows = join_answers(survey(spark, sf_dir), embeddings(spark, sf_dir))
     return rows.withColumn("embedding", F.size("embedding"))
 
@@ -265,40 +270,40 @@ def _search(spark, sf_dir, rows: DataFrame, **options) -> DataFrame:
     return _rounded(search(rows, embeddings(spark, sf_dir), vector, **options))
 
 
-@query
-def search_topk(spark, sf_dir):
+@query("search_topk")
+def _search_top(spark, sf_dir):
     found = _search(spark, sf_dir, survey(spark, sf_dir), limit=25)
     first = F.col("embedding")[0].cast("double")
     return found.withColumn("embedding", F.round(first, 6))
 
 
-@query
-def search_narrow(spark, sf_dir):
+@query("search_narrow")
+def _search_narrow(spark, sf_dir):
     """The same question by the route for big tables."""
     return _search(
         spark, sf_dir, survey(spark, sf_dir), limit=25, include_embedding=False, route="narrow"
     )
 
 
-@query
-def search_all(spark, sf_dir):
+@query("search_all")
+def _search_all(spark, sf_dir):
     return _search(spark, sf_dir, survey(spark, sf_dir), limit=0, include_embedding=False)
 
 
-@query
-def search_prefilter(spark, sf_dir):
+@query("search_prefilter")
+def _search_prefilter(spark, sf_dir):
     some = survey(spark, sf_dir).filter(F.col("dept") == "D1")
     return _search(spark, sf_dir, some, limit=10, include_embedding=False)
 
 
-@query
-def search_prefilter_and(spark, sf_dir):
+@query("search_prefilter_and")
+def _search_prefilter_and(spark, sf_dir):
     some = survey(spark, sf_dir).filter((F.col("dept") == "D1") & (F.col("first_gen") == 1))
     return _search(spark, sf_dir, some, limit=10, include_embedding=False)
 
 
-@query
-def search_normalized(spark, sf_dir):
+@query("search_normalized")
+def _search_normalized(spark, sf_dir):
     """Word counts of the texts and of the first question, all of length one."""
     unit = word_count_model(DIM, query_prefix=RETRIEVAL_PREFIX, normalize=True)
     vectors = embed_texts(texts(spark, sf_dir), unit).drop("error")
@@ -307,14 +312,14 @@ def search_normalized(spark, sf_dir):
     return found.withColumn("result_distance", F.round("result_distance", 4))
 
 
-@query
-def pick_answer(spark, sf_dir):
+@query("pick_answer")
+def _picked_answer(spark, sf_dir):
     found = _search(spark, sf_dir, survey(spark, sf_dir), limit=0, include_embedding=False)
     return found.select("perm", "result_question_id", "result_text")
 
 
-@query
-def display(spark, sf_dir):
+@query("display_lines")
+def _display(spark, sf_dir):
     found = search(
         survey(spark, sf_dir),
         embeddings(spark, sf_dir),
@@ -339,13 +344,13 @@ def _found(spark, sf_dir) -> DataFrame:
     )
 
 
-@query
-def search_batch_words(spark, sf_dir):
+@query("search_batch")
+def _search_batch_words(spark, sf_dir):
     return _rounded(_found(spark, sf_dir))
 
 
-@query
-def search_batch_vectors(spark, sf_dir):
+@query("search_batch_vectors")
+def _search_batch_vectors(spark, sf_dir):
     """Every given vector is a question of its own."""
     asked = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")
@@ -356,19 +361,19 @@ def search_batch_vectors(spark, sf_dir):
     )
 
 
-@query
-def context(spark, sf_dir):
+@query("build_context")
+def _context(spark, sf_dir):
     return build_context(_found(spark, sf_dir))
 
 
-@query
-def prompts(spark, sf_dir):
+@query("render_prompt")
+def _prompts(spark, sf_dir):
     contexts = build_context(_found(spark, sf_dir))
     return render_prompts(contexts, _questions(spark, sf_dir))
 
 
-@query
-def prompt_messages(spark, sf_dir):
+@query("prompt_messages")
+def _prompt_messages(spark, sf_dir):
     ready = prepare_prompts(
         _questions(spark, sf_dir),
         survey(spark, sf_dir),

@@ -48,22 +48,21 @@ def export_rows(texts: DataFrame, embeddings: DataFrame) -> DataFrame:
 
     Vectors normally all belong to a text. Then the export is the embedding table as it
     is, plus the keys of the texts without one. Whether that holds is checked on keys
-    alone (one job): a few vectors without a text are filtered by broadcast, many of them
-    fall back to the plain join.
+    alone (one job): a few vectors without a text are filtered by broadcast, and only many
+    of them make a join necessary that moves vectors. Text keys must be unique.
     """
-    columns = EMBEDDINGS.fieldNames()
-    orphans = orphan_keys(embeddings, texts).select(*TEXT_KEY)
+    on = list(TEXT_KEY)
+    keys = texts.select(*on)
+    kept = embeddings.select(*EMBEDDINGS.fieldNames()).dropna(subset=on)
+    orphans = orphan_keys(kept, texts).select(*on)
     n_orphans = orphans.count()
     if n_orphans > MAX_BROADCAST_KEYS:
-        return export_join(texts, embeddings)
-    kept = embeddings.select(*columns).dropna(subset=list(TEXT_KEY))
-    if n_orphans:
-        kept = kept.join(F.broadcast(orphans), list(TEXT_KEY), "left_anti")
-    missing = texts.select(*TEXT_KEY).join(
-        embeddings.select(*TEXT_KEY), list(TEXT_KEY), "left_anti"
-    )
+        kept = kept.join(keys, on, "left_semi")
+    elif n_orphans:
+        kept = kept.join(F.broadcast(orphans), on, "left_anti")
+    missing = keys.join(embeddings.select(*on).distinct(), on, "left_anti")
     null_vector = F.lit(None).cast(EMBEDDINGS["embedding"].dataType).alias("embedding")
-    return kept.unionByName(missing.select(*TEXT_KEY, null_vector))
+    return kept.unionByName(missing.select(*on, null_vector))
 
 
 def export_embeddings(texts: DataFrame, embeddings: DataFrame, path: str) -> None:
