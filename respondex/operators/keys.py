@@ -67,7 +67,8 @@ def assign_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataF
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per partition of the sort, so this window stays as small as the task list.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    start = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    starts = sizes.select("_part", start.alias("_start"))
     in_part = F.col("_position").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.join(F.broadcast(starts), "_part").select(
         (F.col("_start") + in_part + 1).alias(name), *rows.columns

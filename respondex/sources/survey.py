@@ -24,11 +24,15 @@ def _file_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _finish(columns: Sequence[str], types: Mapping[str, str] | None) -> list[Column]:
     """Empty means NULL; everything else stays text unless ``types`` says otherwise."""
     kinds = types or {}
     return [
-        F.nullif(F.col(f"`{c}`"), F.lit("")).cast(kinds.get(c, "string")).alias(c)
+        F.nullif(F.col(_quoted(c)), F.lit("")).cast(kinds.get(c, "string")).alias(c)
         for c in columns
     ]
 
@@ -90,10 +94,11 @@ def read_survey_split(
         .select("_file", "_record", _join_lines(F.col("_parts")).alias("_text"))
     )
     records = whole.unionByName(joined)
-    first = F.struct(F.lit(0).cast("long").alias("_block"), F.lit(1).cast("long").alias("_number"))
+    header = (F.col("_record._block") == 0) & (F.col("_record._number") == 1)
     text = F.rtrim(F.col("_text"), F.lit("\r"))
-    body = records.filter((F.col("_record") != first) & (text != ""))
-    parsed = F.from_csv(text, _file_schema(columns).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"quote": '"', "escape": '"'})
+    body = records.filter(~header & (text != ""))
+    schema = ", ".join(f"{_quoted(c)} string" for c in columns)
+    parsed = F.from_csv(text, schema, {"quote": '"', "escape": '"'})
     order = F.struct(
         F.col("_file").alias("file"),
         F.col("_record._block").alias("block"),

@@ -52,11 +52,10 @@ def test_vectors_come_back_with_their_row(stored):
 
 
 def test_one_bad_text_does_not_spoil_its_batch(stored):
-    rows = stored(
-        [("1", "r1", "ab"), ("2", "r1", "boom"), ("3", "r1", "none"), ("4", "r1", None), ("5", "r1", "")],
-        TEXTS,
-    )
-    got = {r["student_id"]: (r["embedding"], r["error"]) for r in embed_texts(rows, lengths()).collect()}
+    texts = ["ab", "boom", "none", None, ""]
+    rows = stored([(str(i), "r1", text) for i, text in enumerate(texts, 1)], TEXTS)
+    found = embed_texts(rows, lengths()).collect()
+    got = {r["student_id"]: (r["embedding"], r["error"]) for r in found}
     assert got["1"] == ([2.0, 1.0], None) and got["5"] == ([0.0, 1.0], None)
     assert got["2"] == (None, "RuntimeError: boom")
     assert got["3"] == (None, "the model returned nothing")
@@ -98,7 +97,8 @@ def test_registry():
 
 
 def test_stand_in_counts_words(stored):
-    row = embed_texts(stored([("1", "r1", "The cat, the DOG; 7 the")], TEXTS), word_count_model(32)).first()
+    rows = stored([("1", "r1", "The cat, the DOG; 7 the")], TEXTS)
+    row = embed_texts(rows, word_count_model(32)).first()
     assert sum(row["embedding"]) == 5 and max(row["embedding"]) >= 3
 
 
@@ -195,7 +195,8 @@ def test_export_moves_no_vectors(stored, set_conf):
 
 
 def test_columns_are_picked_by_name(spark, tmp_path):
-    spark.createDataFrame([([1.5], "r1", 7)], "embedding array<double>, question_id string, student_id int").write.parquet(f"{tmp_path}/e")
+    schema = "embedding array<double>, question_id string, student_id int"
+    spark.createDataFrame([([1.5], "r1", 7)], schema).write.parquet(f"{tmp_path}/e")
     assert tuple(read_embeddings(spark, f"{tmp_path}/e").first()) == ("7", "r1", [1.5])
 
 

@@ -84,3 +84,11 @@ def test_written_surveys_come_back(spark, tmp_path):
     write_survey(spark.createDataFrame(rows, SURVEY), f"{tmp_path}/out")
     assert rows_of(read_survey(spark, f"{tmp_path}/out")) == rows
     assert rows_of(read_survey_split(spark, f"{tmp_path}/out")) == rows
+
+
+@pytest.mark.parametrize("reader", [read_survey, read_survey_split])
+def test_odd_column_names(spark, tmp_path, reader):
+    (tmp_path / "s.csv").write_text('perm,"first gen, coll","a`b"\n1,yes,no\n')
+    found = reader(spark, str(tmp_path))
+    assert found.columns == ["perm", "first gen, coll", "a`b"]
+    assert tuple(found.first()) == ("1", "yes", "no")
