@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator, Sequence
 
@@ -18,6 +19,7 @@ from respondex.session import (
     MAX_BROADCAST_KEYS,
     child_dirs,
     drop_scratch,
+    input_bytes,
     is_committed,
     scratch_path,
 )
@@ -139,6 +141,10 @@ def embed_queries(queries: DataFrame, model: Model, text: str = "text") -> DataF
     return found.withColumnRenamed("embedding", "vector")
 
 
+_FILE_BYTES = 128 << 20
+_MAX_FILES = 10_000
+
+
 class EmbeddingStore:
     """Vectors of one model in a folder tree ``run=/batch=/status=``.
 
@@ -185,13 +191,14 @@ class EmbeddingStore:
         model: Model,
         *,
         batches: int = 1,
-        files_per_batch: int = 32,
+        files_per_batch: int | None = None,
         partitions: int | None = None,
     ) -> str | None:
         """Embed the texts that have no vector yet and return the run's name.
 
         With ``batches`` > 1 the pending texts are first written out by batch, so each
-        batch reads its own part only and a failure costs at most one batch of calls.
+        batch reads its own part only and a failure costs at most one batch of calls. The
+        files of a batch are planned for 128 MB of input unless ``files_per_batch`` is given.
         ``partitions`` spreads the calls of a batch over that many tasks. Returns None if
         nothing was pending.
         """
@@ -203,6 +210,9 @@ class EmbeddingStore:
         if batches <= 1:
             self._write(pending, model, run, 0, partitions)
             return run
+        if files_per_batch is None:
+            wanted = math.ceil(input_bytes(texts) / batches / _FILE_BYTES)
+            files_per_batch = max(1, min(wanted, _MAX_FILES))
         staged = scratch_path(self.spark, "pending")
         bucket = F.xxhash64(*TEXT_KEY)
         (

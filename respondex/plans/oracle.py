@@ -262,6 +262,16 @@ ORDER BY {_ORDER} LIMIT 10
                                           CAST(q.embedding AS DOUBLE[64])) AS d
                     FROM embeddings q, emb))
         WHERE rk <= 3""",
+    "search_documents": _BASE
+    + _ASKED
+    + _counts("doc_vec", "documents", "doc_id")
+    + """SELECT qid, CAST(rk AS INTEGER) AS result_rank, perm, round(d, 6) AS result_distance
+        FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, perm) AS rk
+              FROM (SELECT a.qid, CAST(doc_id AS VARCHAR) AS perm,
+                           array_distance(CAST(v.embedding AS DOUBLE[64]),
+                                          CAST(a.embedding AS DOUBLE[64])) AS d
+                    FROM asked_vec a, doc_vec v))
+        WHERE rk <= 5""",
     "build_context": _BASE + _WORDS + _ASKED + _FOUND + "SELECT * FROM contexts",
     "render_prompt": _BASE + _WORDS + _ASKED + _FOUND + _PROMPTS + "SELECT * FROM prompts",
     "prompt_messages": _BASE

@@ -361,6 +361,20 @@ def _search_batch_vectors(spark, sf_dir):
     )
 
 
+@query("search_documents")
+def _search_documents(spark, sf_dir):
+    """Documents as answers to a single question, searched for every given text."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("perm"), F.col("text").alias("r1")
+    )
+    answers = to_long(rows, questions=["r1"])
+    tasks = spark.sparkContext.defaultParallelism
+    vectors = _stored(embed_texts(answers, WORDS, partitions=tasks).drop("error"), "vectors")
+    asked = _stored(embed_queries(_questions(spark, sf_dir), WORDS), "questions")
+    found = search_batch(rows, vectors, asked, limit=5, questions=["r1"])
+    return _rounded(found).select("qid", "result_rank", "perm", "result_distance")
+
+
 @query("build_context")
 def _context(spark, sf_dir):
     return build_context(_found(spark, sf_dir))
