@@ -11,7 +11,7 @@ from respondex.functions.text import with_prefix
 from respondex.functions.vectors import as_vector, l2_distance, l2_normalize
 from respondex.models import RETRIEVAL_PREFIX, word_count_model
 from respondex.operators.batch import search_batch
-from respondex.operators.context import build_context, render_prompts, with_messages
+from respondex.operators.context import build_context, render_prompts
 from respondex.operators.embed import (
     EmbeddingStore,
     embed_queries,
