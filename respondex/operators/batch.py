@@ -9,14 +9,10 @@ from pyspark.sql import functions as F
 
 from respondex.functions.text import pick_answer
 from respondex.operators.nearest import answers_of, nearest_answers
-from respondex.operators.search import students_of
+from respondex.operators.search import MAX_TASK_RANK, students_of
 from respondex.schemas import QUESTIONS, STUDENT_KEY
 from respondex.session import scratch_path
 
-# Spark drops rows beyond a rank inside each task only up to this rank (the default of
-# spark.sql.optimizer.windowGroupLimitThreshold), and hot keys rely on that.
-MAX_BATCH_TOP = 1000
-
 
 def search_batch(
     survey: DataFrame,
@@ -36,8 +32,8 @@ def search_batch(
     question, in a scratch table; texts are fetched when the caller acts. ``queries``
     should be a stored table, as it is read more than once.
     """
-    if not 0 < limit <= MAX_BATCH_TOP:
-        raise ValueError(f"limit must be 1 to {MAX_BATCH_TOP}; for more, search one by one")
+    if not 0 < limit <= MAX_TASK_RANK:
+        raise ValueError(f"limit must be 1 to {MAX_TASK_RANK}; for more, search one by one")
     students = students_of(survey, key)
     candidates = answers_of(embeddings, students.filter(F.col("_student").isNotNull()))
     path = scratch_path(survey.sparkSession, "winners")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.text import display_line, pick_answer
@@ -15,6 +15,13 @@ from respondex.session import fits_auto_broadcast, input_bytes
 # Up to this limit the winners (a key and a vector each) are small enough to broadcast.
 MAX_TOP = 10_000
 
+# Spark drops rows beyond a rank inside each task only up to this rank (the default of
+# spark.sql.optimizer.windowGroupLimitThreshold).
+MAX_TASK_RANK = 1000
+
+# Tasks between the many that read and the one that merges.
+_MIDDLE_TASKS = 64
+
 # Up to this much input the direct route is quicker. Beyond it, every task would hand
 # ``limit`` wide rows to the final merge, where the narrow route hands keys.
 DIRECT_INPUT_BYTES = 4 << 30
@@ -119,19 +126,49 @@ def _narrow(
         .groupBy("_student")
         .agg(F.min("result_distance").alias("_best"), F.count(F.lit(1)).alias("_entries"))
     )
-    finalists = (
-        students.join(best, "_student", "left")
-        .orderBy(F.asc_nulls_last("_best"), F.asc_nulls_last("_student"))
-        .limit(limit)
-    )
+    ranked = [F.asc_nulls_last("_best"), F.asc_nulls_last("_student")]
+    finalists = _first(students.join(best, "_student", "left"), ranked, limit)
     present = finalists.filter(F.col("_entries").isNotNull())
     absent = finalists.filter(F.col("_entries").isNull())
     theirs = embeddings.join(
         F.broadcast(present), embeddings["student_id"] == present["_student"], "left_semi"
     )
-    nearest = _scored(theirs, vector).orderBy(*result_order("_student")).limit(limit)
-    winners = nearest.unionByName(absent.select("_student", *_no_answer()))
-    return survey.join(F.broadcast(winners), _same_student(survey, winners, key))
+    nearest = _first(_scored(theirs, vector), result_order("_student"), limit)
+    answer = F.struct("result_question_id", "embedding", "result_distance")
+    winners = (
+        nearest.unionByName(absent.select("_student", *_no_answer()))
+        .groupBy("_student")
+        .agg(F.collect_list(answer).alias("_answers"))
+    )
+    rows = survey.join(F.broadcast(winners), _same_student(survey, winners, key))
+    # Copies of a survey row share their answers, so ``limit`` of them are enough. They
+    # are dropped before the answers multiply the rows.
+    few = _thinned(rows, [F.col("_student")], limit, "_student")
+    return few.withColumn("_answer", F.explode("_answers")).select(*survey.columns, "_answer.*")
+
+
+def _first(rows: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    return _thinned(rows, order, limit).orderBy(*order).limit(limit)
+
+
+def _thinned(
+    rows: DataFrame, order: Sequence[Column], limit: int, *groups: str
+) -> DataFrame:
+    """Rows that hold the first ``limit`` of each group, at most that many per middle task.
+
+    A hot key can put ``limit`` candidates into every task. Merging them in some middle
+    tasks keeps the load off the driver, and the shuffle makes the pass over the table a
+    stage of its own, so that no broadcast has to wait for it.
+    """
+    if limit > MAX_TASK_RANK:
+        return rows
+    place = F.row_number().over(Window.partitionBy("_middle", *groups).orderBy(*order))
+    return (
+        rows.withColumn("_middle", F.spark_partition_id() % _MIDDLE_TASKS)
+        .withColumn("_place", place)
+        .filter(F.col("_place") <= limit)
+        .drop("_middle", "_place")
+    )
 
 
 def _direct(
