@@ -5,15 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondex.llm import mixing, quality, url_filter
+from respondex.llm import html_text, licenses, mixing, packing, quality, url_filter, warc
 from respondex.llm.shared import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    scanned = licenses.scan(table(spark, sf_dir, "documents"))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["word"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["word"])).cast("long").alias("last_word"),
+        F.array_join(
+            F.array_sort(F.array_distinct(F.transform(base, lambda s: s["label"]))), ","
+        ).alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
     return judged.drop("url")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -33,8 +59,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_filters": op2_url_filters,
+    "op4_html_text": op4_html_text,
+    "op5_warc": op5_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
