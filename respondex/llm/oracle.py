@@ -62,4 +62,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE = {"op2_url_filters": OP2, "op8_quality_rules": OP8}
+OP6 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+    SELECT * FROM v
+    WHERE label IS NOT NULL AND e IS NOT NULL
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a
+), groups AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM groups LEFT JOIN counts USING (vec_id)
+"""
+
+ORACLE = {"op6_near_vectors": OP6, "op2_url_filters": OP2, "op8_quality_rules": OP8}

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondex.llm import html_text, licenses, minhash, mixing, packing, quality, url_filter, warc
+from respondex.llm import (
+    html_text,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    url_filter,
+    vector_dedup,
+    warc,
+)
 from respondex.llm.shared import table
 
 
@@ -40,6 +50,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "class_id", "kept")
@@ -73,6 +87,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
+    "op6_near_vectors": op6_near_vectors,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
