@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from respondex.llm import (
     html_text,
     licenses,
+    line_dedup,
     minhash,
     mixing,
     packing,
@@ -41,6 +42,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("url")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select(F.col("_row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_text.extract(table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
@@ -85,6 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_filters": op2_url_filters,
+    "op3_line_dedup": op3_line_dedup,
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
     "op6_near_vectors": op6_near_vectors,
