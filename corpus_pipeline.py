@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from respondex.llm import mixing, quality
+from respondex.llm import line_dedup, minhash, mixing, packing, quality
 from respondex.llm.shared import written
 
 
@@ -13,14 +13,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_matches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier one go, and documents that have no word left."""
+    return line_dedup.deduplicated(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return minhash.one_of_each(docs)
+
+
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their targets: documents go, are cut at a block, or come twice."""
     return mixing.mixed_documents(docs)
 
 
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence of tokens."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_matches),
+    ("near-duplicates", near_copies),
     ("mixing", target_mix),
+    ("packing", sequences),
 ]
 
 #: SQL cannot express signatures, tokens and packing; brute force in the tests stands in.
