@@ -8,9 +8,11 @@ Jaccard similarity. Processes above the weight are never begun, and none is foll
 the time at which all registers are likely to be full.
 
 Signatures are cut into bands; bags that agree in a band share a bucket. Equal bags are one
-node, so copies cost nothing. Each bucket's members are compared with its smallest node
-first; only members that this and all other buckets leave in different groups are compared
-with each other, so the groups are those of all pairs, without making all pairs.
+node, so copies cost nothing. Each bucket's members are compared first with the one that
+meets most others, such as the text that others were copied from. Only members that this
+leaves in different groups are compared with each other, and of these only pairs that can
+be similar: 1024 parities of a bag's items bound from below how many items differ. So the
+groups are those of all pairs, without making all pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SHINGLE = 5
 BANDS = 32
 ROWS = 4
 THRESHOLD = 0.8
+#: 64-bit numbers of item parities of a bag.
+PARITIES = 16
 
 
 def shingles_of(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,13 +121,24 @@ def _keys(n_texts: int, text, shingle, weight) -> list[bytes]:
     return [x.tobytes() for x in sums]
 
 
+def _items(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A hash for each occurrence: the first, second ... of a shingle are different items."""
+    at = np.cumsum(weight) - weight
+    number = (np.arange(int(weight.sum())) - np.repeat(at, weight)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(np.repeat(shingle, weight) + mix(number, 6), 7)
+
+
 def _read(batch: pa.RecordBatch, column: int, size: int):
     words, bounds = words_of(*offsets_of(batch.column(column)))
     return bags_of(*shingles_of(words, bounds, size))
 
 
 def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, hash (of the text), key, n, buckets (null for a bag met before in its slice)."""
+    """doc_id, hash (of the text), key, n, buckets, parities of each document.
+
+    The last two are null for a bag that has been met before in its slice of the input.
+    """
     schema = T.StructType(
         [
             docs.schema["doc_id"],
@@ -131,6 +146,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             T.StructField("key", T.BinaryType()),
             T.StructField("n", T.LongType()),
             T.StructField("buckets", T.ArrayType(T.LongType())),
+            T.StructField("parities", T.ArrayType(T.LongType())),
         ]
     )
 
@@ -152,17 +168,24 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     for k in range(rows):
                         folded = mix(folded + bits[:, :, k], 40 + k)
                     folded = mix(folded + np.arange(bands, dtype=np.uint64), 5)
-                flat = folded.view(np.int64)
+                parities = np.zeros((n, PARITIES), np.uint64)
+                items = _items(shingles[own], weight[own])
+                bit = mix(items, 8)
+                place = (np.repeat(text[own], weight[own]), ((bit >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64))
+                np.bitwise_xor.at(parities, place, np.uint64(1) << (bit & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array(keys, pa.binary()),
                         pa.array(totals),
-                        pa.array(
-                            [flat[i] if first[i] else None for i in range(n)],
-                            pa.list_(pa.int64()),
-                        ),
+                        *[
+                            pa.array(
+                                [x if f else None for x, f in zip(table.view(np.int64), first)],
+                                pa.list_(pa.int64()),
+                            )
+                            for table in (folded, parities)
+                        ],
                     ],
                     names=schema.names,
                 )
@@ -179,12 +202,7 @@ def _bags(docs: DataFrame, shingle: int) -> DataFrame:
                 n = part.num_rows
                 text, shingles, weight = _read(part, 0, shingle)
                 keys = _keys(n, text, shingles, weight)
-                at = np.cumsum(weight) - weight
-                number = np.arange(int(weight.sum())) - np.repeat(at, weight)
-                with np.errstate(over="ignore"):
-                    items = mix(
-                        np.repeat(shingles, weight) + mix(number.astype(np.uint64), 6), 7
-                    )
+                items = _items(shingles, weight)
                 sizes = np.bincount(text, weights=weight, minlength=n).astype(np.int64)
                 bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 bags = pa.ListArray.from_arrays(pa.array(bounds), pa.array(items.view(np.int64)))
@@ -250,15 +268,24 @@ def near_duplicates(
     )
     shared = (
         posts.groupBy("bucket")
-        .agg(F.min("key").alias("leader"), F.max("key").alias("last"))
-        .where("leader <> last")
+        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("m"))
+        .where("least <> most")
     )
     members = written(
-        posts.join(shared, "bucket").select("bucket", "leader", "key", "n").distinct(),
-        "near-members",
+        posts.join(shared, "bucket").select("bucket", "key", "n", "m").distinct(), "near-members"
+    )
+    degrees = members.groupBy("key").agg(F.sum("m").alias("degree"))
+    leaders = (
+        members.join(degrees, "key")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("degree", "key")).alias("top"))
+        .select("bucket", F.col("top.key").alias("leader"))
     )
     stars = written(
-        members.where("leader <> key").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(),
+        members.join(leaders, "bucket")
+        .where("leader <> key")
+        .select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+        .distinct(),
         "near-stars",
     )
     links = written(_verified(source, signed, stars, shingle, threshold), "near-links")
@@ -273,16 +300,25 @@ def near_duplicates(
         .where("least <> most and m > 2")
         .select("bucket")
     )
-    rest = grouped.join(split, "bucket")
+    parities = signed.where("parities is not null").groupBy("key").agg(
+        F.first("parities").alias("parities")
+    )
+    rest = grouped.join(split, "bucket").join(parities, "key")
     x, y = rest.alias("x"), rest.alias("y")
+    differ = sum(
+        (F.bit_count(F.col("x.parities")[k].bitwiseXOR(F.col("y.parities")[k])) for k in range(PARITIES)),
+        F.lit(0),
+    )
+    total = F.col("x.n") + F.col("y.n")
     apart = (
         x.join(
             y,
             (F.col("x.bucket") == F.col("y.bucket"))
             & (F.col("x.key") < F.col("y.key"))
             & (F.col("x.group") != F.col("y.group"))
-            & (F.col("x.n") >= F.lit(threshold) * F.col("y.n"))
-            & (F.col("y.n") >= F.lit(threshold) * F.col("x.n")),
+            & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n"))
+            # Of similar bags at most this share of all items is in one only.
+            & (differ <= F.lit((1 - threshold) / (1 + threshold) + 1e-9) * total),
         )
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         .distinct()
