@@ -28,7 +28,7 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
 #: Words of these characters alone take the short way; the library encodes all others.
-_PLAIN = re.compile("[!-~¡-¬®-įı-ňŊ-ž‐-‧€]+")
+_PLAIN = re.compile("[!-~¡-¬®-±´-¸º»¿-įı-ňŊ-ž‐-‧€]+")
 _PIECES = re.compile(r"\x01|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s\x01]|_)+")
 
 
@@ -63,7 +63,7 @@ class WordEncoder:
         for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             ranks.setdefault(raw(a) + raw(b), len(ranks))
-        ids = {raw(k): v for k, v in model["vocab"].items() if k.strip("</w>")}
+        ids = {raw(k): v for k, v in model["vocab"].items()}
         self.ids = np.array([ids.get(k, 0) for k in ranks], np.uint32)
         self.mark = ranks[b"\1\0"]
         self.plain = tiktoken.Encoding(
