@@ -113,6 +113,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 mains.append(k)
         elif waiting.get(value):
             ends[waiting[value].pop()] = k
+    for k in loose:
+        ends.setdefault(k, len(tokens))
     marked = [(k, ends.get(k, len(tokens))) for k in mains]
 
     blocks: list[tuple[str, int, bool]] = []

@@ -71,7 +71,8 @@ def apportion(rows: DataFrame, group: list[str], key: list[str], weight: str, se
     that many seats about each share are ranked by quotient.
     """
     in_group = Window.partitionBy(*group)
-    share = F.floor(F.col(seats) * F.col(weight) / F.sum(weight).over(in_group) + 0.5)
+    all_weights = F.sum(weight).over(in_group)
+    share = F.floor(F.try_divide(F.col(seats) * F.col(weight), all_weights) + 0.5)
     near = (
         rows.select("*", F.coalesce(share, F.lit(0)).alias("_share"))
         .select("*", F.abs(F.col(seats) - F.sum("_share").over(in_group)).alias("_off"))
