@@ -13,21 +13,6 @@ SYSTEM_MESSAGE = "You are a helpful assistant."
 
 CONTEXT_SEPARATOR = "\n\n"
 
-DEFAULT_TEMPLATE = """\
-These are answers that respondents gave in a survey.
-
-=== answers ===
-{context}
-=== end of answers ===
-
-Reply to the question from these answers only, in at most three sentences.
-Say that you do not know if the answers do not tell.
-
-Question: {question}
-Reply:
-"""
-
-
 def pick_answer(question_id: Column, questions: Sequence[str], row: str | None = None) -> Column:
     """The value of the column that ``question_id`` names; NULL id gives NULL.
 
@@ -61,7 +46,7 @@ def display_line(distance: Column, perm: Column, text: Column) -> Column:
         F.lit("(distance: "),
         cut_distance(distance),
         F.lit(", perm: "),
-        perm,
+        F.coalesce(perm.cast("string"), F.lit("nan")),
         F.lit(") "),
         F.coalesce(text, F.lit("")),
     )

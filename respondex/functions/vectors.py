@@ -59,26 +59,45 @@ def distances(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return out
 
 
+def sound(vectors: pa.Array, dim: int) -> np.ndarray:
+    """True for rows that are NULL or a vector of ``dim`` non-null elements."""
+    lengths = vectors.value_lengths().fill_null(dim).to_numpy(zero_copy_only=False)
+    good = lengths == dim
+    if vectors.flatten().null_count:
+        owners = vectors.value_parent_indices().filter(vectors.flatten().is_null())
+        good[owners.to_numpy()] = False
+    return good
+
+
+#: Stands for the distance of a faulty vector until it is known whether it matters.
+FAULT = -1.0
+
+
 def distance_to(embedding: Column | str, vector: Sequence[float]) -> Column:
     """Euclidean distance of a vector column to one constant vector.
 
-    NULL for a NULL vector; a wrong length or a null element fails the query.
+    NULL for a NULL vector, ``FAULT`` for one of another length or with a null element.
     """
     bound = query_vector(vector)
 
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
-        found = distances(matrix_of(column, bound.size), bound)
-        if not column.null_count:
-            return pa.array(found)
+        good = sound(column, bound.size)
         valid = column.is_valid().to_numpy(zero_copy_only=False)
-        full = np.zeros(len(column))
-        full[valid] = found
+        full = np.where(good, 0.0, FAULT)
+        whole = column if good.all() else column.filter(pa.array(good))
+        full[good & valid] = distances(matrix_of(whole, bound.size), bound)
         return pa.array(full, mask=~valid)
 
     return run(embedding)
 
 
+def checked(distance: Column) -> Column:
+    """The distance; a faulty vector fails the query."""
+    message = F.lit("a vector has another length than the question's or a null element")
+    return F.when(distance < 0, F.raise_error(message).cast("double")).otherwise(distance)
+
+
 def as_vector(column: Column | str, dim: int) -> Column:
     """Cast to ``array<float>`` and insist on the length and on non-null elements."""
     vector = (F.col(column) if isinstance(column, str) else column).cast("array<float>")

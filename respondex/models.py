@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 
-# One call embeds a list of texts. A text it cannot embed may come back as None.
+# One call embeds a list of texts, as a list of vectors or as the rows of a matrix. A text
+# it cannot embed may come back as None.
 BatchFunction = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 
 # Fixed value: the instruction that goes before a question (never before an answer).
@@ -56,24 +57,24 @@ def model(name: str) -> Model:
     return MODELS[name]
 
 
-_WORD = re.compile("[A-Za-z]+")
-
-
 def _count_words(dim: int) -> BatchFunction:
-    buckets: dict[str, int] = {}
+    import regex
+
+    tokens = regex.compile(r"\0|\p{L}+")
 
     def bucket(word: str) -> int:
-        if word not in buckets:
-            if len(buckets) > 200_000:
-                buckets.clear()
-            buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-        return buckets[word]
-
-    def embed(texts: Sequence[str]) -> list[np.ndarray]:
-        return [
-            np.bincount([bucket(w.lower()) for w in _WORD.findall(text)], minlength=dim)
-            for text in texts
-        ]
+        return int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dim
+
+    def embed(texts: Sequence[str]) -> np.ndarray:
+        """All texts at once; each distinct word is hashed once."""
+        line = "".join(t.replace("\0", " ") + "\0" for t in texts)
+        found = pa.array(tokens.findall(line), pa.string()).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        buckets = np.array([-1 if w == "\0" else bucket(w) for w in words], np.int64)
+        at = buckets[found.indices.to_numpy()]
+        row = np.cumsum(at < 0)[at >= 0]
+        counts = np.bincount(row * dim + at[at >= 0], minlength=len(texts) * dim)
+        return counts.reshape(len(texts), dim).astype(np.float64)
 
     return embed
 

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from respondex.functions.text import pick_answer
 from respondex.operators.nearest import answers_of, nearest_answers
-from respondex.operators.search import MAX_TASK_RANK, students_of
+from respondex.operators.search import copy_order, result_order, students_of
 from respondex.schemas import QUESTIONS, STUDENT_KEY
 from respondex.session import scratch_path
 
@@ -26,14 +27,13 @@ def search_batch(
     """For every question in ``queries(qid, vector)`` what ``search`` gives, plus a rank.
 
     Columns: ``qid, result_rank``, the survey's, ``result_question_id, result_distance,
-    result_text``. A question without a vector gets no rows.
+    result_text``. A question without a vector gets no rows. ``limit`` 0 or less means all
+    rows; then one task ranks all rows of a question.
 
     The pass over the vectors runs here and leaves its winners, ``limit`` keys per
     question, in a scratch table; texts are fetched when the caller acts. ``queries``
     should be a stored table, as it is read more than once.
     """
-    if not 0 < limit <= MAX_TASK_RANK:
-        raise ValueError(f"limit must be 1 to {MAX_TASK_RANK}; for more, search one by one")
     students = students_of(survey, key)
     candidates = answers_of(embeddings, students.filter(F.col("_student").isNotNull()))
     path = scratch_path(survey.sparkSession, "winners")
@@ -47,7 +47,7 @@ def search_batch(
     )
     # Students without any answer come last and matter only if answers run out, which
     # they do for all questions alike.
-    if stored.filter(F.col("rank") == limit).isEmpty():
+    if limit <= 0 or stored.filter(F.col("rank") == limit).isEmpty():
         near = near.unionByName(_absent(students, candidates, queries, limit))
     return _with_answers(survey, near, limit, key, questions)
 
@@ -55,15 +55,20 @@ def search_batch(
 def _absent(
     students: DataFrame, candidates: DataFrame, queries: DataFrame, limit: int
 ) -> DataFrame:
+    """The students without answers, up to ``limit``, for every question that has a vector.
+
+    They carry the list of questions, which the tasks have held already for measuring.
+    """
     known = candidates.select(F.col("student_id").alias("_student")).distinct()
     without = students.join(known, "_student", "left_anti")
-    first = without.orderBy(F.asc_nulls_last("_student")).limit(limit)
-    # At most ``limit`` ids, the same for every question.
-    ids = [row["_student"] for row in first.collect()]
-    names = F.lit(ids) if ids and None not in ids else F.array(*[F.lit(i) for i in ids])
-    return queries.filter(F.col("vector").isNotNull()).select(
-        "qid",
-        F.explode(names.cast("array<string>")).alias("_student"),
+    if limit > 0:
+        without = without.orderBy(F.asc_nulls_last("_student")).limit(limit)
+    asked = [r["qid"] for r in queries.filter(F.col("vector").isNotNull()).select("qid").collect()]
+    kind = queries.schema["qid"].dataType
+    ids = F.array(*[F.lit(q) for q in asked]).cast(T.ArrayType(kind))
+    return without.select(
+        F.explode(ids).alias("qid"),
+        "_student",
         F.lit(None).cast("string").alias("result_question_id"),
         F.lit(None).cast("double").alias("result_distance"),
     )
@@ -81,19 +86,20 @@ def _with_answers(
     theirs = survey.join(
         wanted, survey[key].cast("string").eqNullSafe(wanted["_student"]), "left_semi"
     )
-    copies = Window.partitionBy(key).orderBy(*questions)
-    rows = (
-        theirs.withColumn("_copy", F.row_number().over(copies))
-        .filter(F.col("_copy") <= limit)
-        .drop("_copy")
-    )
+    rows = theirs
+    if limit > 0:
+        copies = Window.partitionBy(F.col(key).cast("string")).orderBy(*copy_order(survey.columns))
+        rows = (
+            theirs.withColumn("_copy", F.row_number().over(copies))
+            .filter(F.col("_copy") <= limit)
+            .drop("_copy")
+        )
     found = rows.join(near, rows[key].cast("string").eqNullSafe(near["_student"]))
-    order = [F.asc_nulls_last(c) for c in ("result_distance", key, "result_question_id")]
-    order += [F.asc_nulls_last(q) for q in questions]
+    order = result_order(F.col(key), survey.columns)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
     return (
         found.withColumn("result_rank", rank)
-        .filter(F.col("result_rank") <= limit)
+        .filter((F.col("result_rank") <= limit) | F.lit(limit <= 0))
         .select(
             "qid",
             "result_rank",

@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respondex.functions.text import (
-    CONTEXT_SEPARATOR,
-    DEFAULT_TEMPLATE,
-    chat_messages,
-    fill_template,
-)
+from respondex.functions.text import CONTEXT_SEPARATOR, chat_messages, fill_template
 from respondex.schemas import STUDENT_KEY
 
 
 def build_context(results: DataFrame, key: str = STUDENT_KEY) -> DataFrame:
     """Per ``qid``: the answer texts in result order with a blank line between them.
 
-    The rows of one question become one string, so ``results`` should be a top-k search.
-    Rows without a text are skipped and counted in ``n_missing``.
+    The order is ``result_rank`` if the results have it. The rows of one question become
+    one string, so ``results`` should be a top-k search. Rows without a text are skipped
+    and counted in ``n_missing``.
     """
-    # The flag comes first because NULL sorts before numbers inside a struct.
-    place = F.struct(
-        F.col("result_distance").isNull().alias("last"),
-        "result_distance",
-        key,
-        "result_question_id",
-        "result_text",
-    )
+    if "result_rank" in results.columns:
+        order = [F.col("result_rank")]
+    else:
+        # The flag comes first because NULL sorts before numbers inside a struct.
+        order = [
+            F.col("result_distance").isNull().alias("last"),
+            F.col("result_distance"),
+            F.col(key).cast("string").alias("key"),
+            F.col("result_question_id"),
+        ]
+    place = F.struct(*order, "result_text")
     ordered = F.sort_array(F.collect_list(place))
     texts = F.transform(ordered, lambda row: row["result_text"])
     return results.groupBy("qid").agg(
@@ -38,7 +37,7 @@ def build_context(results: DataFrame, key: str = STUDENT_KEY) -> DataFrame:
 
 
 def render_prompts(
-    contexts: DataFrame, queries: DataFrame, template: str = DEFAULT_TEMPLATE
+    contexts: DataFrame, queries: DataFrame, template: str
 ) -> DataFrame:
     """``qid, question, context, prompt`` for every row of ``queries(qid, text)``.
 

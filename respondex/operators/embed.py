@@ -17,11 +17,11 @@ from respondex.models import BatchFunction, Model
 from respondex.schemas import EMBEDDINGS, TEXT_KEY, TEXTS
 from respondex.session import (
     MAX_BROADCAST_KEYS,
-    child_dirs,
     drop_scratch,
+    files_below,
     input_bytes,
-    is_committed,
     scratch_path,
+    write_record,
 )
 
 
@@ -75,7 +75,13 @@ def _embed_array(texts: list, model: Model, embed: BatchFunction) -> pa.Array:
     todo = [i for i, text in enumerate(texts) if text is not None]
     for start in range(0, len(todo), model.batch_size):
         places = todo[start : start + model.batch_size]
-        for i, found in zip(places, _call(embed, [texts[i] for i in places]), strict=True):
+        vectors = _call(embed, [texts[i] for i in places])
+        if isinstance(vectors, np.ndarray) and _fine(vectors, len(places), model):
+            matrix[places] = _scaled(vectors) if model.normalize else vectors
+            for i in places:
+                errors[i] = None
+            continue
+        for i, found in zip(places, vectors, strict=True):
             errors[i] = found if isinstance(found, str) else _place(found, matrix[i], model)
     failed = np.array([e is not None for e in errors], dtype=bool)
     ends = np.concatenate([[0], np.cumsum(~failed) * model.dim]).astype(np.int32)
@@ -87,6 +93,16 @@ def _embed_array(texts: list, model: Model, embed: BatchFunction) -> pa.Array:
     )
 
 
+def _fine(vectors: np.ndarray, n: int, model: Model) -> bool:
+    """True for a matrix that needs no look at its single rows."""
+    return vectors.shape == (n, model.dim) and bool(np.isfinite(vectors).all())
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms == 0, 1, norms)
+
+
 def _call(embed: BatchFunction, texts: list[str]) -> Sequence:
     """Vectors of a batch; if the batch fails, each text is tried alone."""
     try:
@@ -142,14 +158,15 @@ def embed_queries(queries: DataFrame, model: Model, text: str = "text") -> DataF
 
 
 _FILE_BYTES = 128 << 20
-_MAX_FILES = 10_000
+_BATCH_BYTES = 16 << 30
 
 
 class EmbeddingStore:
-    """Vectors of one model in a folder tree ``run=/batch=/status=``.
+    """Vectors of one model in a folder tree ``data/run=/batch=/status=``.
 
-    Every batch is one Spark write and counts only once its ``_SUCCESS`` file is there,
-    so a run that dies leaves whole batches and no half ones. Vectors and failures are
+    Every batch is one Spark write and counts only once its record lies in the folder
+    ``done``, whatever markers the committer writes. So a run that dies leaves whole
+    batches and no half ones, and one listing tells which count. Vectors and failures are
     split by the ``status`` folder: looking up which keys are done reads neither the
     vectors nor the failures. One run at a time may write.
     """
@@ -164,15 +181,11 @@ class EmbeddingStore:
         self.path = path.rstrip("/")
 
     def _stored(self, status: str) -> DataFrame:
-        batches = [
-            batch
-            for run in child_dirs(self.spark, self.path)
-            for batch in child_dirs(self.spark, run)
-            if is_committed(self.spark, batch)
-        ]
+        done = [name.split("-") for name in files_below(self.spark, f"{self.path}/done")]
+        batches = [f"{self.path}/data/run={run}/batch={batch}" for run, batch in done]
         if not batches:
             return self.spark.createDataFrame([], self._SCHEMA)
-        reader = self.spark.read.schema(self._SCHEMA).option("basePath", self.path)
+        reader = self.spark.read.schema(self._SCHEMA).option("basePath", f"{self.path}/data")
         return reader.parquet(*batches).filter(F.col("status") == status)
 
     def keys(self) -> DataFrame:
@@ -190,15 +203,16 @@ class EmbeddingStore:
         texts: DataFrame,
         model: Model,
         *,
-        batches: int = 1,
+        batches: int | None = None,
         files_per_batch: int | None = None,
         partitions: int | None = None,
     ) -> str | None:
         """Embed the texts that have no vector yet and return the run's name.
 
-        With ``batches`` > 1 the pending texts are first written out by batch, so each
-        batch reads its own part only and a failure costs at most one batch of calls. The
-        files of a batch are planned for 128 MB of input unless ``files_per_batch`` is given.
+        With more than one batch the pending texts are first written out by batch, so each
+        batch reads its own part only and a failure costs at most one batch of calls.
+        Without ``batches`` there is one for every 16 GB of texts. The files of a batch are
+        planned for 128 MB of input unless ``files_per_batch`` is given.
         ``partitions`` spreads the calls of a batch over that many tasks. Returns None if
         nothing was pending.
         """
@@ -207,28 +221,31 @@ class EmbeddingStore:
         if pending is None:
             return None
         pending = pending.select(*TEXT_KEY, "text")
+        if batches is None:
+            batches = math.ceil(input_bytes(texts) / _BATCH_BYTES)
         if batches <= 1:
             self._write(pending, model, run, 0, partitions)
             return run
         if files_per_batch is None:
-            wanted = math.ceil(input_bytes(texts) / batches / _FILE_BYTES)
-            files_per_batch = max(1, min(wanted, _MAX_FILES))
+            files_per_batch = max(1, math.ceil(input_bytes(texts) / batches / _FILE_BYTES))
         staged = scratch_path(self.spark, "pending")
         bucket = F.xxhash64(*TEXT_KEY)
         (
             pending.withColumn("batch", F.pmod(bucket, F.lit(batches)))
             .withColumn("_slice", F.pmod(F.xxhash64(bucket, F.lit(1)), F.lit(files_per_batch)))
-            .repartition("batch", "_slice")
+            .repartition(batches * files_per_batch, "batch", "_slice")
             .drop("_slice")
             .write.partitionBy("batch")
             .parquet(staged)
         )
         schema = T.StructType([*TEXTS.fields, T.StructField("batch", T.LongType())])
         parts = self.spark.read.schema(schema).parquet(staged)
-        for number in range(batches):
-            part = parts.filter(F.col("batch") == number)
-            self._write(part.drop("batch"), model, run, number, partitions)
-        drop_scratch(self.spark, staged)
+        try:
+            for number in range(batches):
+                part = parts.filter(F.col("batch") == number)
+                self._write(part.drop("batch"), model, run, number, partitions)
+        finally:
+            drop_scratch(self.spark, staged)
         return run
 
     def _write(
@@ -236,7 +253,8 @@ class EmbeddingStore:
     ) -> None:
         found = embed_texts(rows, model, partitions=partitions)
         status = F.when(F.col("error").isNull(), "ok").otherwise("failed")
-        target = f"{self.path}/run={run}/batch={number}"
+        target = f"{self.path}/data/run={run}/batch={number}"
         found.withColumn("status", status).write.mode("overwrite").partitionBy(
             "status"
         ).parquet(target)
+        write_record(self.spark, f"{self.path}/done/{run}-{number}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.vectors import has_null_element
@@ -45,8 +45,10 @@ def vector_faults(embeddings: DataFrame, dim: int) -> DataFrame:
     return checked.filter(present & ((F.col("length") != dim) | F.col("null_element")))
 
 
-def assign_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Number rows 1..n in the order of ``order``, which must be unique.
+def assign_ids(
+    rows: DataFrame, order: Sequence[str | Column], name: str = "id", start: int = 1
+) -> DataFrame:
+    """Number rows from ``start`` on in the order of ``order``; ties go as they come.
 
     Rows are range-partitioned and sorted, so partition p holds what comes after
     partition p - 1. An id is then the rows before the partition plus the position in it.
@@ -67,9 +69,9 @@ def assign_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataF
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per partition of the sort, so this window stays as small as the task list.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_size").over(before), F.lit(0))
-    starts = sizes.select("_part", start.alias("_start"))
+    earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    starts = sizes.select("_part", earlier.alias("_start"))
     in_part = F.col("_position").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + in_part + 1).alias(name), *rows.columns
+        (F.col("_start") + in_part + start).alias(name), *rows.columns
     )

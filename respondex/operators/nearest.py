@@ -15,11 +15,11 @@ from pyspark.sql.pandas.types import from_arrow_type
 from respondex.functions.vectors import matrix_of
 from respondex.session import MAX_BROADCAST_KEYS, fits_auto_broadcast, scratch_path
 
-# Questions sent to the tasks at once: 50 MB of vectors at width 1536.
-BLOCK_QUERIES = 4096
+# Questions sent to the tasks at once: this many bytes of vectors.
+BLOCK_BYTES = 256 << 20
 
-# Answers a task keeps for all its questions together.
-BLOCK_ANSWERS = 1_000_000
+# Tasks between the many that read and the one that ranks a question's answers.
+_MIDDLE_TASKS = 64
 
 _PAIR_VALUES = 1 << 17
 _SCREEN_VALUES = 1 << 22
@@ -47,20 +47,20 @@ def answers_of(embeddings: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def nearest_answers(
-    embeddings: DataFrame, queries: DataFrame, limit: int, block: int = BLOCK_QUERIES
+    embeddings: DataFrame, queries: DataFrame, limit: int, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """The ``limit`` nearest answers of every question, with their ``rank``.
+    """The ``limit`` nearest answers of every question (0: all), with their ``rank``.
 
     ``queries`` holds a unique ``qid`` and a ``vector``; questions without a vector are
-    left out. Every task keeps ``limit`` answers per question for its own vectors, so the
-    pairs of all answers and all questions never exist as rows. What reaches one group
-    of the final ranking is at most ``limit`` rows per task.
+    left out. A task emits, batch by batch, what can still be among the nearest; Spark
+    keeps the first ``limit`` of it in the task, then in middle tasks, then for the question.
 
-    Questions go to the tasks in blocks. Beyond one block, each block is a job of its own
-    that appends to a table in the shared scratch folder.
+    The vectors are read once for as many questions as fit into ``block_bytes``. Beyond
+    that, each block of questions is a pass of its own that appends to a scratch table.
     """
     asked = queries.filter(F.col("vector").isNotNull()).select("qid", "vector")
-    block = max(1, min(block, BLOCK_ANSWERS // limit))
+    first = asked.first()
+    block = max(1, block_bytes // (8 * len(first["vector"]) if first and first["vector"] else 8))
     table = asked.limit(block + 1).toArrow()
     if table.num_rows <= block:
         return _nearest_block(embeddings, table, limit)
@@ -88,10 +88,18 @@ def _nearest_block(embeddings: DataFrame, asked: pa.Table, limit: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, vectors = shared.value
-        best = _Best(vectors, limit)
-        for batch in batches:
-            best.add(batch)
-        yield from best.rows(qids)
+        bar = np.full(len(vectors), np.inf)
+        for batch in batches if len(vectors) else ():
+            for rows, cols, found in _near(batch, vectors, limit, bar):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        qids.take(pa.array(cols)),
+                        batch.column("student_id").take(pa.array(rows)),
+                        batch.column("question_id").take(pa.array(rows)),
+                        found,
+                    ],
+                    names=["qid", "student_id", "question_id", "result_distance"],
+                )
 
     qid_type = from_arrow_type(qids.type).simpleString()
     local = embeddings.select("student_id", "question_id", "embedding").mapInArrow(
@@ -99,151 +107,72 @@ def _nearest_block(embeddings: DataFrame, asked: pa.Table, limit: int) -> DataFr
         f"qid {qid_type}, student_id string, question_id string, result_distance double",
     )
     order = [F.asc_nulls_last(c) for c in ("result_distance", "student_id", "question_id")]
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
-    return local.withColumn("rank", rank).filter(F.col("rank") <= limit)
-
-
-class _Best:
-    """The nearest answers a task has seen so far, per question.
-
-    One matrix product gives a lower bound on the squared distances to a block of
-    questions: it is |a|^2 + |q|^2 - 2aq less ``slack`` times both squares, which is more
-    than rounding can add. A pair whose lower bound is above the question's current limit
-    cannot win. What is left is measured exactly, in element order.
+    if limit <= 0:
+        return local.withColumn("rank", F.lit(0))
+    local = local.withColumn("_middle", F.spark_partition_id() % _MIDDLE_TASKS)
+    for groups in (("qid", "_middle"), ("qid",)):
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        local = local.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return local.drop("_middle")
+
+
+def _near(
+    batch: pa.RecordBatch, queries: np.ndarray, limit: int, bar: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Rows of the batch, questions and distances of the pairs that can still win.
+
+    ``bar`` holds, per question, a squared distance that ``limit`` answers of one batch do
+    not exceed; it is lowered here. One matrix product bounds the squared distances from
+    below: |a|^2 + |q|^2 - 2aq less ``slack`` times both squares, which is more than
+    rounding can add. What is not above the bar is measured exactly, in element order.
     """
-
-    _ORDER = [(c, "ascending") for c in ("query", "distance", "student_id", "question_id")]
-
-    def __init__(self, queries: np.ndarray, limit: int):
-        self.queries = queries
-        self.limit = limit
-        self.slack = 16 * queries.shape[1] * np.finfo(np.float64).eps
-        self.squares = np.einsum("ij,ij->i", queries, queries)
-        ones = np.ones(len(queries))
-        self.right = np.column_stack([-2 * queries, ones, self.squares * (1 - self.slack)]).T
-        self.bar = np.full(len(queries), np.inf)  # squared distance that still may win
-        self.kept: pa.Table | None = None
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        if not len(batch) or not len(self.queries):
-            return
-        vectors = batch.column("embedding")
-        present = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
-        matrix = matrix_of(vectors, self.queries.shape[1])
-        finite = np.isfinite(matrix).all(axis=1)
-        keys = pa.table({c: batch.column(c) for c in ("student_id", "question_id")})
-        found = list(self._screen(matrix[finite], keys.take(pa.array(present[finite]))))
-        self._merge(found)
-        if not finite.all() or len(present) < len(batch):
-            self._merge(self._odd(matrix, present, finite, keys))
-
-    def _screen(self, matrix: np.ndarray, keys: pa.Table) -> Iterator[pa.Table]:
-        if not len(matrix):
-            return
-        exact = matrix.astype(np.float64)
-        squares = np.einsum("ij,ij->i", exact, exact)
-        left = np.column_stack([exact, squares * (1 - self.slack), np.ones(len(exact))])
-        firsts: np.ndarray | None = None
-        step = max(1, _SCREEN_VALUES // len(exact))
-        for start in range(0, len(self.queries), step):
-            stop = min(start + step, len(self.queries))
-            low = left @ self.right[:, start:stop]
-            near = low <= self.bar[start:stop]
-            if np.count_nonzero(near) > self.limit * (stop - start):
-                for j in np.flatnonzero(near.sum(axis=0) > self.limit):
-                    q = start + j
-                    high = low[:, j] + 2 * self.slack * (squares + self.squares[q])
-                    self.bar[q] = min(
-                        self.bar[q], np.partition(high, self.limit - 1)[self.limit - 1]
-                    )
-                near = low <= self.bar[start:stop]
-            rows, cols = np.nonzero(near)
-            if len(rows) > 8 * self.limit * (stop - start):
-                if firsts is None:
-                    firsts = _first_copies(matrix, keys, self.limit)
-                rows, cols = rows[firsts[rows]], cols[firsts[rows]]
-            if len(rows):
-                yield self._measured(exact, keys, rows, cols + start)
-
-    def _measured(
-        self, exact: np.ndarray, keys: pa.Table, rows: np.ndarray, cols: np.ndarray
-    ) -> pa.Table:
-        out = np.empty(len(rows))
-        step = max(1, _PAIR_VALUES // exact.shape[1])
-        for start in range(0, len(rows), step):
-            part = slice(start, start + step)
-            gap = exact[rows[part]] - self.queries[cols[part]]
-            gap *= gap
-            out[part] = np.sqrt(np.add.accumulate(gap, axis=1)[:, -1])
-        return self._table(cols, pa.array(out), keys.take(pa.array(rows)))
-
-    def _odd(
-        self, matrix: np.ndarray, present: np.ndarray, finite: np.ndarray, keys: pa.Table
-    ) -> list[pa.Table]:
-        """Infinite, NaN and NULL distances, for questions that still lack answers.
-
-        They are the same for every question, so the first ``limit`` serve them all.
-        """
-        lacking = np.flatnonzero(np.isinf(self.bar))
-        if not len(lacking):
-            return []
-        odd = np.ones(len(keys), dtype=bool)
-        odd[present[finite]] = False
-        value = np.full(len(keys), np.nan)
-        value[present] = np.where(np.isnan(matrix).any(axis=1), np.nan, np.inf)
-        absent = np.ones(len(keys), dtype=bool)
-        absent[present] = False
-        distance = pa.array(value, mask=absent).filter(pa.array(odd))
-        few = self._table(np.zeros(odd.sum(), dtype=np.int64), distance, keys.filter(odd))
-        few = few.take(pc.sort_indices(few, sort_keys=self._ORDER))[: self.limit]
-        return [
-            few.set_column(0, "query", pa.array(np.full(len(few), q, dtype=np.int64)))
-            for q in lacking
-        ]
-
-    @staticmethod
-    def _table(queries: np.ndarray, distance: pa.Array, keys: pa.Table) -> pa.Table:
-        return pa.table(
-            {
-                "query": pa.array(queries.astype(np.int64)),
-                "distance": distance,
-                "student_id": keys.column("student_id"),
-                "question_id": keys.column("question_id"),
-            }
-        )
-
-    def _merge(self, found: list[pa.Table]) -> None:
-        if not found:
-            return
-        table = pa.concat_tables([*([self.kept] if self.kept is not None else []), *found])
-        table = table.take(pc.sort_indices(table, sort_keys=self._ORDER))
-        query = table.column("query").to_numpy()
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        table = table.filter(pa.array(place < self.limit))
-        self.kept = table.combine_chunks()
-        last = np.flatnonzero(place[place < self.limit] == self.limit - 1)
-        reached = table.column("query").to_numpy()[last]
-        distance = table.column("distance").to_numpy()[last]
-        bar = np.where(np.isnan(distance), np.inf, distance * distance * (1 + 1e-9))
-        self.bar[reached] = bar
-
-    def rows(self, qids: pa.Array) -> Iterator[pa.RecordBatch]:
-        if self.kept is None:
-            return
-        names = ["qid", "student_id", "question_id", "result_distance"]
-        table = pa.table(
-            [
-                qids.take(self.kept.column("query").combine_chunks()),
-                self.kept.column("student_id"),
-                self.kept.column("question_id"),
-                self.kept.column("distance"),
-            ],
-            names=names,
-        )
-        yield from table.to_batches(max_chunksize=10_000)
-
-
-def _first_copies(matrix: np.ndarray, keys: pa.Table, limit: int) -> np.ndarray:
+    column = batch.column("embedding")
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    exact = matrix_of(column, queries.shape[1])
+    keys = batch.select(["student_id", "question_id"])
+    if limit > 0 and len(rows):
+        first = _first_copies(exact, keys.take(pa.array(rows)), limit)
+        rows, exact = rows[first], exact[first]
+    exact = exact.astype(np.float64)
+    finite = np.isfinite(exact).all(axis=1)
+    odd, strange = rows[~finite], exact[~finite]
+    rows, exact = rows[finite], exact[finite]
+    slack = 16 * queries.shape[1] * np.finfo(np.float64).eps
+    squares = np.einsum("ij,ij->i", exact, exact)
+    step = max(1, _SCREEN_VALUES // max(1, len(exact)))
+    for start in range(0, len(queries), step) if len(rows) else ():
+        some = queries[start : start + step]
+        own = np.einsum("ij,ij->i", some, some)
+        both = squares[:, None] + own
+        low = both * (1 - slack) - 2 * (exact @ some.T)
+        limits = bar[start : start + step]
+        if 0 < limit <= len(rows):
+            high = np.partition(low + 2 * slack * both, limit - 1, axis=0)[limit - 1]
+            np.minimum(limits, high, out=limits)
+        i, j = np.nonzero(low <= limits)
+        for k in range(0, len(i), max(1, _PAIR_VALUES // queries.shape[1])):
+            part = slice(k, k + max(1, _PAIR_VALUES // queries.shape[1]))
+            gap = (exact[i[part]] - some[j[part]]) ** 2
+            found = np.sqrt(np.add.accumulate(gap, axis=1)[:, -1])
+            yield rows[i[part]], start + j[part], pa.array(found)
+    # NULL, NaN and infinite distances are alike for all questions that lack answers.
+    absent = np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False))
+    value = np.where(np.isnan(strange).any(axis=1), np.nan, np.inf)
+    value = np.concatenate([value, np.zeros(len(absent))])
+    missing = np.arange(len(value)) >= len(odd)
+    last = np.concatenate([odd, absent])
+    if limit > 0 and len(last) > limit:
+        table = pa.table({"d": pa.array(value, mask=missing)} | {
+            c: keys.column(c).take(pa.array(last)) for c in ("student_id", "question_id")
+        })
+        by = [(c, "ascending") for c in table.column_names]
+        few = pc.sort_indices(table, sort_keys=by).to_numpy()[:limit]
+        last, value, missing = last[few], value[few], missing[few]
+    for q in np.flatnonzero(np.isinf(bar)) if len(last) else ():
+        yield last, np.full(len(last), q), pa.array(value, mask=missing)
+
+
+def _first_copies(matrix: np.ndarray, keys: pa.RecordBatch, limit: int) -> np.ndarray:
     """True for rows that are among the first ``limit`` of their identical vectors.
 
     Copies are equally far from any question, so later ones can never win.
@@ -251,7 +180,9 @@ def _first_copies(matrix: np.ndarray, keys: pa.Table, limit: int) -> np.ndarray:
     packed = np.ascontiguousarray(matrix)
     packed = packed.view(np.dtype((np.void, packed.dtype.itemsize * packed.shape[1])))
     _, group = np.unique(packed.ravel(), return_inverse=True)
-    table = keys.append_column("group", pa.array(group))
+    if len(group) == 0 or np.bincount(group).max() <= limit:
+        return np.ones(len(group), dtype=bool)
+    table = pa.Table.from_batches([keys]).append_column("group", pa.array(group))
     sort_keys = [(c, "ascending") for c in ("group", "student_id", "question_id")]
     order = pc.sort_indices(table, sort_keys=sort_keys).to_numpy()
     ordered = group[order]

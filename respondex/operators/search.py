@@ -8,17 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.text import display_line, pick_answer
-from respondex.functions.vectors import distance_to
+from respondex.functions.vectors import checked, distance_to
+from respondex.operators.keys import assign_ids
 from respondex.schemas import QUESTIONS, STUDENT_KEY
 from respondex.session import fits_auto_broadcast, input_bytes
 
-# Up to this limit the winners (a key and a vector each) are small enough to broadcast.
+# Up to this limit the winners' keys are small enough to broadcast.
 MAX_TOP = 10_000
 
-# Spark drops rows beyond a rank inside each task only up to this rank (the default of
-# spark.sql.optimizer.windowGroupLimitThreshold).
-MAX_TASK_RANK = 1000
-
 # Tasks between the many that read and the one that merges.
 _MIDDLE_TASKS = 64
 
@@ -27,9 +24,16 @@ _MIDDLE_TASKS = 64
 DIRECT_INPUT_BYTES = 4 << 30
 
 
-def result_order(key: str = STUDENT_KEY) -> list[Column]:
-    """Nearest first; NaN, then NULL at the end; key and question break ties."""
-    return [F.asc_nulls_last(c) for c in ("result_distance", key, "result_question_id")]
+def copy_order(columns: Sequence[str]) -> list[Column]:
+    """Order among survey rows of one key: by all their columns, NULL last."""
+    return [F.asc_nulls_last(c) for c in columns]
+
+
+def result_order(key: Column, columns: Sequence[str] = ()) -> list[Column]:
+    """Nearest first; NaN, then NULL at the end. Ties go by the key as text, by question,
+    and then by the survey's columns, on every route."""
+    first = [F.col("result_distance"), key.cast("string"), F.col("result_question_id")]
+    return [*[F.asc_nulls_last(c) for c in first], *copy_order(columns)]
 
 
 def students_of(survey: DataFrame, key: str) -> DataFrame:
@@ -53,11 +57,14 @@ def search(
     Every survey row comes with each of its answers that has an entry in ``embeddings``;
     a row without any comes once, with NULL distance and NULL text, after all others.
     ``limit`` counts result rows; 0 or less means all. Filter ``survey`` first to search
-    among some students only. Nothing runs before the caller acts.
+    among some students only. A faulty vector of one of these students fails the search;
+    vectors of others don't matter. Survey columns must be sortable.
 
     ``route`` is "direct" (join, then rank), "narrow" (rank keys, then fetch the winners)
     or "auto": direct for small input (a survey that Spark broadcasts, up to 4 GB of
-    embeddings) or if all rows are wanted. Both give the same rows.
+    embeddings) or if all rows are wanted. Both give the same rows. Nothing runs before the
+    caller acts, but for a limit above 10,000: its rows are numbered by range, so that no
+    task merges them all, and a sorted table of distances is written for that.
     """
     if route not in ("auto", "direct", "narrow"):
         raise ValueError(f"unknown route {route!r}")
@@ -72,15 +79,37 @@ def search(
         else _direct(survey, embeddings, vector, key)
     )
     columns = [*survey.columns, *(["embedding"] if include_embedding else [])]
-    ordered = found.select(
-        *columns, "result_question_id", "result_distance"
-    ).orderBy(*result_order(key))
-    if limit > 0:
-        ordered = ordered.limit(limit)
+    found = found.select(
+        *columns, "result_question_id", checked(F.col("result_distance")).alias("result_distance")
+    )
+    order = result_order(F.col(key), survey.columns)
+    if limit > MAX_TOP:
+        ordered = _first_many(found, order, limit).orderBy(*order)
+    elif limit > 0:
+        ordered = found.orderBy(*order).limit(limit)
+    else:
+        ordered = found.orderBy(*order)
     text = pick_answer(F.col("result_question_id"), questions)
     return ordered.withColumn("result_text", text)
 
 
+def _first_many(found: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows for a limit too large for one task.
+
+    The distances alone are sorted by range and numbered; those beyond the last one that
+    counts drop out, and only what is left is sorted and numbered as whole rows.
+    """
+    distance = F.col("result_distance")
+    numbered = assign_ids(found.select("result_distance"), [F.asc_nulls_last(distance)], "_place")
+    last = numbered.filter(F.col("_place") == limit).first()
+    if last is None:
+        return found
+    cut = last["result_distance"]
+    if cut is not None:
+        found = found.filter(distance <= cut)  # NaN is above all numbers
+    return assign_ids(found, order, "_place").filter(F.col("_place") <= limit).drop("_place")
+
+
 def _scored(embeddings: DataFrame, vector: Sequence[float]) -> DataFrame:
     return embeddings.select(
         F.col("student_id").alias("_student"),
@@ -118,7 +147,7 @@ def _narrow(
     """
     students = students_of(survey, key)
     searched = embeddings
-    if fits_auto_broadcast(students):
+    if fits_auto_broadcast(students):  # spares measuring others, which count for nothing
         among = embeddings["student_id"] == students["_student"]
         searched = embeddings.join(students, among, "left_semi")
     best = (
@@ -127,13 +156,14 @@ def _narrow(
         .agg(F.min("result_distance").alias("_best"), F.count(F.lit(1)).alias("_entries"))
     )
     ranked = [F.asc_nulls_last("_best"), F.asc_nulls_last("_student")]
-    finalists = _first(students.join(best, "_student", "left"), ranked, limit)
+    known = students.join(best, "_student", "left").withColumn("_best", checked(F.col("_best")))
+    finalists = _first(known, ranked, limit)
     present = finalists.filter(F.col("_entries").isNotNull())
     absent = finalists.filter(F.col("_entries").isNull())
     theirs = embeddings.join(
         F.broadcast(present), embeddings["student_id"] == present["_student"], "left_semi"
     )
-    nearest = _first(_scored(theirs, vector), result_order("_student"), limit)
+    nearest = _first(_scored(theirs, vector), result_order(F.col("_student")), limit)
     answer = F.struct("result_question_id", "embedding", "result_distance")
     winners = (
         nearest.unionByName(absent.select("_student", *_no_answer()))
@@ -143,7 +173,7 @@ def _narrow(
     rows = survey.join(F.broadcast(winners), _same_student(survey, winners, key))
     # Copies of a survey row share their answers, so ``limit`` of them are enough. They
     # are dropped before the answers multiply the rows.
-    few = _thinned(rows, [F.col("_student")], limit, "_student")
+    few = _thinned(rows, copy_order(survey.columns), limit, "_student")
     return few.withColumn("_answer", F.explode("_answers")).select(*survey.columns, "_answer.*")
 
 
@@ -160,8 +190,9 @@ def _thinned(
     tasks keeps the load off the driver, and the shuffle makes the pass over the table a
     stage of its own, so that no broadcast has to wait for it.
     """
-    if limit > MAX_TASK_RANK:
-        return rows
+    spark = rows.sparkSession
+    if limit > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return rows  # Spark wouldn't drop anything inside its tasks
     place = F.row_number().over(Window.partitionBy("_middle", *groups).orderBy(*order))
     return (
         rows.withColumn("_middle", F.spark_partition_id() % _MIDDLE_TASKS)
@@ -174,16 +205,20 @@ def _thinned(
 def _direct(
     survey: DataFrame, embeddings: DataFrame, vector: Sequence[float], key: str
 ) -> DataFrame:
-    """All result rows, for the caller to rank.
+    """All result rows, for the caller to rank."""
+    return _joined(survey, _scored(embeddings, vector), key)
+
+
+def _joined(survey: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """Survey rows with each of their answers, or with none.
 
     Written as matches plus rows without a match, and not as one outer join: Spark can
     split a hot key on both sides of an inner join, but only on the left of an outer one,
     and it can broadcast a small survey only to an inner join.
     """
-    scored = _scored(embeddings, vector)
     text_key = survey[key].cast("string")
     matched = survey.join(scored, text_key == scored["_student"]).drop("_student")
-    known = embeddings.select(F.col("student_id").alias("_student"))
+    known = scored.select("_student")
     if fits_auto_broadcast(survey):
         known = known.join(students_of(survey, key), "_student", "left_semi")
     known = known.distinct()
@@ -194,12 +229,14 @@ def _direct(
 def join_answers(
     survey: DataFrame, embeddings: DataFrame, key: str = STUDENT_KEY
 ) -> DataFrame:
-    """The plain left join under every search: one row per survey row and answer."""
+    """One row per survey row and answer, as a search of all rows joins them."""
     answers = embeddings.select(
-        "student_id", F.col("question_id").alias("result_question_id"), "embedding"
+        F.col("student_id").alias("_student"),
+        F.col("question_id").alias("result_question_id"),
+        "embedding",
+        F.lit(None).cast("double").alias("result_distance"),
     )
-    text_key = survey[key].cast("string")
-    return survey.join(answers, text_key == answers["student_id"], "left").drop("student_id")
+    return _joined(survey, answers, key).drop("result_distance")
 
 
 def display_lines(results: DataFrame, key: str = STUDENT_KEY) -> DataFrame:

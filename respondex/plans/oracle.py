@@ -18,10 +18,10 @@ texts AS (
     FROM wide UNPIVOT (text FOR question_id IN (r1, r2, r3, r4))
 ),
 emb AS (
-    SELECT CAST(conv_id * 2 + turn // 4 AS VARCHAR) AS student_id,
-           'r' || CAST(turn % 4 + 1 AS VARCHAR) AS question_id,
+    SELECT coalesce(CAST(conv_id * 2 + turn // 4 AS VARCHAR), 'v' || vec_id) AS student_id,
+           coalesce('r' || CAST(turn % 4 + 1 AS VARCHAR), 'r1') AS question_id,
            embedding
-    FROM conversations JOIN embeddings ON vec_id = conv_id * 8 + turn
+    FROM embeddings LEFT JOIN conversations ON vec_id = conv_id * 8 + turn
 ),
 rounds AS (
     SELECT perm, r1, r2, r3, r4, 1 AS round FROM wide
@@ -39,6 +39,7 @@ round_first AS (
 )
 """
 
+# Fixed value: the instruction before a question.
 _PREFIX = "Represent this sentence for searching relevant passages: "
 
 
@@ -46,7 +47,7 @@ def _counts(name: str, source: str, keys: str) -> str:
     """CTEs ``name``: word counts in 64 buckets for every row of ``source(keys, text)``."""
     return f"""
 , {name}_words AS (
-    SELECT {keys}, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM {source}
+    SELECT {keys}, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM {source}
 ),
 {name}_buckets AS (
     SELECT {keys}, CAST(('0x' || substr(md5(lower(word)), 1, 8)) AS BIGINT) % 64 AS pos,
@@ -80,7 +81,10 @@ _PICK = (
 )
 _GIVEN = "(SELECT embedding FROM embeddings WHERE vec_id = 9)"
 _DISTANCE = f"array_distance(CAST(embedding AS DOUBLE[64]), CAST({_GIVEN} AS DOUBLE[64]))"
-_ORDER = "d ASC NULLS LAST, perm ASC NULLS LAST, question_id ASC NULLS LAST"
+_ORDER = (
+    "d ASC NULLS LAST, CAST(perm AS VARCHAR) ASC NULLS LAST, question_id ASC NULLS LAST, "
+    "r1 ASC NULLS LAST, r2 ASC NULLS LAST, r3 ASC NULLS LAST, r4 ASC NULLS LAST"
+)
 
 
 def _elements(source: str, keys: str, vector: str = "embedding") -> str:
@@ -102,6 +106,38 @@ ORDER BY {_ORDER} {tail}
 """
 
 
+def _by_routes(wide: str, emb: str, vector: str) -> str:
+    """25 rows of a search over other tables, once for each route."""
+    return f"""
+, w2 AS ({wide}), e2 AS ({emb}),
+top AS (
+    SELECT *, {_PICK} AS result_text FROM (
+        SELECT w2.*, question_id, array_distance(CAST(embedding AS DOUBLE[64]),
+                                                 CAST({vector} AS DOUBLE[64])) AS d
+        FROM w2 LEFT JOIN e2 ON CAST(perm AS VARCHAR) = student_id)
+    ORDER BY {_ORDER} LIMIT 25
+)
+SELECT perm, r1, r2, r3, r4, dept, first_gen, question_id AS result_question_id,
+       round(d, 6) AS result_distance, result_text, route
+FROM top, (VALUES ('direct'), ('narrow'), ('batch')) routes(route)
+"""
+
+
+def _batch_of(limit: int) -> str:
+    """All answers of all questions, and the students without one, ranked."""
+    return f"""
+, all_pairs AS (
+    SELECT a.qid, w.*, t.question_id, array_distance(CAST(t.embedding AS DOUBLE[64]),
+                                                     CAST(a.embedding AS DOUBLE[64])) AS d
+    FROM asked_vec a, wide w LEFT JOIN text_vec t ON w.perm = t.student_id
+)
+SELECT qid, CAST(rk AS INTEGER) AS result_rank, perm, question_id AS result_question_id,
+       round(d, 6) AS result_distance
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rk FROM all_pairs)
+WHERE {f"rk <= {limit}" if limit else "true"}
+"""
+
+
 _FOUND = f"""
 , pairs AS (
     SELECT a.qid, w.*, t.question_id,
@@ -121,21 +157,10 @@ contexts AS (
 )
 """
 
-_TEMPLATE_HEAD = (
-    "These are answers that respondents gave in a survey.\n\n=== answers ===\n"
-)
-_TEMPLATE_MIDDLE = (
-    "\n=== end of answers ===\n\n"
-    "Reply to the question from these answers only, in at most three sentences.\n"
-    "Say that you do not know if the answers do not tell.\n\nQuestion: "
-)
-_TEMPLATE_TAIL = "\nReply:\n"
-
 _PROMPTS = f"""
 , prompts AS (
     SELECT qid, text AS question, context,
-           '{_TEMPLATE_HEAD}' || context || '{_TEMPLATE_MIDDLE}' || text
-               || '{_TEMPLATE_TAIL}' AS prompt
+           'Q ' || text || chr(10) || context AS prompt
     FROM questions JOIN contexts USING (qid)
 )
 """
@@ -146,6 +171,17 @@ ORACLE: dict[str, str] = {
     "survey_scan": _BASE + _WIDE,
     "csv_scan": _BASE + _WIDE,
     "csv_scan_split": _BASE + _WIDE,
+    "csv_headers": _BASE + _WIDE,
+    "unkeyed_texts": _BASE
+    + """SELECT CAST(NULL AS VARCHAR) AS student_id, question_id, text
+        FROM texts JOIN wide ON perm = student_id WHERE dept = 'D1'""",
+    "build_pipeline": _BASE
+    + _WORDS
+    + """, numbered AS (
+        SELECT row_number() OVER (ORDER BY first_gen, student_id, question_id) AS id,
+               student_id, question_id, embedding
+        FROM text_vec JOIN wide ON perm = student_id)"""
+    + _elements("numbered", "id, student_id, question_id"),
     "embedding_scan": _BASE + _elements("emb", "student_id, question_id"),
     "materialize_if_absent": _BASE + _elements("emb", "student_id, question_id"),
     "vector_cast": _BASE + _elements("emb", "student_id, question_id"),
@@ -208,7 +244,25 @@ ORACLE: dict[str, str] = {
         CAST(len(embedding) AS INTEGER) AS embedding
         FROM wide LEFT JOIN emb ON perm = student_id""",
     "search_topk": _BASE
-    + _search(limit=25, extra=", round(CAST(embedding[1] AS DOUBLE), 6) AS embedding"),
+    + ", top AS ("
+    + _search(limit=25, extra=", embedding")
+    + ")"
+    + _elements("top", "perm, result_question_id, result_distance, result_text"),
+    "search_big_limit": _BASE + _search(limit=20_000),
+    "search_int_key": _BASE
+    + _by_routes(
+        "SELECT * REPLACE (CAST(perm AS INTEGER) AS perm) FROM wide",
+        "SELECT student_id, question_id, list_transform(range(64), "
+        "lambda i: CAST(substr(question_id, 2, 1) AS FLOAT)) AS embedding FROM emb",
+        "list_transform(range(64), lambda i: 1.0)",
+    ),
+    "search_repeated_perm": _BASE
+    + _by_routes(
+        "SELECT * FROM wide UNION ALL SELECT perm, r2, r3, r4, NULL, dept, first_gen FROM wide",
+        "SELECT * FROM emb",
+        _GIVEN,
+    ),
+    "search_strangers": _BASE + _by_routes("SELECT * FROM wide", "SELECT * FROM emb", _GIVEN),
     "search_narrow": _BASE + _search(limit=25),
     "search_all": _BASE + _search(),
     "search_prefilter": _BASE + _search("dept = 'D1'", 10),
@@ -229,7 +283,7 @@ unit_asked AS (
           FROM asked_vec WHERE qid = (SELECT min(qid) FROM questions))
 )
 SELECT perm, r1, r2, r3, r4, dept, first_gen, question_id AS result_question_id,
-       round(d, 4) AS result_distance, {_PICK} AS result_text
+       round(d, 6) AS result_distance, {_PICK} AS result_text
 FROM (SELECT wide.*, question_id,
              array_distance(CAST(unit.u AS DOUBLE[64]),
                             CAST((SELECT u FROM unit_asked) AS DOUBLE[64])) AS d
@@ -241,7 +295,7 @@ ORDER BY {_ORDER} LIMIT 10
         FROM wide LEFT JOIN emb ON perm = student_id""",
     "display_lines": _BASE
     + f"""SELECT '(distance: ' || coalesce(substr(regexp_replace(printf('%.12f', d),
-            '(\\.[0-9]+?)0+$', '\\1'), 1, 4), 'nan') || ', perm: ' || perm || ') '
+            '(\\.[0-9]+?)0+$', '\\1'), 1, 4), 'nan') || ', perm: ' || coalesce(perm, 'nan') || ') '
             || coalesce({_PICK}, '') AS line
         FROM (SELECT wide.*, question_id, {_DISTANCE} AS d
               FROM wide LEFT JOIN emb ON perm = student_id)
@@ -253,14 +307,16 @@ ORDER BY {_ORDER} LIMIT 10
     + """SELECT qid, CAST(rk AS INTEGER) AS result_rank, perm, r1, r2, r3, r4, dept, first_gen,
         question_id AS result_question_id, round(d, 6) AS result_distance, txt AS result_text
         FROM found""",
+    "search_batch_all": _BASE + _WORDS + _ASKED + _batch_of(0),
+    "search_batch_big_limit": _BASE + _WORDS + _ASKED + _batch_of(1500),
     "search_batch_vectors": _BASE
     + f"""SELECT qid, CAST(rk AS INTEGER) AS result_rank, perm,
         question_id AS result_question_id, round(d, 6) AS result_distance
         FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rk
-              FROM (SELECT q.vec_id AS qid, student_id AS perm, question_id,
+              FROM (SELECT q.vec_id AS qid, wide.*, question_id,
                            array_distance(CAST(emb.embedding AS DOUBLE[64]),
                                           CAST(q.embedding AS DOUBLE[64])) AS d
-                    FROM embeddings q, emb))
+                    FROM embeddings q, emb JOIN wide ON perm = student_id))
         WHERE rk <= 3""",
     "search_documents": _BASE
     + _ASKED

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondex.functions.text import DEFAULT_TEMPLATE
 from respondex.models import Model, model
 from respondex.operators.batch import search_batch
 from respondex.operators.context import build_context, render_prompts, with_messages
 from respondex.operators.embed import EmbeddingStore, embed_queries
+from respondex.operators.keys import assign_ids
 from respondex.operators.reshape import keep_first, new_texts, split_null_keys, to_long
 from respondex.operators.search import display_lines, search
-from respondex.schemas import QUESTIONS, STUDENT_KEY, TEXTS
-from respondex.session import path_exists, scratch_path
+from respondex.schemas import QUESTIONS, STORED_TEXTS, STUDENT_KEY, TEXT_KEY, TEXTS
+from respondex.session import drop_scratch, path_exists, scratch_path
 from respondex.sources.embeddings import export_embeddings
 from respondex.sources.survey import SOURCE_ORDER
 
@@ -29,19 +30,38 @@ def add_texts(
     questions: Sequence[str] = QUESTIONS,
     key: str = STUDENT_KEY,
     order: Sequence[str] = (SOURCE_ORDER,),
-) -> int:
-    """Append the survey's answers to the text table; return how many lacked a key.
+) -> None:
+    """Append the survey's answers to the text table, numbered on from the last id there.
 
     Of several answers under one key the first in ``order`` counts, and what is stored
-    already always wins.
+    already always wins. Answers without a key can't be joined to anything; each run puts
+    all of them into a table of its own beside, ``<texts_path>-unkeyed/run=``.
     """
     spark = survey.sparkSession
     keyed, unkeyed = split_null_keys(to_long(survey, questions=questions, key=key, keep=order))
+    run = f"{time.time_ns():020d}"
+    unkeyed.select(*TEXTS.fieldNames()).write.parquet(f"{unkeyed_path(texts_path)}/run={run}")
     rows = keep_first(keyed, order)
+    last = 0
     if path_exists(spark, texts_path):
-        rows = new_texts(rows, spark.read.schema(TEXTS).parquet(texts_path))
-    rows.write.mode("append").parquet(texts_path)
-    return unkeyed.count()
+        stored = read_texts(spark, texts_path)
+        rows = new_texts(rows, stored)
+        last = stored.agg(F.max("id")).first()[0] or 0
+    path = scratch_path(spark, "new-texts")
+    rows.write.parquet(path)
+    rows = spark.read.schema(TEXTS).parquet(path)
+    ids = assign_ids(rows.select(*TEXT_KEY), TEXT_KEY, start=last + 1)
+    numbered = rows.join(ids, list(TEXT_KEY)).select("id", *TEXTS.fieldNames())
+    numbered.write.mode("append").parquet(texts_path)
+    drop_scratch(spark, path)
+
+
+def unkeyed_path(texts_path: str) -> str:
+    return f"{texts_path.rstrip('/')}-unkeyed"
+
+
+def read_texts(spark: SparkSession, texts_path: str) -> DataFrame:
+    return spark.read.schema(STORED_TEXTS).parquet(texts_path)
 
 
 def build(
@@ -51,13 +71,13 @@ def build(
     export_path: str,
     embedding_model: Model,
     *,
-    batches: int = 1,
+    batches: int | None = None,
     **reshape,
 ) -> None:
     """Survey to texts, texts to vectors (only those that lack one), vectors to Parquet."""
     spark = survey.sparkSession
     add_texts(survey, texts_path, **reshape)
-    texts = spark.read.schema(TEXTS).parquet(texts_path)
+    texts = read_texts(spark, texts_path).drop("id")
     store = EmbeddingStore(spark, store_path)
     store.add_pending(texts, embedding_model, batches=batches)
     export_embeddings(texts, store.embeddings(), export_path)
@@ -100,9 +120,9 @@ def prepare_prompts(
     survey: DataFrame,
     embeddings: DataFrame,
     *,
+    template: str,
     limit: int = 5,
     model: str | Model = DEFAULT_MODEL,
-    template: str = DEFAULT_TEMPLATE,
     **options,
 ) -> DataFrame:
     """For every row of ``queries(qid, text)``: context, prompt and chat messages.
@@ -118,7 +138,7 @@ def prepare_prompts(
 
 
 def prepare_prompt(
-    question: str, results: DataFrame, template: str = DEFAULT_TEMPLATE, key: str = STUDENT_KEY
+    question: str, results: DataFrame, template: str, key: str = STUDENT_KEY
 ) -> DataFrame:
     """Context, prompt and chat messages for one question and its search results."""
     asked = results.sparkSession.createDataFrame([(0, question)], "qid int, text string")

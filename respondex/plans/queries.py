@@ -22,9 +22,15 @@ from respondex.operators.embed import (
 from respondex.operators.keys import assign_ids, duplicate_keys, orphan_keys, vector_faults
 from respondex.operators.reshape import keep_first, new_texts, to_long
 from respondex.operators.search import display_lines, join_answers, search
-from respondex.plans.pipelines import prepare_prompts
+from respondex.plans.pipelines import (
+    add_texts,
+    build,
+    prepare_prompts,
+    read_texts,
+    unkeyed_path,
+)
 from respondex.plans.tables import embeddings, query_vector, survey, table, texts
-from respondex.schemas import QUESTIONS, TEXT_KEY
+from respondex.schemas import QUESTIONS, TEXT_KEY, TEXTS
 from respondex.session import scratch_path
 from respondex.sources.embeddings import (
     export_embeddings,
@@ -40,6 +46,7 @@ QUERIES: dict[str, Query] = {}
 
 DIM = 64
 WORDS = word_count_model(DIM, query_prefix=RETRIEVAL_PREFIX)
+TEMPLATE = "Q {question}\n{context}"
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -93,6 +100,40 @@ def _csv_scan_split(spark, sf_dir):
     return read_survey_split(spark, path, types={"first_gen": "int"})
 
 
+@query("csv_headers")
+def _csv_headers(spark, sf_dir):
+    """Two files with the columns in another order."""
+    path, rows = scratch_path(spark, "csv"), survey(spark, sf_dir)
+    write_survey(rows.filter("first_gen = 0"), f"{path}/a")
+    turned = rows.filter("first_gen = 1").select(*reversed(rows.columns))
+    write_survey(turned, f"{path}/b")
+    return read_survey_split(spark, f"{path}/*", types={"first_gen": "int"})
+
+
+@query("unkeyed_texts")
+def _unkeyed(spark, sf_dir):
+    """Answers that a build puts aside, as their students have no key."""
+    path = scratch_path(spark, "texts")
+    key = F.when(F.col("dept") != "D1", F.col("perm")).alias("perm")
+    rows = survey(spark, sf_dir).select(key, *QUESTIONS, F.col("perm").alias("place"))
+    add_texts(rows, path, order=["place"])
+    return spark.read.schema(TEXTS).parquet(unkeyed_path(path)).select(*TEXTS.fieldNames())
+
+
+@query("build_pipeline")
+def _build(spark, sf_dir):
+    """Two runs over survey files, the second with more students, then the export."""
+    base, rows = scratch_path(spark, "build"), survey(spark, sf_dir)
+    write_survey(rows.filter("first_gen = 0"), f"{base}/csv/a")
+    write_survey(rows.filter("first_gen = 1"), f"{base}/csv/b")
+    for files in (f"{base}/csv/a", f"{base}/csv/*"):
+        found = read_survey(spark, files, source_order=True)
+        build(found, f"{base}/texts", f"{base}/store", f"{base}/export", WORDS)
+    vectors = read_embeddings(spark, f"{base}/export")
+    joined = read_texts(spark, f"{base}/texts").join(vectors, list(TEXT_KEY))
+    return _elements(joined, F.col("embedding"), "id", *TEXT_KEY)
+
+
 @query("embedding_scan")
 def _embedding_scan(spark, sf_dir):
     path = scratch_path(spark, "embeddings")
@@ -105,6 +146,7 @@ def _materialize_copy(spark, sf_dir):
     source, copy = scratch_path(spark, "source"), scratch_path(spark, "copy")
     embeddings(spark, sf_dir).write.parquet(source)
     materialize_if_absent(spark, source, copy)
+    embeddings(spark, sf_dir).limit(0).write.mode("overwrite").parquet(source)
     rows = materialize_if_absent(spark, source, copy)
     return _elements(rows, F.col("embedding"), *TEXT_KEY)
 
@@ -181,8 +223,7 @@ def _embed_pending(spark, sf_dir):
 @query("embed_documents")
 def _embed_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = embed_texts(rows, WORDS, partitions=spark.sparkContext.defaultParallelism)
-    return _elements(vectors, F.col("embedding"), "doc_id")
+    return _elements(embed_texts(rows, WORDS), F.col("embedding"), "doc_id")
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -273,8 +314,8 @@ def _search(spark, sf_dir, rows: DataFrame, **options) -> DataFrame:
 @query("search_topk")
 def _search_top(spark, sf_dir):
     found = _search(spark, sf_dir, survey(spark, sf_dir), limit=25)
-    first = F.col("embedding")[0].cast("double")
-    return found.withColumn("embedding", F.round(first, 6))
+    keys = ["perm", "result_question_id", "result_distance", "result_text"]
+    return _elements(found, F.col("embedding"), *keys)
 
 
 @query("search_narrow")
@@ -307,9 +348,61 @@ def _search_normalized(spark, sf_dir):
     """Word counts of the texts and of the first question, all of length one."""
     unit = word_count_model(DIM, query_prefix=RETRIEVAL_PREFIX, normalize=True)
     vectors = embed_texts(texts(spark, sf_dir), unit).drop("error")
-    asked = embed_queries(_questions(spark, sf_dir), unit).orderBy("qid").first()["vector"]
+    first = _questions(spark, sf_dir).orderBy("qid").limit(1)
+    asked = embed_queries(first, unit).first()["vector"]
     found = search(survey(spark, sf_dir), vectors, asked, limit=10, include_embedding=False)
-    return found.withColumn("result_distance", F.round("result_distance", 4))
+    return _rounded(found)
+
+
+@query("search_big_limit")
+def _search_big_limit(spark, sf_dir):
+    """More rows than one task should merge."""
+    return _search(spark, sf_dir, survey(spark, sf_dir), limit=20_000, include_embedding=False)
+
+
+def _by_routes(spark, rows: DataFrame, vectors: DataFrame, vector: list[float]) -> DataFrame:
+    """The same 25 rows by all three ways to search."""
+    asked = _stored(
+        spark.range(1).select("id", F.lit(vector).cast("array<float>").alias("vector")), "asked"
+    ).withColumnRenamed("id", "qid")
+    ways = [
+        search(rows, vectors, vector, limit=25, include_embedding=False, route=route).withColumn(
+            "route", F.lit(route)
+        )
+        for route in ("direct", "narrow")
+    ]
+    batch = search_batch(rows, vectors, asked, limit=25).drop("qid", "result_rank")
+    both = ways[0].unionByName(ways[1])
+    return _rounded(both.unionByName(batch.withColumn("route", F.lit("batch"))))
+
+
+@query("search_int_key")
+def _search_int_key(spark, sf_dir):
+    """Keys that are numbers, and vectors that tie: ties go by the key as text."""
+    rows = survey(spark, sf_dir).withColumn("perm", F.col("perm").cast("int"))
+    number = F.substring("question_id", 2, 1).cast("float")
+    tied = embeddings(spark, sf_dir).withColumn("embedding", F.array_repeat(number, DIM))
+    return _by_routes(spark, rows, _stored(tied, "vectors"), [1.0] * DIM)
+
+
+@query("search_repeated_perm")
+def _search_repeated_perm(spark, sf_dir):
+    """Each student twice, the second time with the answers moved on and one missing."""
+    first = survey(spark, sf_dir)
+    moved = [F.col(b).alias(a) for a, b in zip(QUESTIONS, QUESTIONS[1:])]
+    last = F.lit(None).cast("string").alias(QUESTIONS[-1])
+    rows = first.unionByName(first.select("perm", *moved, last, "dept", "first_gen"))
+    vectors = _stored(embeddings(spark, sf_dir), "vectors")
+    return _by_routes(spark, rows, vectors, query_vector(spark, sf_dir))
+
+
+@query("search_strangers")
+def _search_strangers(spark, sf_dir):
+    """Vectors of students outside the survey have no say, faulty ones neither."""
+    stranger = F.col("student_id").startswith("v")
+    short = F.when(stranger, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    vectors = _stored(embeddings(spark, sf_dir).withColumn("embedding", short), "vectors")
+    return _by_routes(spark, survey(spark, sf_dir), vectors, query_vector(spark, sf_dir))
 
 
 @query("pick_answer")
@@ -361,6 +454,25 @@ def _search_batch_vectors(spark, sf_dir):
     )
 
 
+def _batch_of(spark, sf_dir, limit: int) -> DataFrame:
+    asked = _stored(embed_queries(_questions(spark, sf_dir), WORDS), "questions")
+    vectors = _word_vectors(spark, sf_dir)
+    found = search_batch(survey(spark, sf_dir), vectors, asked, limit=limit)
+    return _rounded(found).select(
+        "qid", "result_rank", "perm", "result_question_id", "result_distance"
+    )
+
+
+@query("search_batch_all")
+def _search_batch_all(spark, sf_dir):
+    return _batch_of(spark, sf_dir, 0)
+
+
+@query("search_batch_big_limit")
+def _search_batch_big_limit(spark, sf_dir):
+    return _batch_of(spark, sf_dir, 1500)
+
+
 @query("search_documents")
 def _search_documents(spark, sf_dir):
     """Documents as answers to a single question, searched for every given text."""
@@ -368,8 +480,7 @@ def _search_documents(spark, sf_dir):
         F.col("doc_id").cast("string").alias("perm"), F.col("text").alias("r1")
     )
     answers = to_long(rows, questions=["r1"])
-    tasks = spark.sparkContext.defaultParallelism
-    vectors = _stored(embed_texts(answers, WORDS, partitions=tasks).drop("error"), "vectors")
+    vectors = _stored(embed_texts(answers, WORDS).drop("error"), "vectors")
     asked = _stored(embed_queries(_questions(spark, sf_dir), WORDS), "questions")
     found = search_batch(rows, vectors, asked, limit=5, questions=["r1"])
     return _rounded(found).select("qid", "result_rank", "perm", "result_distance")
@@ -383,7 +494,7 @@ def _context(spark, sf_dir):
 @query("render_prompt")
 def _prompts(spark, sf_dir):
     contexts = build_context(_found(spark, sf_dir))
-    return render_prompts(contexts, _questions(spark, sf_dir))
+    return render_prompts(contexts, _questions(spark, sf_dir), TEMPLATE)
 
 
 @query("prompt_messages")
@@ -392,6 +503,7 @@ def _prompt_messages(spark, sf_dir):
         _questions(spark, sf_dir),
         survey(spark, sf_dir),
         _word_vectors(spark, sf_dir),
+        template=TEMPLATE,
         model=WORDS,
     )
     return ready.select("qid", F.posexplode("messages").alias("pos", "message")).select(

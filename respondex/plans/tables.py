@@ -54,14 +54,23 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """student_id, question_id, embedding (width 64), for a part of the texts."""
+    """student_id, question_id, embedding (width 64).
+
+    Vectors are those of texts, as far as there are turns; the others are of students who
+    are not in the survey.
+    """
     turns = table(spark, sf_dir, "conversations").select(
         _respondent().alias("student_id"),
         F.concat(F.lit("r"), (F.col("turn") % 4 + 1).cast("string")).alias("question_id"),
         (F.col("conv_id") * 8 + F.col("turn")).alias("vec_id"),
     )
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return turns.join(vectors, "vec_id").select("student_id", "question_id", "embedding")
+    stranger = F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    return vectors.join(turns, "vec_id", "left").select(
+        F.coalesce("student_id", stranger).alias("student_id"),
+        F.coalesce("question_id", F.lit("r1")).alias("question_id"),
+        "embedding",
+    )
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 9) -> list[float]:

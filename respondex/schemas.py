@@ -17,6 +17,9 @@ TEXTS = T.StructType(
     ]
 )
 
+# As a build stores them.
+STORED_TEXTS = T.StructType([T.StructField("id", T.LongType()), *TEXTS.fields])
+
 EMBEDDINGS = T.StructType(
     [
         T.StructField("student_id", T.StringType()),

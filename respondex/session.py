@@ -45,24 +45,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def is_committed(spark: SparkSession, path: str) -> bool:
-    """True if a Spark write to ``path`` ran to its end (``_SUCCESS`` is there)."""
-    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a folder or file; False if ``new`` could not be made."""
+    fs, path = _fs(spark, old)
+    return fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(new))
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a table made at ``scratch_path``, and nothing else."""
-    if not path.startswith(f"{scratch_base(spark)}/respondex/"):
-        raise ValueError(f"not a scratch table: {path}")
+def write_record(spark: SparkSession, path: str) -> None:
+    """Make an empty file, and the folders above it."""
     fs, hadoop_path = _fs(spark, path)
-    fs.delete(hadoop_path, True)
+    fs.create(hadoop_path, True).close()
 
 
-def child_dirs(spark: SparkSession, path: str) -> list[str]:
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder; none if it isn't there."""
     fs, hadoop_path = _fs(spark, path)
     if not fs.exists(hadoop_path):
         return []
-    return sorted(s.getPath().toString() for s in fs.listStatus(hadoop_path) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isFile())
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a table made at ``scratch_path``, and nothing else."""
+    if not path.startswith(f"{scratch_base(spark)}/respondex/"):
+        raise ValueError(f"not a scratch table: {path}")
+    fs, hadoop_path = _fs(spark, path)
+    fs.delete(hadoop_path, True)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respondex.models import Model
 from respondex.operators.keys import orphan_keys
 from respondex.schemas import EMBEDDINGS, TEXT_KEY
-from respondex.session import MAX_BROADCAST_KEYS, is_committed
+from respondex.session import MAX_BROADCAST_KEYS, path_exists, rename
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(student_id, question_id, embedding), picked by name whatever the file order."""
@@ -19,10 +21,15 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def materialize_if_absent(spark: SparkSession, source: str, copy: str) -> DataFrame:
     """Copy a Parquet table once and read the copy from then on.
 
-    A copy that a lost run left unfinished is written again.
+    What is at ``copy``, a folder or a single file, is never touched. A new copy gets its
+    name only when it is whole, so a lost run leaves nothing there.
     """
-    if not is_committed(spark, copy):
-        spark.read.parquet(source).write.mode("overwrite").parquet(copy)
+    copy = copy.rstrip("/")
+    if not path_exists(spark, copy):
+        unfinished = f"{copy}.{uuid.uuid4().hex}"
+        spark.read.parquet(source).write.parquet(unfinished)
+        if not rename(spark, unfinished, copy) and not path_exists(spark, copy):
+            raise RuntimeError(f"could not rename {unfinished} to {copy}")
     return spark.read.parquet(copy)
 
 

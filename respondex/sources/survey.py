@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,25 @@ SOURCE_ORDER = "source_order"
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
+_FIELD = '(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+_REGULAR = f"(?s)^{_FIELD}(?:,{_FIELD})*+$"
+
+
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files under each header, a header being its column names in order.
+
+    One short job per file, which reads its first record only.
+    """
+    reader = spark.read.options(multiLine=True, **_CSV)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        found.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    return found
+
+
 def survey_columns(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """Column names from the header; every file is taken to have the same one."""
-    return spark.read.options(multiLine=True, **_CSV).csv(path).columns
+    """All column names of the files, in the order in which they are met."""
+    return list(dict.fromkeys(c for header in _headers(spark, path) for c in header))
 
 
 def _file_schema(columns: Sequence[str]) -> T.StructType:
@@ -28,13 +45,28 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _finish(columns: Sequence[str], types: Mapping[str, str] | None) -> list[Column]:
+def _finish(
+    rows: DataFrame,
+    columns: Sequence[str],
+    types: Mapping[str, str] | None,
+    extra: Sequence[Column],
+) -> DataFrame:
     """Empty means NULL; everything else stays text unless ``types`` says otherwise."""
     kinds = types or {}
-    return [
+    wanted = [
         F.nullif(F.col(_quoted(c)), F.lit("")).cast(kinds.get(c, "string")).alias(c)
         for c in columns
     ]
+    return rows.select(*wanted, *extra)
+
+
+def _by_name(parts: Sequence[DataFrame], columns: Sequence[str] | None) -> DataFrame:
+    """Files with other columns, or the same ones in another order, as one table."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if columns is None:
+        return rows
+    extra = [SOURCE_ORDER] if SOURCE_ORDER in rows.columns else []
+    return rows.select(*[F.col(_quoted(c)) for c in columns], *extra)
 
 
 def read_survey(
@@ -47,18 +79,22 @@ def read_survey(
 ) -> DataFrame:
     """Read survey CSV files, one task per file.
 
-    Columns are text: a key must not turn into a number on the way. ``types`` casts
-    further attributes, ``columns`` saves the look at the header. A file whose answers
-    hold line breaks cannot be cut at any line, so a huge single file is better read by
-    ``read_survey_split``.
+    Columns are found by name in each file; one that a file lacks is NULL there. A record
+    with more or fewer fields than its file's header fails the query. Values are text: a
+    key must not turn into a number on the way. ``types`` casts further attributes,
+    ``columns`` chooses some. A file whose answers hold line breaks cannot be cut at any
+    line, so a huge single file is better read by ``read_survey_split``.
     """
-    columns = columns or survey_columns(spark, path)
-    rows = spark.read.schema(_file_schema(columns)).options(multiLine=True, **_CSV).csv(path)
     order = F.struct(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")
     )
     extra = [order.alias(SOURCE_ORDER)] if source_order else []
-    return rows.select(*_finish(columns, types), *extra)
+    reader = spark.read.options(multiLine=True, mode="FAILFAST", **_CSV)
+    parts = [
+        _finish(reader.schema(_file_schema(header)).csv(files), header, types, extra)
+        for header, files in _headers(spark, path).items()
+    ]
+    return _by_name(parts, columns)
 
 
 def write_survey(survey: DataFrame, path: str) -> None:
@@ -79,10 +115,25 @@ def read_survey_split(
     block of a file is read on its own, and a running sum over the blocks' quote counts
     (one small row per block) tells whether a block starts inside an answer. Records that
     cross a block border are put together from their pieces. Quotes must be regular: a
-    field with a quote in it is quoted and the inner quotes are doubled.
+    field with a quote in it is quoted and the inner quotes are doubled. Where they aren't,
+    the query fails: an odd number of quotes in a file, a quote inside a field without
+    quotes, and a record of more or fewer fields than the header are errors.
     """
-    columns = columns or survey_columns(spark, path)
-    pieces = _pieces(spark, path)
+    parts = [
+        _split_files(spark, files, header, types, source_order)
+        for header, files in _headers(spark, path).items()
+    ]
+    return _by_name(parts, columns)
+
+
+def _split_files(
+    spark: SparkSession,
+    files: Sequence[str],
+    columns: Sequence[str],
+    types: Mapping[str, str] | None,
+    source_order: bool,
+) -> DataFrame:
+    pieces = _pieces(spark, files)
     crossing = (F.col("_number") == 0) | F.col("_runs_on")
     whole = pieces.filter(~crossing).select(
         "_file", F.struct("_block", "_number").alias("_record"), "_text"
@@ -97,8 +148,12 @@ def read_survey_split(
     header = (F.col("_record._block") == 0) & (F.col("_record._number") == 1)
     text = F.rtrim(F.col("_text"), F.lit("\r"))
     body = records.filter(~header & (text != ""))
+    # Quotes may only open a field, close it, or be doubled inside one.
+    regular = text.rlike(_REGULAR)
+    stray = F.raise_error(F.concat(F.lit("stray quote in "), F.col("_file"))).cast("string")
     schema = ", ".join(f"{_quoted(c)} string" for c in columns)
-    parsed = F.from_csv(text, schema, {"quote": '"', "escape": '"'})
+    options = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+    parsed = F.from_csv(F.when(regular, text).otherwise(stray), schema, options)
     order = F.struct(
         F.col("_file").alias("file"),
         F.col("_record._block").alias("block"),
@@ -106,14 +161,14 @@ def read_survey_split(
     )
     rows = body.select(parsed.alias("_row"), order.alias("_order")).select("_row.*", "_order")
     extra = [F.col("_order").alias(SOURCE_ORDER)] if source_order else []
-    return rows.select(*_finish(columns, types), *extra)
+    return _finish(rows, columns, types, extra)
 
 
 def _join_lines(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda part: part["_text"]), "\n")
 
 
-def _pieces(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def _pieces(spark: SparkSession, path: Sequence[str]) -> DataFrame:
     """Records, or their pieces, as they lie in each block of each file.
 
     ``_number`` counts the records that start in the block; piece 0 continues the record
@@ -163,8 +218,13 @@ def _block_states(blocks: DataFrame) -> DataFrame:
     many records start in it, and does the next block start inside a field."""
     by_place = Window.partitionBy("_file").orderBy("_block")
     earlier = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.sum("_flips").over(Window.partitionBy("_file")) % 2 == 1
+    message = F.concat(F.lit("an odd number of quotes in "), F.col("_file"))
     opened = blocks.withColumn(
-        "_open", F.coalesce(F.sum("_flips").over(earlier), F.lit(0)) % 2
+        "_open",
+        F.when(odd, F.raise_error(message).cast("bigint")).otherwise(
+            F.coalesce(F.sum("_flips").over(earlier), F.lit(0)) % 2
+        ),
     ).withColumn("_starts", F.when(F.col("_open") == 0, F.col("_even")).otherwise(F.col("_uneven")))
     last_record = F.when(
         F.col("_starts") > 0,

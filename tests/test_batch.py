@@ -13,7 +13,7 @@ from helpers import (
 )
 from respondex.operators import nearest
 from respondex.operators.batch import search_batch
-from respondex.operators.nearest import _Best, nearest_answers
+from respondex.operators.nearest import _near, nearest_answers
 from test_search import people
 
 ASKED = [(1, [0.0, 1.0, 0.0]), (2, [3.0, 3.0, 3.0]), (3, [1.0, 0.5, 2.0])]
@@ -62,7 +62,7 @@ def test_many_strangers_fall_back_to_a_plain_join(frames, set_conf, monkeypatch)
 def test_questions_in_blocks(frames):
     _, vectors, queries = frames
     whole = nearest_answers(vectors, queries, 4)
-    parts = nearest_answers(vectors, queries, 4, block=2)
+    parts = nearest_answers(vectors, queries, 4, block_bytes=48)
     key = ["qid", "rank", "student_id", "question_id"]
     assert sorted(map(tuple, parts.select(key).collect()), key=str) == sorted(
         map(tuple, whole.select(key).collect()), key=str
@@ -76,9 +76,17 @@ def test_qid_must_be_unique(spark, frames):
 
 
 @pytest.mark.parametrize("limit", [0, -1, 1001])
-def test_all_rows_for_many_questions_is_refused(frames, limit):
-    with pytest.raises(ValueError, match="limit"):
-        search_batch(*frames, limit=limit)
+def test_all_rows_for_many_questions(frames, limit):
+    assert by_question(search_batch(*frames, limit=limit)) == wanted(limit)
+
+
+def test_many_questions_take_one_scan(spark, frames, monkeypatch):
+    asked = spark.range(20_000).selectExpr("cast(id as int) qid", "array(float(id), 1f, 2f) vector")
+    passes = []
+    block = nearest._nearest_block
+    monkeypatch.setattr(nearest, "_nearest_block", lambda *a: passes.append(1) or block(*a))
+    plan = plan_of(nearest_answers(frames[1], asked, 1))
+    assert len(passes) == 1 and plan.count("Scan parquet") == 1
 
 
 def test_no_questions(spark, frames):
@@ -92,25 +100,22 @@ def test_pairs_never_become_rows(frames):
 
 
 def scan(batches, queries, limit):
-    best = _Best(queries, limit)
+    """What Spark keeps of the pairs that a task emits."""
+    bar, out = np.full(len(queries), np.inf), {}
     for rows in batches:
-        best.add(
-            pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows]),
-                    pa.array([r[1] for r in rows]),
-                    pa.array([r[2] for r in rows], pa.list_(pa.float32())),
-                ],
-                names=["student_id", "question_id", "embedding"],
-            )
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows]),
+                pa.array([r[1] for r in rows]),
+                pa.array([r[2] for r in rows], pa.list_(pa.float32())),
+            ],
+            names=["student_id", "question_id", "embedding"],
         )
-    out = {}
-    for batch in best.rows(pa.array(range(len(queries)))):
-        for r in batch.to_pylist():
-            out.setdefault(r["qid"], []).append(
-                (r["result_distance"], r["student_id"], r["question_id"])
-            )
-    return out
+        for at, q, d in _near(batch, queries, limit, bar):
+            assert len(at) <= len(rows) * len(queries)
+            for i, k, gap in zip(at, q, d.to_pylist()):
+                out.setdefault(int(k), []).append((gap, rows[i][0], rows[i][1]))
+    return {q: sorted(x)[:limit] for q, x in out.items()}
 
 
 @pytest.mark.parametrize("dim", [1, 5, 64])

@@ -157,11 +157,26 @@ def test_finished_batches_survive_a_crash(spark, stored, tmp_path, monkeypatch):
 def test_half_written_batch_does_not_count(spark, stored, tmp_path):
     store = EmbeddingStore(spark, f"{tmp_path}/store")
     store.add_pending(stored(sample(), TEXTS), lengths())
-    batch = next((tmp_path / "store").glob("run=*/batch=0"))
-    (batch / "_SUCCESS").unlink()
+    next((tmp_path / "store" / "done").glob("*-0")).unlink()
     assert store.embeddings().count() == 0
 
 
+def test_finished_work_counts_without_markers(spark, stored, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        store = EmbeddingStore(spark, f"{tmp_path}/store")
+        texts = stored(sample(), TEXTS)
+        store.add_pending(texts, lengths())
+        assert store.embeddings().count() > 0
+        before = store.failures().count()
+        store.add_pending(texts, lengths())
+        assert len(vectors_of(store)) == store.embeddings().count()
+        assert store.failures().count() >= before
+    finally:
+        conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
 def test_key_lookup_reads_no_vectors(spark, stored, tmp_path):
     store = EmbeddingStore(spark, f"{tmp_path}/store")
     store.add_pending(stored(sample(), TEXTS), lengths())
@@ -208,11 +223,15 @@ def test_model_vectors_are_copied_on_first_use(spark, stored, tmp_path):
     assert model_embeddings(spark, lengths(), str(tmp_path)).count() == 1
 
 
-def test_copy_is_made_once_and_repaired(spark, tmp_path):
+def test_copy_is_made_once_and_never_touched(spark, tmp_path):
     source, copy = f"{tmp_path}/source", f"{tmp_path}/copy"
     spark.range(3).write.parquet(source)
     assert materialize_if_absent(spark, source, copy).count() == 3
     spark.range(5).write.mode("overwrite").parquet(source)
     assert materialize_if_absent(spark, source, copy).count() == 3
     (tmp_path / "copy" / "_SUCCESS").unlink()
-    assert materialize_if_absent(spark, source, copy).count() == 5
+    assert materialize_if_absent(spark, source, copy).count() == 3
+    single = next((tmp_path / "source").glob("*.parquet")).rename(tmp_path / "single.parquet")
+    before = single.read_bytes()
+    materialize_if_absent(spark, copy, str(single)).count()
+    assert single.read_bytes() == before

@@ -7,8 +7,10 @@ from respondex.plans.pipelines import (
     build,
     prepare_prompt,
     prepare_prompts,
+    read_texts,
     search_lines,
     search_question,
+    unkeyed_path,
 )
 from respondex.sources.embeddings import read_embeddings
 from respondex.sources.survey import read_survey
@@ -36,7 +38,9 @@ def test_survey_to_prompts(spark, csv, tmp_path):
     build(survey, texts, store, export, WORDS, batches=2)
     build(survey, texts, store, export, WORDS)
 
-    rows = {(r[0], r[1]): r[2] for r in spark.read.parquet(texts).collect()}
+    stored = spark.read.parquet(texts)
+    assert sorted(r["id"] for r in stored.collect()) == [1, 2, 3, 4, 5]
+    rows = {(r["student_id"], r["question_id"]): r["text"] for r in stored.collect()}
     assert rows == {
         ("101", "r1"): "writing is\nfun", ("101", "r2"): "I like, commas", ("101", "r4"): "essays",
         ("101", "r3"): "now answered", ("102", "r1"): "grammar grammar",
@@ -63,13 +67,24 @@ def test_survey_to_prompts(spark, csv, tmp_path):
     assert prompts[2].startswith("essays\n\n")
 
 
-def test_rows_without_key_are_counted(spark, csv, tmp_path):
+def test_rows_without_key_are_put_aside(spark, csv, tmp_path):
     survey = read_survey(spark, csv, source_order=True)
-    assert add_texts(survey, f"{tmp_path}/texts") == 1
-    assert add_texts(survey, f"{tmp_path}/texts") == 1
+    add_texts(survey, f"{tmp_path}/texts")
+    aside = spark.read.parquet(unkeyed_path(f"{tmp_path}/texts")).drop("run")
+    assert [tuple(r) for r in aside.collect()] == [(None, "r1", "no key")]
+    add_texts(survey, f"{tmp_path}/texts")
     assert spark.read.parquet(f"{tmp_path}/texts").count() == 5
 
 
+def test_ids_go_on_where_the_last_run_ended(spark, tmp_path):
+    def run(rows):
+        add_texts(spark.createDataFrame(rows, SURVEY), f"{tmp_path}/texts", order=["perm"])
+        return {r["student_id"]: r["id"] for r in read_texts(spark, f"{tmp_path}/texts").collect()}
+
+    assert run([("b", "x", None, None, None), ("c", "y", None, None, None)]) == {"b": 1, "c": 2}
+    assert run([("a", "z", None, None, None), ("b", "w", None, None, None)]) == {"b": 1, "c": 2, "a": 3}
+
+
 def test_a_question_the_model_refuses(spark):
     bad = word_count_model(64).using(lambda: lambda texts: [None for _ in texts])
     survey = spark.createDataFrame([("1", "a", "b", "c", "d")], SURVEY)

@@ -134,7 +134,8 @@ def test_narrow_route_shuffles_neither_answers_nor_vectors(frames, set_conf):
     shuffles = [i for i in shuffles if "Reused" not in lines[i]]
     assert shuffles
     for i in shuffles:
-        assert "r1#" not in lines[i + 1] and "embedding#" not in lines[i + 1]
+        wide = "r1#" in lines[i + 1] or "embedding#" in lines[i + 1]
+        assert not wide or "WindowGroupLimit" in lines[i + 1]  # a few rows for each task
 
 
 def test_hot_student_and_hot_perm(stored, set_conf):

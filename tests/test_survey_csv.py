@@ -92,3 +92,32 @@ def test_odd_column_names(spark, tmp_path, reader):
     found = reader(spark, str(tmp_path))
     assert found.columns == ["perm", "first gen, coll", "a`b"]
     assert tuple(found.first()) == ("1", "yes", "no")
+
+
+@pytest.mark.parametrize("reader", [read_survey, read_survey_split])
+def test_columns_go_by_name_over_files(spark, tmp_path, reader):
+    (tmp_path / "a.csv").write_text("perm,r1,r2\n1,x,y\n")
+    (tmp_path / "b.csv").write_text("r2,perm,more,r1\nyy,2,m,xx\n")
+    found = reader(spark, str(tmp_path))
+    assert {r["perm"]: (r["r1"], r["r2"], r["more"]) for r in found.collect()} == {
+        "1": ("x", "y", None),
+        "2": ("xx", "yy", "m"),
+    }
+    assert reader(spark, str(tmp_path), columns=["r2", "perm"]).columns == ["r2", "perm"]
+
+
+@pytest.mark.parametrize("reader", [read_survey, read_survey_split])
+@pytest.mark.parametrize("line", ["1,a,b,c,d,e", "1,a,b"])
+def test_records_of_another_length_fail(spark, tmp_path, reader, line):
+    (tmp_path / "s.csv").write_text(f"{HEADER}0,a,b,c,d\n{line}\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|CSV"):
+        reader(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("text", ['6" tall', '6" tall and 2" wide', 'x "y" z'])
+def test_stray_quotes_lose_nothing_in_silence(spark, tmp_path, text):
+    rows = f"{HEADER}1,{text},a2,a3,a4\n2,b1,b2,b3,b4\n3,{text},c2,c3,c4\n"
+    (tmp_path / "s.csv").write_text(rows)
+    assert read_survey(spark, str(tmp_path)).count() == 3
+    with pytest.raises(Exception, match="quote|MALFORMED|malformed|CSV"):
+        read_survey_split(spark, str(tmp_path)).collect()
