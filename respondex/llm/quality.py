@@ -68,7 +68,10 @@ def _broken(rule: Rule) -> Column:
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """_row (all columns of ``docs``) and the measures of its text.
+    """_row (all columns of ``docs``), _place and the measures of its text.
+
+    A filter that asks for ``_place``, which isn't deterministic, stays above the measures;
+    Spark would otherwise compute them for the filter once more, some of them many times.
 
     Windows carry their place as a suffix of eight digits: sorting the strings brings equal
     windows together, and neighbours that are equal up to the suffix give the places.
@@ -115,6 +118,7 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     symbols = F.length(F.translate("_text", "#*$%&|<>", ""))
     return ordered.select(
         "_row",
+        F.monotonically_increasing_id().alias("_place"),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - symbols).cast("long").alias("n_symbols"),
@@ -129,13 +133,7 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """_row, the measures, failed (names of broken rules, comma-joined), base_failed, kept.
-
-    One row per input row, whatever its id, repeats included. ``_row`` holds all input
-    columns, so names that clash with measures do no harm. A null or empty text has no
-    words and fails the word count. An empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     broken = [F.when(_broken(r), F.lit(r.name)) for r in rules]
     base = [_broken(r) for r in rules if r.base]
     return (
@@ -146,6 +144,16 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     )
 
 
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """_row, the measures, failed (names of broken rules, comma-joined), base_failed, kept.
+
+    One row per input row, whatever its id, repeats included. ``_row`` holds all input
+    columns, so names that clash with measures do no harm. A null or empty text has no
+    words and fails the word count. An empty table gives an empty result.
+    """
+    return _judged(docs, text, rules).drop("_place")
+
+
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that break no rule, with their own columns."""
-    return judge(docs, text, rules).where("kept").select("_row.*")
+    return _judged(docs, text, rules).where("kept and _place >= 0").select("_row.*")
