@@ -19,9 +19,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(256, dtype=np.uint64), 1) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.where(_SPACE, np.uint64(0), mix(np.arange(256, dtype=np.uint64), 1) | np.uint64(1))
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
 
@@ -65,11 +65,21 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     place = np.arange(at[0], len(data)) - np.repeat(at, lengths)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(lengths.max()), _MULTIPLIER))
-        body = data[at[0] :]
-        terms = np.where(_SPACE[body], np.uint64(0), _BYTES[body] * powers[place])
+        terms = _BYTES[data[at[0] :]] * powers[place]
         return mix(np.add.reduceat(terms, at - at[0]), 2), bounds
 
 
+def order_of(group: np.ndarray, n_groups: int, value: np.ndarray) -> np.ndarray:
+    """The order by group, then value, from one sort of their leading bits."""
+    bits = np.uint64(max(1, (n_groups - 1).bit_length()))
+    key = (group.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits)
+    order = np.argsort(key)
+    key, value_there = key[order], value[order]
+    if ((key[1:] == key[:-1]) & (value_there[1:] < value_there[:-1])).any():
+        return np.lexsort((value, group))
+    return order
+
+
 def lines_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of all lines, and the bounds of each text's lines.
 

@@ -2,7 +2,7 @@
 
 A line is the set of its words. Words are ordered by rarity, so two lines of enough common
 words share a word in a short prefix of each; prefixes are met by word, and positional and
-length filters, and a bound from the parity of 64 word groups, leave few pairs. Their whole
+length filters, and a bound from the parity of 256 word groups, leave few pairs. Their whole
 sets are compared. A line goes if an earlier line, kept or not, is as similar as that.
 
 Equal sets are one node. Rarity comes from exact counts of all words in a table of fixed
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.hashing import lines_of, mix, offsets_of, slices, words_of
-from respondex.llm.shared import written
+from respondex.llm.hashing import lines_of, mix, offsets_of, order_of, slices, words_of
+from respondex.llm.shared import passing, written
 
 THRESHOLD = 0.8
 #: Entries of the table of counts are 2 ** COUNT_BITS; it is broadcast with a byte for each.
@@ -29,11 +29,15 @@ COUNT_BITS = 24
 FILTER_BITS = 24
 #: Partners that a line offers for each of its words before it is asked for the rest.
 OFFERS = 3
+#: Bytes of text that are hashed at once; their arrays stay in the CPU caches.
+SLICE = 1 << 18
 #: Rows over which comparisons are run at once.
 STRETCH = 1 << 17
 #: Sets that one task compares for a word; a word of more sets is dealt to more tasks.
 WORD_SETS = 1 << 16
 _BLOCK_BITS = 16
+#: 64 parities each.
+_BITS = [f"bits{k}" for k in range(4)]
 
 
 def _table(parts: DataFrame, bits: int) -> np.ndarray:
@@ -112,7 +116,7 @@ def _sets(part: pa.RecordBatch, text: int):
     words, at = words_of(edges, data)
     counts = np.diff(at)
     line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((words, line))
+    order = order_of(line, len(counts), words)
     line, words = line[order], words[order]
     first = np.ones(len(line), bool)
     first[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
@@ -139,7 +143,7 @@ def _counted(docs: DataFrame) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 words = _sets(part, 0)[1]
                 entry, times = np.unique(words >> np.uint64(64 - COUNT_BITS), return_counts=True)
                 counts[entry.astype(np.int64)] += times.astype(np.uint32)
@@ -150,7 +154,7 @@ def _counted(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
-    """id, hash, line, k1, k2, n, bits, places, words: one row per line with a word.
+    """id, hash, line, k1, k2, n, parities, places, words: one row per line with a word.
 
     ``words`` are those of the prefix that more than one line has, ``places`` their places
     in the order of rarity; both null for a set that its slice has shown before.
@@ -160,22 +164,25 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
     kind = docs.schema["id"].dataType
     schema = (
         f"id {kind.simpleString()}, hash bigint, line int, k1 bigint, k2 bigint, n int, "
-        "bits bigint, places array<int>, words array<bigint>"
+        "bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint, "
+        "places array<int>, words array<bigint>"
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 line, words, n_lines, texts, number = _sets(part, 2)
                 k1, k2 = _keys(n_lines, line, words)
                 sizes = np.bincount(line, minlength=n_lines)
-                parity = np.zeros(n_lines, np.uint64)
-                np.bitwise_xor.at(parity, line, np.uint64(1) << (words & np.uint64(63)))
+                parity = np.zeros((len(_BITS), n_lines), np.uint64)
+                part_of = (words >> np.uint64(6) & np.uint64(len(_BITS) - 1)).astype(np.int64)
+                one = np.uint64(1) << (words & np.uint64(63))
+                np.bitwise_xor.at(parity, (part_of, line), one)
                 rarity = codes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                 # By line, rarity, word: rarity stands above the first 56 bits of the word.
                 rank = (rarity.astype(np.uint64) << np.uint64(56)) | (mix(words, 70) >> np.uint64(8))
-                order = np.lexsort((rank, line))
+                order = order_of(line, n_lines, rank)
                 line, words, rarity = line[order], words[order], rarity[order]
                 begins = np.cumsum(sizes) - sizes
                 place = np.arange(len(line)) - begins[line]
@@ -195,11 +202,11 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
                         pa.array(k1[held].view(np.int64)),
                         pa.array(k2[held].view(np.int64)),
                         pa.array(sizes[held], pa.int32()),
-                        pa.array(parity[held].view(np.int64)),
+                        *[pa.array(x[held].view(np.int64)) for x in parity],
                         pa.ListArray.from_arrays(bounds, pa.array(place[posted], pa.int32())),
                         pa.ListArray.from_arrays(bounds, pa.array(words[posted].view(np.int64))),
                     ],
-                    names=["id", "hash", "line", "k1", "k2", "n", "bits", "places", "words"],
+                    names=["id", "hash", "line", "k1", "k2", "n", *_BITS, "places", "words"],
                 )
 
     return docs.select("id", "hash", "text").mapInArrow(task, schema)
@@ -208,7 +215,7 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
 def _offers(posts: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """later, earlier, more: pairs that pass all filters.
 
-    ``posts`` has word, first, k1, n, place, bits, asks. Rows of a word lie together and in
+    ``posts`` has word, id, line, k1, size, parities, asks. Rows of a word lie together and in
     order; each that asks is held against those before it, the nearest first, until it has
     ``most`` partners (``more`` then says that others may be left). Comparisons run over all
     words of a stretch at once, one distance after the other. A word with many sets deals
@@ -225,16 +232,22 @@ def _offers(posts: DataFrame, threshold: float, most: int | None) -> DataFrame:
     dealt = posts.join(many, F.col("word") == F.col("hot"), "left").select(
         *posts.columns, half.alias("half"), F.explode(others).alias("other")
     )
+    alone = F.when(F.col("half") == F.col("other"), 2).otherwise(0)
     dealt = dealt.select(
-        *posts.columns,
-        "half",
         # The larger half and the smaller one name their meeting.
         F.xxhash64("word", F.least("half", "other"), F.greatest("half", "other")).alias("group"),
-        (F.col("half") == F.col("other")).alias("alone"),
+        "id",
+        "line",
+        "k1",
+        "size",
+        *_BITS,
+        (4 * F.col("half") + alone + F.when(F.col("asks"), 1).otherwise(0)).alias("flags"),
     )
-    ordered = dealt.repartition("group").sortWithinPartitions("group", "first", "k1")
+    ordered = dealt.repartition("group").sortWithinPartitions("group", "id", "line", "k1")
 
-    def pairs(word, key, n, place, bits, asks, half, alone) -> Iterator[pa.RecordBatch]:
+    def pairs(word, key, size, flags, *bits) -> Iterator[pa.RecordBatch]:
+        n, place = size >> 32, size & ((1 << 32) - 1)
+        asks, alone, half = flags & 1 > 0, flags & 2 > 0, flags >> 2
         begins = np.flatnonzero(np.diff(word, prepend=~word[0]))
         index = np.arange(len(word)) - np.repeat(begins, np.diff(np.append(begins, len(word))))
         found = np.zeros(len(word), np.int32)
@@ -245,15 +258,16 @@ def _offers(posts: DataFrame, threshold: float, most: int | None) -> DataFrame:
             total = n[x] + n[y]
             need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
             left = np.minimum(n[x] - place[x], n[y] - place[y])
-            differ = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64))
-            hit = (
+            near = np.flatnonzero(
                 (left >= need)
                 & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
-                & (total - differ >= 2 * need)
                 & (key[x] != key[y])
                 & (alone[x] | (half[x] != half[y]))
             )
-            a, b = x[hit], y[hit]
+            a, b = x[near], y[near]
+            differ = sum(np.bitwise_count((c[a] ^ c[b]).view(np.uint64)).astype(np.int64) for c in bits)
+            hit = total[near] - differ >= 2 * need[near]
+            a, b = a[hit], b[hit]
             found[a] += 1
             full = np.zeros(len(a), bool) if most is None else found[a] >= most
             if len(a):
@@ -282,7 +296,7 @@ def _offers(posts: DataFrame, threshold: float, most: int | None) -> DataFrame:
         if sum(len(x[0]) for x in held):
             yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
-    fields = ["group", "k1", "n", "place", "bits", "asks", "half", "alone"]
+    fields = ["group", "k1", "size", "flags", *_BITS]
     return ordered.select(*fields).mapInArrow(task, "later bigint, earlier bigint, more boolean")
 
 
@@ -295,7 +309,7 @@ def _token_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 line, words, n_lines, _, _ = _sets(part, 0)
                 k1, k2 = _keys(n_lines, line, words)
                 sizes = np.bincount(line, minlength=n_lines)
@@ -331,7 +345,9 @@ def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
         .agg(F.first("items").alias("items"))
     )
     sets = written(sets, "line-sets")
-    later = sets.select(F.col("k1").alias("later"), F.col("k2").alias("later_2"), F.col("items").alias("x"))
+    later = sets.select(
+        F.col("k1").alias("later"), F.col("k2").alias("later_2"), F.col("items").alias("x")
+    )
     earlier = sets.select(F.col("k1").alias("earlier"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return (
@@ -346,13 +362,13 @@ def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, hash, lines: which lines of which documents (id, hash, text) match an earlier one."""
     lines = written(_prefixed(docs, threshold), "lines")
-    first = F.struct("id", "hash", "line")
+    first = F.struct("id", "line", "k1", "hash")
     sets = written(
         lines.groupBy("k1", "k2")
         .agg(
             F.min(first).alias("first"),
             F.first("n").alias("n"),
-            F.first("bits").alias("bits"),
+            *[F.first(b).alias(b) for b in _BITS],
             F.max_by(F.struct("places", "words"), F.size("words")).alias("prefix"),
         ),
         "line-sets",
@@ -362,15 +378,16 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "first",
         "k1",
         "n",
-        "bits",
+        *_BITS,
     )
     posts = posts.select(
         F.col("post.words").alias("word"),
-        "first",
+        "first.id",
+        "first.line",
         "k1",
-        "n",
-        F.col("post.places").alias("place"),
-        "bits",
+        # The set's size and the word's place in it, as one number.
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("post.places")).alias("size"),
+        *_BITS,
         F.lit(True).alias("asks"),
     )
     offers = written(_offers(posts, threshold, OFFERS), "line-offers")
@@ -394,7 +411,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         lines.select("id", "hash", "line", "k1", "k2")
         .join(sets.select("k1", "k2", "first"), ["k1", "k2"])
         .join(matched.withColumn("hit", F.lit(True)).distinct(), ["k1", "k2"], "left")
-        .where(F.col("hit").isNotNull() | ~F.struct("id", "hash", "line").eqNullSafe(F.col("first")))
+        .where(F.col("hit").isNotNull() | ~first.eqNullSafe(F.col("first")))
     )
     return gone.groupBy("id", "hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
@@ -405,19 +422,20 @@ def dedup_lines(
     """_row (all columns of ``docs``), text, n_lines, n_removed; one row per input row.
 
     Lines are what line feeds part. Of each line with words all but the first occurrence of
-    its set of words go, in the order of document id, xxhash64 of the text and line number,
-    and so do all lines whose set has a Jaccard similarity of ``threshold`` or more with
-    that of an earlier line. Lines without words stay. The other lines stay as they are, with
-    one line feed between them. A null text stays null. Rows that repeat an id and a text
-    are one document seen twice: the same lines go from each. A null id comes first. An
-    empty table gives an empty result.
+    its set of words go, in the order of document id and line number, and so do all lines
+    whose set has a Jaccard similarity of ``threshold`` or more with that of an earlier line.
+    Lines without words stay. The other lines stay as they are, with one line feed between. A null text stays null. Rows that repeat an id and a text
+    are one document seen twice: the same lines go from each; where only the id repeats, it
+    is open, but settled by the words, which of two lines of one number is the first. A null
+    id comes first. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     source = docs.select(
         F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("hash"), body.alias("text")
     )
-    gone = written(repeated_lines(source, threshold), "lines-gone")
+    with passing(spark):
+        gone = written(repeated_lines(source, threshold), "lines-gone", keep=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(f"`{doc_id}`").alias("_id"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respondex.session import scratch_path
+from respondex.session import drop_scratch, scratch_path
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,7 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the tables written within each open ``passing`` block.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block, unless to be kept, are deleted at its end."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            drop_scratch(spark, path)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder; its lineage ends there.
 
     Lost executors then cost a read and not a recomputation, and several readers share
@@ -29,6 +47,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _passing and not keep:
+        _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
