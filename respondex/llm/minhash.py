@@ -171,7 +171,8 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 parities = np.zeros((n, PARITIES), np.uint64)
                 items = _items(shingles[own], weight[own])
                 bit = mix(items, 8)
-                place = (np.repeat(text[own], weight[own]), ((bit >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64))
+                number = ((bit >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64)
+                place = (np.repeat(text[own], weight[own]), number)
                 np.bitwise_xor.at(parities, place, np.uint64(1) << (bit & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -213,7 +214,9 @@ def _bags(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInArrow(task, "key binary, bag array<bigint>")
 
 
-def _verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def _verified(
+    docs: DataFrame, signed: DataFrame, pairs: DataFrame, shingle: int, threshold: float
+) -> DataFrame:
     """The pairs (a, b) whose bags have the similarity, checked in full."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = (
@@ -254,8 +257,9 @@ def near_duplicates(
     32 bands of 4 rows a pair at 0.8 is missed once in ten million times. ``kept`` holds for
     the rows with the class's id. Null and empty texts, and texts of blanks, have no shingle
     and link with nothing; a text of fewer than five words is one shingle. A row without id
-    is kept if its class has no id at all. Rows that repeat an id and a text are one document. Other columns are
-    not looked at. An empty table gives an empty result. ``hash`` is xxhash64 of the text.
+    is kept if its class has no id at all. Rows that repeat an id and a text are one
+    document. Other columns are not looked at. An empty table gives an empty result.
+    ``hash`` is xxhash64 of the text.
     """
     source = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
@@ -306,7 +310,10 @@ def near_duplicates(
     rest = grouped.join(split, "bucket").join(parities, "key")
     x, y = rest.alias("x"), rest.alias("y")
     differ = sum(
-        (F.bit_count(F.col("x.parities")[k].bitwiseXOR(F.col("y.parities")[k])) for k in range(PARITIES)),
+        (
+            F.bit_count(F.col("x.parities")[k].bitwiseXOR(F.col("y.parities")[k]))
+            for k in range(PARITIES)
+        ),
         F.lit(0),
     )
     total = F.col("x.n") + F.col("y.n")

@@ -222,7 +222,9 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options
+) -> DataFrame:
     """The mix as documents, with the columns of ``docs``.
 
     A document taken twice is two rows. At the border of a quota a row has a part of the
@@ -231,13 +233,15 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
     laid = mix(docs, text=text, carry=True, **options)
     body = F.col("_row").getField(text)
     whole = F.col("cut") == F.col("size")
-    words = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    word = F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+    words = F.regexp_extract_all(F.coalesce(body, F.lit("")), word, F.lit(0))
 
     def part(at: Column, n: Column) -> Column:
         return F.array_join(F.slice(words, (at + 1).cast("int"), n.cast("int")), "")
 
+    times = F.col("whole") + F.when(whole & (F.col("size") > 0), 1).otherwise(0)
     copies = F.concat(
-        F.array_repeat(body, (F.col("whole") + F.when(whole & (F.col("size") > 0), 1).otherwise(0)).cast("int")),
+        F.array_repeat(body, times.cast("int")),
         F.when((F.col("cut") > 0) & ~whole, F.array(part(F.col("cut_at"), F.col("cut")))).otherwise(
             F.array().cast("array<string>")
         ),

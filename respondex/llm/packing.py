@@ -84,7 +84,8 @@ class WordEncoder:
             counts[plain] = np.diff(at, prepend=-1) - 1
             short = self.ids[coded[coded != self.mark]]
         odd = [w for w, p in zip(words, plain) if not p]
-        long = [np.array(x.ids, np.uint32) for x in self.full.encode_batch(odd, add_special_tokens=False)] if odd else []
+        coded = self.full.encode_batch(odd, add_special_tokens=False) if odd else []
+        long = [np.array(x.ids, np.uint32) for x in coded]
         counts[~plain] = [len(x) for x in long]
         begins = np.concatenate([[0], np.cumsum(counts)])
         out = np.zeros(begins[-1], np.uint32)
@@ -98,8 +99,9 @@ class WordEncoder:
         """Ids of all texts (nulls are empty) and the bounds of each text's."""
         filled = texts.fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset :][: len(filled) + 1]
-        low = offsets[0]
-        data = np.frombuffer(filled.buffers()[2], np.uint8)[low : offsets[-1]] if filled.buffers()[2] else np.zeros(0, np.uint8)
+        low, body = offsets[0], filled.buffers()[2]
+        data = np.frombuffer(body, np.uint8) if body else np.zeros(0, np.uint8)
+        data = data[low : offsets[-1]]
         offsets = offsets - low
         solid = (data != 32) & ((data < 9) | (data > 13))
         starts = solid.copy()

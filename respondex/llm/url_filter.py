@@ -84,9 +84,8 @@ def judge_urls(
         )
         for n, m in shapes
     ]
-    expressions = urls.select(
-        "url", F.explode(F.array_compact(F.array(*made) if made else F.array().cast("array<string>"))).alias("expression")
-    )
+    all_made = F.array(*made) if made else F.array().cast("array<string>")
+    expressions = urls.select("url", F.explode(F.array_compact(all_made)).alias("expression"))
     digest = F.sha2("expression", 256)
     hashed = expressions.select("url", digest.alias("digest")).withColumn(
         "prefix", F.substring("digest", 1, PREFIX_DIGITS)
