@@ -76,6 +76,14 @@ FAULT = -1.0
 def distance_to(embedding: Column | str, vector: Sequence[float]) -> Column:
     """Euclidean distance of a vector column to one constant vector.
 
+    NULL for a NULL vector; a wrong length or a null element fails the query.
+    """
+    return checked(distance_or_fault(embedding, vector))
+
+
+def distance_or_fault(embedding: Column | str, vector: Sequence[float]) -> Column:
+    """The same, for rows that may turn out not to matter.
+
     NULL for a NULL vector, ``FAULT`` for one of another length or with a null element.
     """
     bound = query_vector(vector)

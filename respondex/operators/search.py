@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.text import display_line, pick_answer
-from respondex.functions.vectors import checked, distance_to
+from respondex.functions.vectors import checked, distance_or_fault
 from respondex.operators.keys import assign_ids
 from respondex.schemas import QUESTIONS, STUDENT_KEY
 from respondex.session import fits_auto_broadcast, input_bytes
@@ -115,7 +115,7 @@ def _scored(embeddings: DataFrame, vector: Sequence[float]) -> DataFrame:
         F.col("student_id").alias("_student"),
         F.col("question_id").alias("result_question_id"),
         "embedding",
-        distance_to("embedding", vector).alias("result_distance"),
+        distance_or_fault("embedding", vector).alias("result_distance"),
     )
 
 
