@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from respondex.llm.hashing import slices
+
 TOKENS = 4096
 SEGMENTS = 128
 #: Examples that a task chooses from.
 WINDOW = 512
+#: Bytes of text that a task encodes at once.
+SLICE = 8 << 20
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
@@ -268,7 +272,7 @@ def pack(
                 del held[k], keys[k]
             return pa.RecordBatch.from_arrays(out, names=names + ["ids"] * with_ids)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             kind = batch.column(0).type
             ids, bounds = encoder.texts(batch.column(1))
             loss = batch.column(2).to_numpy(zero_copy_only=False)
