@@ -3,8 +3,8 @@
 Markup is stripped to lines, one per block element; parts that say by tag, role or class
 that they are no article are left out. The text lengths of the lines are summed over sliding
 windows of lines; where the sums rise above a bar the text surges, where they fall below it
-the text dives, and the lines between are kept. Where the page marks its article, only lines
-inside it weigh anything, and the bar is zero.
+the text dives, and the lines between are kept, also those full of links. Where the page
+marks its article, lines inside it weigh more; those outside keep their own weight.
 """
 
 from __future__ import annotations
@@ -166,25 +166,49 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return blocks
 
 
+def _level(lines: list[tuple[str, int, bool]], window: int, bar: int) -> tuple[float, float]:
+    """The level that the sums of windows have to pass, and the added weight of a marked window.
+
+    With half of the page's text marked the added weight passes the level whatever the
+    window holds; with a smaller share it is less.
+    """
+    own = [len(text) - linked for text, linked, _ in lines]
+    sums = [sum(own[max(i, 0) : i + window]) for i in range(1 - window, len(own))]
+    level = min(bar, max(sums, default=0) / 4)
+    marked = sum(x for x, (_, _, inside) in zip(own, lines) if inside)
+    share = marked / sum(own) if sum(own) else 1
+    return level, min(1, 2 * share) * (level + 1)
+
+
 def main_text(page: str, window: int = WINDOW, bar: int = BAR) -> str:
     lines = lines_of(page)
-    marked = any(x[2] for x in lines)
-    lengths = [
-        (len(text) if inside else 0) if marked else max(len(text) - 2 * linked, 0)
-        for text, linked, inside in lines
-    ]
-    n = len(lengths)
-    total = [0]
-    for x in lengths:
-        total.append(total[-1] + x)
-    sums = [total[min(i + window, n)] - total[max(i, 0)] for i in range(1 - window, n)]
-    level = 0 if marked else min(bar, max(sums, default=0) / 4)
-    kept, until = [], -1
-    for i in range(1 - window, n):
-        if sums[i + window - 1] > level:  # the text has surged, and not dived before i + window
-            kept += range(max(i, until + 1, 0), min(i + window, n))
-            until = min(i + window, n) - 1
-    return "\n".join(lines[i][0] for i in kept if lengths[i])
+    level, added = _level(lines, window, bar)
+    # Windows end where a marked part begins or ends.
+    borders = [i for i in range(1, len(lines)) if lines[i][2] != lines[i - 1][2]]
+    kept: list[int] = []
+    for low, high in zip([0, *borders], [*borders, len(lines)] if lines else []):
+        extra = added / min(window, high - low) if lines[low][2] else 0
+        weights = [len(text) - linked + extra for text, linked, _ in lines[low:high]]
+        runs: list[list[int]] = []
+        for i in range(low + 1 - window, high):
+            first, end = max(i, low), min(i + window, high)
+            if sum(weights[first - low : end - low]) > level:  # the text has surged, and not dived before end
+                if runs and first <= runs[-1][1]:
+                    runs[-1][1] = end
+                else:
+                    runs.append([first, end])
+        for first, end in runs:
+            # Windows reach beyond the text; lists of links there are none of it.
+            while first < end and _links(lines[first], weights[first - low], level / window):
+                first += 1
+            while first < end and _links(lines[end - 1], weights[end - 1 - low], level / window):
+                end -= 1
+            kept += range(first, end)
+    return "\n".join(lines[i][0] for i in kept)
+
+
+def _links(line: tuple[str, int, bool], weight: float, least: float) -> bool:
+    return 2 * line[1] >= len(line[0]) and weight < least
 
 
 def extract(

@@ -32,6 +32,22 @@ def test_article(page):
     assert html_text.main_text(page) == TEXT
 
 
+LONG = [f"Sentence number {i} of the article, as long as a paragraph of some news page would be." for i in range(6)]
+LONG_BODY = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+def test_line_blocks_choose_beside_marks():
+    cards = "".join(f"<article class=card><h3><a href=/{i}>Card {i}</a></h3></article>" for i in range(3))
+    for page in (f"<div>{LONG_BODY}</div>{cards}", f"{cards}<div>{LONG_BODY}</div>", f"{cards}<div>{LONG_BODY}</div>{cards}"):
+        assert html_text.main_text(page) == "\n".join(LONG)
+    # Text outside that is long by itself stays; short lines and lists of links inside stay.
+    inside = "<h1>Head</h1>" + "<p>No.</p>" * 5 + LONG_BODY + "<p><a href=x>Source</a></p>" * 5
+    want = ["Head"] + ["No."] * 5 + LONG + ["Source"] * 5
+    assert html_text.main_text(f"<p>By me</p><article>{inside}</article><p>Bye</p>") == "\n".join(want)
+    assert html_text.main_text(f"<article>{inside}</article><div><p>{LONG[0]}</p></div>") == "\n".join(want + LONG[:1])
+    assert html_text.main_text("<main><p><a href=x>One</a><p><a href=y>Two</a></main>") == "One\nTwo"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<<<>>>", "<p", "<!--", "<script>", "</p></p>", "<article></article>", "<nav>x</nav>"])
 def test_pages_without_article(page):
     assert html_text.main_text(page).strip("<>p ") == ""
