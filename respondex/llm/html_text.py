@@ -61,8 +61,14 @@ _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _WORD = re.compile(r"[a-z]+")
 
 
-def _names(rest: str) -> set[str]:
-    return {w for _, value in _NAMED.findall(rest) for w in _WORD.findall(value.lower())}
+def _named(rest: str) -> bool:
+    """Whether a class, an id or a role as a whole is made of listed words only."""
+    for _, value in _NAMED.findall(rest):
+        for name in value.strip("\"'").lower().split():
+            words = _WORD.findall(name)
+            if words and NAMES.issuperset(words):
+                return True
+    return False
 
 
 def _dropped(tag: str, rest: str, in_main: bool) -> bool:
@@ -72,7 +78,26 @@ def _dropped(tag: str, rest: str, in_main: bool) -> bool:
         return not (tag == "header" and in_main)
     if not rest.strip(" /"):
         return False
-    return bool(_names(rest) & NAMES) or bool(_UNSEEN.search(rest))
+    return _named(rest) or bool(_UNSEEN.search(rest))
+
+
+def _unlinked(tokens: list[tuple[str, str, str]], ends: dict[int, int]) -> list[int]:
+    """Characters of text before each token, outside links and elements dropped by their tag."""
+    out = [0]
+    in_link, skip_until = False, -1
+    for k, (kind, value, rest) in enumerate(tokens):
+        own = 0
+        if k >= skip_until:
+            if kind == "text":
+                own = 0 if in_link else len(value.strip())
+            elif value == "a":
+                in_link = kind == "open"
+            elif value not in INLINE and value != "br":
+                in_link = False
+            if kind == "open" and value in DROPPED and value != "header":
+                skip_until = ends.get(k, -1)
+        out.append(out[-1] + own)
+    return out
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -109,13 +134,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 loose.append(k)
             if value not in VOID and not rest.rstrip().endswith("/"):
                 waiting.setdefault(value, []).append(k)
-            if value in _MAIN and not _names(rest) & NAMES:
+            if value in _MAIN and not _named(rest):
                 mains.append(k)
         elif waiting.get(value):
             ends[waiting[value].pop()] = k
     for k in loose:
         ends.setdefault(k, len(tokens))
     marked = [(k, ends.get(k, len(tokens))) for k in mains]
+    before = _unlinked(tokens, ends)
+
+    def cut(k: int, in_main: bool) -> bool:
+        """Whether an element is left out: never for its name if most of the text is in it.
+
+        A few lines outweigh an article of a few words; there a mark elsewhere decides.
+        """
+        _, tag, rest = tokens[k]
+        if not _dropped(tag, rest, in_main):
+            return False
+        held = before[ends[k]] - before[k]
+        short = not in_main and marked and held < WINDOW * BAR
+        return tag in DROPPED or 2 * held <= before[-1] or bool(short)
 
     blocks: list[tuple[str, int, bool]] = []
     parts: list[str] = []
@@ -159,7 +197,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if k in starts and main_until < 0:
             main_until = starts[k]
             continue
-        if k not in starts and k in ends and _dropped(value, rest, main_until >= 0):
+        if k not in starts and k in ends and cut(k, main_until >= 0):
             if not any(k < f < ends[k] for f in firsts):
                 skip_until = ends[k]
     flush()

@@ -48,6 +48,25 @@ def test_line_blocks_choose_beside_marks():
     assert html_text.main_text("<main><p><a href=x>One</a><p><a href=y>Two</a></main>") == "One\nTwo"
 
 
+@pytest.mark.parametrize("wrap", ["class='content with-sidebar'", "class=no-sidebar", "id='has-header'", "class='article-header'", "class='search'", "role=search class=share", "hidden", "id=comments"])
+def test_names_never_take_the_article(wrap):
+    want = "\n".join(LONG)
+    assert html_text.main_text(f"<div {wrap}>{LONG_BODY}</div><div class=share>Send it to all</div>") == want
+    assert html_text.main_text(f"<article><section {wrap}>{LONG_BODY}</section></article>") == want
+
+
+def test_parts_of_names_and_links_cut_nothing():
+    part = f"<h1 class='article-header'>{LONG[0]}</h1><section class='related-work'><p>{LONG[1]}</p></section>{LONG_BODY}"
+    assert html_text.main_text(f"<article>{part}</article>") == "\n".join(LONG[:2] + LONG)
+    assert html_text.main_text(f"<div>{part}</div>") == "\n".join(LONG[:2] + LONG)
+    links = "<p>See <a href=x>a long text in a link</a>, <a href=y>another</a>.</p><p><a href=z>More of it</a></p>"
+    page = f"<ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div>{LONG_BODY}{links}{LONG_BODY}</div><p><a href=c>Three</a>"
+    assert html_text.main_text(page) == "\n".join([*LONG, "See a long text in a link, another.", "More of it", *LONG])
+    assert html_text.main_text(f"<div class=ad>{LONG[0]}</div><article><p>Sh is.</p></article>") == "Sh is."
+    small = f"<div class='cookie-notice'><p>{LONG[0]}</p></div><div class='box sidebar'><p>{LONG[1]}</p></div>"
+    assert html_text.main_text(f"{small}<div>{LONG_BODY}</div>") == "\n".join(LONG)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<<<>>>", "<p", "<!--", "<script>", "</p></p>", "<article></article>", "<nav>x</nav>"])
 def test_pages_without_article(page):
     assert html_text.main_text(page).strip("<>p ") == ""
