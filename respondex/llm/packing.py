@@ -41,17 +41,23 @@ class WordEncoder:
 
     The vocabulary splits at white space and looks at no neighbour, so a text's ids are
     those of its words. Plain words go through the same merges in another library, which
-    takes a byte after each piece for the end of a word; both give equal ids.
+    takes a byte after each piece for the end of a word; both give equal ids. With
+    ``added_tokens`` literal added tokens, also inside a word, have their own id, as in
+    ``Tokenizer.encode(text, add_special_tokens=False)``; words that hold one go to the
+    library. Without, they are text as any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = not added_tokens
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            described = json.load(file)
+        model = described["model"]
+        added = [x["content"] for x in described["added_tokens"]] if added_tokens else []
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         rest = [b for b in range(256) if b not in shown]
         shown |= {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -78,6 +84,8 @@ class WordEncoder:
         """Ids of all words one after another, and where each word's begin, and the end."""
         n = len(words)
         plain = np.fromiter((bool(_PLAIN.fullmatch(w)) for w in words), bool, n)
+        if self.added:
+            plain &= ~np.fromiter((bool(self.added.search(w)) for w in words), bool, n)
         counts = np.zeros(n, np.int64)
         first = [w for w, p in zip(words, plain) if p]
         short = np.zeros(0, np.uint32)
@@ -249,7 +257,7 @@ def pack(
         import public_tokenizers
         from pyspark import TaskContext
 
-        encoder = WordEncoder(tokenizer or public_tokenizers.path(TOKENIZER))
+        encoder = WordEncoder(tokenizer or public_tokenizers.path(TOKENIZER), added_tokens=True)
         packer = _Packer(TaskContext.get().partitionId() << 40, limits)
         held: dict[int, np.ndarray] = {}
         keys: dict[int, object] = {}

@@ -147,6 +147,23 @@ def test_words_give_the_same_ids():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == full.encode(text or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_ids_of_the_plain_call(spark):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    texts = ["foo <|endoftext|> bar", "foo<|endoftext|>bar's<|startoftext|><|endoftext|>x", "<|startoftext|>", "caf\u00e9<|endoftext|>\U0001f600",
+             "e<|endoftext|>\u0301 <|ENDOFTEXT|> <|endoftext|", "a\u2003<|endoftext|>\u2003b <| endoftext |>", "plain words"]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [23435, 49407, 2411]
+    ids, bounds = packing.WordEncoder(path, added_tokens=True).texts(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(packing.pack(frame).collect(), {i: x + [2] for i, x in enumerate(want)})
+
+
 def check_packing(pieces, ids, limits=(4096, 128, 4096), prompt=None):
     docs, bins = defaultdict(list), defaultdict(list)
     for r in pieces:
