@@ -19,8 +19,8 @@ def line_matches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return minhash.one_of_each(docs)
+    """One row of each group of near copies stays, that with the smallest id."""
+    return minhash.one_of_each(docs, single=True)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def _read(batch: pa.RecordBatch, column: int, size: int):
 
 
 def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, hash (of the text), key, n, buckets, parities of each document.
+    """doc_id, hash (of the text), row, key, n, buckets, parities of each document.
 
     The last two are null for a bag that has been met before in its slice of the input.
     """
@@ -143,6 +143,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         [
             docs.schema["doc_id"],
             T.StructField("hash", T.LongType()),
+            T.StructField("row", T.LongType()),
             T.StructField("key", T.BinaryType()),
             T.StructField("n", T.LongType()),
             T.StructField("buckets", T.ArrayType(T.LongType())),
@@ -152,9 +153,9 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 3):
                 n = part.num_rows
-                text, shingles, weight = _read(part, 2, shingle)
+                text, shingles, weight = _read(part, 3, shingle)
                 keys = _keys(n, text, shingles, weight)
                 totals = np.bincount(text, weights=weight, minlength=n).astype(np.int64)
                 first = np.zeros(n, bool)
@@ -178,6 +179,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     [
                         part.column(0),
                         part.column(1),
+                        part.column(2),
                         pa.array(keys, pa.binary()),
                         pa.array(totals),
                         *[
@@ -249,8 +251,10 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     threshold: float = THRESHOLD,
+    single: bool = False,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, hash, n_shingles, class_id, kept; one row per input row.
+    """doc_id, hash, row, n_shingles, class_id, kept; one row per input row.
 
     ``class_id`` is the smallest id of the documents that links reach; a link is a multiset
     Jaccard similarity of ``threshold`` or more between two texts that share a bucket. With
@@ -258,12 +262,16 @@ def near_duplicates(
     the rows with the class's id. Null and empty texts, and texts of blanks, have no shingle
     and link with nothing; a text of fewer than five words is one shingle. A row without id
     is kept if its class has no id at all. Rows that repeat an id and a text are one
-    document. Other columns are not looked at. An empty table gives an empty result.
-    ``hash`` is xxhash64 of the text.
+    document. With ``single`` exactly one row of each class is kept, whatever the ids are:
+    that with the smallest id (null last), then with the smallest number. Numbers are those
+    of column ``row``, which must be unique, or given once to the rows as they are read;
+    they are in the result. Other columns are not looked at. An empty table gives an empty
+    result. ``hash`` is xxhash64 of the text.
     """
     source = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("hash"),
+        (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("row"),
         F.col(f"`{text}`").alias("text"),
     )
     signed = written(_signed(source, shingle, bands, rows), "near-signed")
@@ -337,23 +345,34 @@ def near_duplicates(
     placed = signed.join(labels, F.col("key") == F.col("node"), "left").select(
         "doc_id",
         "hash",
+        "row",
         "n",
         F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("group"),
     )
-    classes = placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    classes = (
+        placed.where("group is not null")
+        .groupBy("group")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("head"))
+        .select("group", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head"))
+    )
+    first = F.col("row") == F.col("head") if single else F.col("doc_id").eqNullSafe(F.col("class_id"))
     return placed.join(classes, "group", "left").select(
         "doc_id",
         "hash",
+        "row",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .otherwise(True)
-        .alias("kept"),
+        F.when(F.col("n") > 0, first).otherwise(True).alias("kept"),
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
+    if options.get("single"):
+        numbered = written(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-rows")
+        gone = near_duplicates(numbered, doc_id, text, row="_near_row", **options).where("not kept")
+        left = numbered.join(gone.select(F.col("row").alias("_near_row")), "_near_row", "left_anti")
+        return left.select(*[f"`{c}`" for c in docs.columns])
     gone = near_duplicates(docs, doc_id, text, **options).where("not kept")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
     hashed = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))

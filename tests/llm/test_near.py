@@ -99,6 +99,24 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 3), (None, "a b c d e f", 4), (None, long, 5), (None, long + " x", 6),
+            (None, long, 7), (8, "other words", 8), (8, "more of others", 9), (None, None, 10), (None, "", 11), (1, " ", 12), (1, " ", 13)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
+    for left in (minhash.one_of_each(frame, single=True), corpus_pipeline.near_copies(spark, frame, "")):
+        assert left.columns == frame.columns
+        got = sorted(r.n for r in left.collect())
+        assert got[-6:] == [8, 9, 10, 11, 12, 13] and len(got) == 8
+        assert got[0] in (1, 2, 3) and got[1] in (5, 6, 7)
+    kept = minhash.near_duplicates(frame, single=True).where("kept").collect()
+    want = Counter({(3, 3): 1, (None, None): 3, (8, 8): 2, (1, 1): 2})
+    assert Counter((r.doc_id, r.class_id) for r in kept) == want
+    assert len({r.row for r in minhash.near_duplicates(frame, single=True).collect()}) == len(rows)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     shingle = hashing.mix(np.arange(300, dtype=np.uint64))
