@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from respondex.functions.text import pick_answer
+from respondex.operators.keys import number_within
 from respondex.operators.nearest import answers_of, nearest_answers
-from respondex.operators.search import copy_order, result_order, students_of
+from respondex.operators.search import MAX_TOP, copy_order, result_order, students_of
 from respondex.schemas import QUESTIONS, STUDENT_KEY
 from respondex.session import scratch_path
 
+# Students without answers meet the questions in so many slots of each.
+_SLOTS = 16
+
 
 def search_batch(
     survey: DataFrame,
@@ -23,12 +26,14 @@ def search_batch(
     limit: int = 5,
     key: str = STUDENT_KEY,
     questions: Sequence[str] = QUESTIONS,
+    nearest: Callable[[DataFrame, DataFrame, int], DataFrame] = nearest_answers,
 ) -> DataFrame:
     """For every question in ``queries(qid, vector)`` what ``search`` gives, plus a rank.
 
     Columns: ``qid, result_rank``, the survey's, ``result_question_id, result_distance,
     result_text``. A question without a vector gets no rows. ``limit`` 0 or less means all
-    rows; then one task ranks all rows of a question.
+    rows; these are sorted by range when the caller's plan is made, so that the rows of one
+    question lie in many tasks. The same goes for a limit above 10,000.
 
     The pass over the vectors runs here and leaves its winners, ``limit`` keys per
     question, in a scratch table; texts are fetched when the caller acts. ``queries``
@@ -37,7 +42,7 @@ def search_batch(
     students = students_of(survey, key)
     candidates = answers_of(embeddings, students.filter(F.col("_student").isNotNull()))
     path = scratch_path(survey.sparkSession, "winners")
-    nearest_answers(candidates, queries, limit).write.parquet(path)
+    nearest(candidates, queries, limit).write.parquet(path)
     stored = survey.sparkSession.read.parquet(path)
     near = stored.select(
         "qid",
@@ -57,17 +62,23 @@ def _absent(
 ) -> DataFrame:
     """The students without answers, up to ``limit``, for every question that has a vector.
 
-    They carry the list of questions, which the tasks have held already for measuring.
+    Every student meets every question, as the result wants it: both sides are dealt to
+    slots, and an equi-join on pairs of slots brings them together in many tasks.
     """
     known = candidates.select(F.col("student_id").alias("_student")).distinct()
     without = students.join(known, "_student", "left_anti")
     if limit > 0:
         without = without.orderBy(F.asc_nulls_last("_student")).limit(limit)
-    asked = [r["qid"] for r in queries.filter(F.col("vector").isNotNull()).select("qid").collect()]
-    kind = queries.schema["qid"].dataType
-    ids = F.array(*[F.lit(q) for q in asked]).cast(T.ArrayType(kind))
-    return without.select(
-        F.explode(ids).alias("qid"),
+    every = F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1)))
+    slot = F.pmod(F.xxhash64(F.lit(7), F.col("_student")), F.lit(_SLOTS)).cast("int")
+    without = without.select("_student", slot.alias("_mine"), every.alias("_theirs"))
+    asked = queries.filter(F.col("vector").isNotNull()).select(
+        "qid",
+        F.pmod(F.xxhash64(F.lit(7), F.col("qid")), F.lit(_SLOTS)).cast("int").alias("_theirs"),
+        every.alias("_mine"),
+    )
+    return without.join(asked, ["_mine", "_theirs"]).select(
+        "qid",
         "_student",
         F.lit(None).cast("string").alias("result_question_id"),
         F.lit(None).cast("double").alias("result_distance"),
@@ -96,16 +107,17 @@ def _with_answers(
         )
     found = rows.join(near, rows[key].cast("string").eqNullSafe(near["_student"]))
     order = result_order(F.col(key), survey.columns)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
-    return (
-        found.withColumn("result_rank", rank)
-        .filter((F.col("result_rank") <= limit) | F.lit(limit <= 0))
-        .select(
-            "qid",
-            "result_rank",
-            *survey.columns,
-            "result_question_id",
-            "result_distance",
-            pick_answer(F.col("result_question_id"), questions).alias("result_text"),
-        )
+    found = found.select("qid", *survey.columns, "result_question_id", "result_distance")
+    if 0 < limit <= MAX_TOP:
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
+        found = found.withColumn("result_rank", rank)
+    else:
+        found = number_within(found, "qid", order, "result_rank")
+    return found.filter((F.col("result_rank") <= limit) | F.lit(limit <= 0)).select(
+        "qid",
+        "result_rank",
+        *survey.columns,
+        "result_question_id",
+        "result_distance",
+        pick_answer(F.col("result_question_id"), questions).alias("result_text"),
     )

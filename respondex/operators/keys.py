@@ -55,23 +55,52 @@ def assign_ids(
     Range bounds are sampled and may differ between two runs of the same plan, so the
     sorted rows are written once and both counts and rows come from that table.
     """
-    path = scratch_path(rows.sparkSession, "ids")
-    position = F.monotonically_increasing_id()
-    (
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_position", position)
-        .write.parquet(path)
-    )
-    placed = rows.sparkSession.read.parquet(path).select(
-        "*", F.shiftright("_position", _ROW_BITS).alias("_part")
-    )
+    placed = _sorted_by_range(rows, order)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per partition of the sort, so this window stays as small as the task list.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
     starts = sizes.select("_part", earlier.alias("_start"))
-    in_part = F.col("_position").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return placed.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + in_part + start).alias(name), *rows.columns
+        (F.col("_start") + F.col("_in_part") + start).alias(name), *rows.columns
+    )
+
+
+def _sorted_by_range(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``rows``, written in order, with the partition of each and its place in there."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "ids")
+    placed = (
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_position", F.monotonically_increasing_id())
+    )
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path).select(
+        *rows.columns,
+        F.shiftright("_position", _ROW_BITS).alias("_part"),
+        F.col("_position").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_in_part"),
+    )
+
+
+def number_within(
+    rows: DataFrame, group: str, order: Sequence[Column], name: str = "rank"
+) -> DataFrame:
+    """Number the rows of each ``group`` from 1 on in the order of ``order``.
+
+    A window would put a group into one task. Here all rows are sorted by range of (group,
+    order), so a large group lies in many partitions. A number is then the group's rows in
+    earlier partitions, plus the place among its rows in this one.
+    """
+    placed = _sorted_by_range(rows, [F.asc_nulls_first(group), *order])
+    # A row for each partition and group in it: at most one for each of both.
+    parts = placed.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_in")).agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_in_part").alias("_least")
+    )
+    before = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
+    starts = parts.select("_group", "_in", (earlier - F.col("_least") + 1).alias("_start"))
+    same = (F.col("_part") == F.col("_in")) & F.col(group).eqNullSafe(F.col("_group"))
+    return placed.join(starts, same).select(
+        *rows.columns, (F.col("_start") + F.col("_in_part")).cast("int").alias(name)
     )

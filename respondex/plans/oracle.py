@@ -338,3 +338,10 @@ ORDER BY {_ORDER} LIMIT 10
     + """SELECT qid, 0 AS pos, 'system' AS role, 'You are a helpful assistant.' AS content
         FROM prompts UNION ALL SELECT qid, 1, 'user', prompt FROM prompts""",
 }
+
+# The same rows by other ways to store the vectors.
+ORACLE |= {
+    "search_cells": ORACLE["search_topk"],
+    "search_cells_batch": ORACLE["search_batch_vectors"],
+    "search_quantised": ORACLE["search_topk"],
+}

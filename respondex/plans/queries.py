@@ -11,6 +11,7 @@ from respondex.functions.text import with_prefix
 from respondex.functions.vectors import as_vector, l2_distance, l2_normalize
 from respondex.models import RETRIEVAL_PREFIX, word_count_model
 from respondex.operators.batch import search_batch
+from respondex.operators.cells import build_cells, search_cells, search_cells_batch
 from respondex.operators.context import build_context, render_prompts
 from respondex.operators.embed import (
     EmbeddingStore,
@@ -20,6 +21,7 @@ from respondex.operators.embed import (
     pending_texts,
 )
 from respondex.operators.keys import assign_ids, duplicate_keys, orphan_keys, vector_faults
+from respondex.operators.quantised import search_quantised, store_quantised
 from respondex.operators.reshape import keep_first, new_texts, to_long
 from respondex.operators.search import display_lines, join_answers, search
 from respondex.plans.pipelines import (
@@ -318,6 +320,44 @@ def _search_top(spark, sf_dir):
     return _elements(found, F.col("embedding"), *keys)
 
 
+def _cells(spark, sf_dir) -> str:
+    """All given vectors, stored by cell."""
+    path = scratch_path(spark, "cells")
+    build_cells(embeddings(spark, sf_dir), path, DIM, cell_rows=64)
+    return path
+
+
+@query("search_cells")
+def _search_cells(spark, sf_dir):
+    """``search_topk`` from the vectors' cells."""
+    vector = query_vector(spark, sf_dir)
+    found = _rounded(search_cells(survey(spark, sf_dir), _cells(spark, sf_dir), vector, limit=25))
+    keys = ["perm", "result_question_id", "result_distance", "result_text"]
+    return _elements(found, F.col("embedding"), *keys)
+
+
+@query("search_cells_batch")
+def _search_cells_batch(spark, sf_dir):
+    """``search_batch_vectors`` from the vectors' cells."""
+    found = search_cells_batch(
+        survey(spark, sf_dir), _cells(spark, sf_dir), _vector_questions(spark, sf_dir), limit=3
+    )
+    return _rounded(found).select(
+        "qid", "result_rank", "perm", "result_question_id", "result_distance"
+    )
+
+
+@query("search_quantised")
+def _search_quantised(spark, sf_dir):
+    """``search_topk`` through 8-bit copies of the vectors."""
+    path = scratch_path(spark, "quantised")
+    store_quantised(embeddings(spark, sf_dir), path, DIM)
+    vector = query_vector(spark, sf_dir)
+    found = _rounded(search_quantised(survey(spark, sf_dir), path, vector, limit=25))
+    keys = ["perm", "result_question_id", "result_distance", "result_text"]
+    return _elements(found, F.col("embedding"), *keys)
+
+
 @query("search_narrow")
 def _search_narrow(spark, sf_dir):
     """The same question by the route for big tables."""
@@ -442,12 +482,16 @@ def _search_batch_words(spark, sf_dir):
     return _rounded(_found(spark, sf_dir))
 
 
+def _vector_questions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")
+    )
+
+
 @query("search_batch_vectors")
 def _search_batch_vectors(spark, sf_dir):
     """Every given vector is a question of its own."""
-    asked = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")
-    )
+    asked = _vector_questions(spark, sf_dir)
     found = search_batch(survey(spark, sf_dir), embeddings(spark, sf_dir), asked, limit=3)
     return _rounded(found).select(
         "qid", "result_rank", "perm", "result_question_id", "result_distance"
