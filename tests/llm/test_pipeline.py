@@ -37,10 +37,10 @@ def test_queries_equal_their_sql(spark, name):
     assert rows(got.select(*columns).collect()) == rows(want.select(*columns).fetchall())
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == list(QUERIES)
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
