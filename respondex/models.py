@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,23 +59,65 @@ def model(name: str) -> Model:
     return MODELS[name]
 
 
-def _count_words(dim: int) -> BatchFunction:
+# Distinct words whose buckets a task remembers at once.
+_KNOWN_WORDS = 1 << 20
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
     import regex
 
-    tokens = regex.compile(r"\0|\p{L}+")
+    # Surrogates are no characters of any text; here blanks stand for them.
+    points = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    points[0xD800:0xE000] = ord(" ")
+    out = np.zeros(len(points), bool)
+    for found in regex.finditer(r"\p{L}+", points.tobytes().decode("utf-32-le")):
+        out[found.start() : found.end()] = True
+    return out
+
+
+def _words(texts: Sequence[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Which text each word is in, and the words: all runs of letters.
+
+    Borders are found in arrays of all characters. Runs of letters and what lies between
+    them are then alternating slices of the texts' bytes.
+    """
+    line = "\0".join(texts) + "\0"
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[points]
+    changes = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    sizes = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    edges = np.concatenate([[0], ends[changes - 1], ends[-1:]])
+    data = pa.py_buffer(line.encode("utf-8", "surrogatepass"))
+    runs = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), data)
+    first = 0 if letter[0] else 1
+    starts = np.concatenate([[0], changes])[first::2]
+    ended = np.cumsum([len(t) + 1 for t in texts]) - 1
+    return np.searchsorted(ended, starts), runs[first::2].dictionary_encode()
+
+
+def _count_words(dim: int) -> BatchFunction:
+    known: dict[str, int] = {}
 
     def bucket(word: str) -> int:
-        return int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dim
+        found = known.get(word)
+        if found is None:
+            if len(known) >= _KNOWN_WORDS:
+                known.clear()
+            found = int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dim
+            known[word] = found
+        return found
 
     def embed(texts: Sequence[str]) -> np.ndarray:
         """All texts at once; each distinct word is hashed once."""
-        line = "".join(t.replace("\0", " ") + "\0" for t in texts)
-        found = pa.array(tokens.findall(line), pa.string()).dictionary_encode()
-        words = found.dictionary.to_pylist()
-        buckets = np.array([-1 if w == "\0" else bucket(w) for w in words], np.int64)
-        at = buckets[found.indices.to_numpy()]
-        row = np.cumsum(at < 0)[at >= 0]
-        counts = np.bincount(row * dim + at[at >= 0], minlength=len(texts) * dim)
+        if not len(texts):
+            return np.zeros((0, dim))
+        row, words = _words(texts)
+        buckets = np.array([bucket(w) for w in words.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+        at = row * dim + (buckets[words.indices.to_numpy()] if len(row) else row)
+        counts = np.bincount(at, minlength=len(texts) * dim)
         return counts.reshape(len(texts), dim).astype(np.float64)
 
     return embed

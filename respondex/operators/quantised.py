@@ -95,9 +95,10 @@ def bounds_to(vector: Sequence[float]) -> Column:
         valid = code.is_valid().to_numpy(zero_copy_only=False)
         some = pa.array(valid)
         body = b"".join(code.filter(some).to_pylist())
-        codes = np.frombuffer(body, np.uint8).reshape(int(valid.sum()), -1)
-        if len(codes) and codes.shape[1] != bound.size:
-            raise ValueError(f"vector of length {bound.size}, expected {codes.shape[1]}")
+        n = int(valid.sum())
+        if len(body) != n * bound.size:
+            raise ValueError(f"vector of length {bound.size}, expected {len(body) // n}")
+        codes = np.frombuffer(body, np.uint8).reshape(n, bound.size)
         low, step, error = (c.filter(some).to_numpy() for c in (low, step, error))
         away = np.zeros(len(codes))
         for b in _blocks(len(codes), bound.size):

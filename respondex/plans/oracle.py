@@ -339,9 +339,49 @@ ORDER BY {_ORDER} LIMIT 10
         FROM prompts UNION ALL SELECT qid, 1, 'user', prompt FROM prompts""",
 }
 
-# The same rows by other ways to store the vectors.
+# A question as text against word vectors, the nearest ten answers.
+_FIRST_ASKED = """
+, first_asked AS (
+    SELECT embedding FROM asked_vec WHERE qid = (SELECT min(qid) FROM questions)
+),
+nearest AS (
+    SELECT wide.*, question_id,
+           array_distance(CAST(embedding AS DOUBLE[64]),
+                          CAST((SELECT embedding FROM first_asked) AS DOUBLE[64])) AS d
+    FROM wide LEFT JOIN text_vec ON perm = student_id
+)
+"""
+
 ORACLE |= {
+    "tables_if_absent": ORACLE["texts_scan"],
+    # The same rows by other ways to store the tables.
     "search_cells": ORACLE["search_topk"],
     "search_cells_batch": ORACLE["search_batch_vectors"],
     "search_quantised": ORACLE["search_topk"],
+    "colocated_pending": ORACLE["pending_texts"],
+    "colocated_export": ORACLE["export_join"],
+    "colocated_search_join": ORACLE["search_join"],
+    "embed_compact": ORACLE["embed_pending"],
+    "embed_edited": _BASE
+    + """, edited AS (
+        SELECT student_id, question_id,
+               CASE WHEN question_id = 'r2' THEN text || ' indeed' ELSE text END AS text
+        FROM texts)"""
+    + _counts("edited_vec", "edited", "student_id, question_id")
+    + _elements("edited_vec", "student_id, question_id"),
+    "search_question": _BASE
+    + _WORDS
+    + _ASKED
+    + _FIRST_ASKED
+    + f"""SELECT perm, r1, r2, r3, r4, dept, first_gen, question_id AS result_question_id,
+        round(d, 6) AS result_distance, {_PICK} AS result_text
+        FROM nearest ORDER BY {_ORDER} LIMIT 10""",
+    "search_lines": _BASE
+    + _WORDS
+    + _ASKED
+    + _FIRST_ASKED
+    + f"""SELECT '(distance: ' || coalesce(substr(regexp_replace(printf('%.12f', d),
+            '(\\.[0-9]+?)0+$', '\\1'), 1, 4), 'nan') || ', perm: ' || coalesce(perm, 'nan') || ') '
+            || coalesce({_PICK}, '') AS line
+        FROM nearest ORDER BY {_ORDER} LIMIT 10""",
 }

@@ -34,13 +34,19 @@ def add_texts(
     """Append the survey's answers to the text table, numbered on from the last id there.
 
     Of several answers under one key the first in ``order`` counts, and what is stored
-    already always wins. Answers without a key can't be joined to anything; each run puts
-    all of them into a table of its own beside, ``<texts_path>-unkeyed/run=``.
+    already always wins. Answers without a key can't be joined to anything; a run puts those
+    that no earlier run has put there into a table beside, ``<texts_path>-unkeyed/run=``.
     """
     spark = survey.sparkSession
     keyed, unkeyed = split_null_keys(to_long(survey, questions=questions, key=key, keep=order))
     run = f"{time.time_ns():020d}"
-    unkeyed.select(*TEXTS.fieldNames()).write.parquet(f"{unkeyed_path(texts_path)}/run={run}")
+    unkeyed = unkeyed.select(*TEXTS.fieldNames())
+    beside = unkeyed_path(texts_path)
+    if path_exists(spark, beside):
+        earlier = spark.read.schema(TEXTS).parquet(beside).select(*TEXTS.fieldNames()).distinct()
+        alike = [unkeyed[c].eqNullSafe(earlier[c]) for c in TEXTS.fieldNames()]
+        unkeyed = unkeyed.join(earlier, alike, "left_anti")
+    unkeyed.write.parquet(f"{beside}/run={run}")
     rows = keep_first(keyed, order)
     last = 0
     if path_exists(spark, texts_path):

@@ -29,15 +29,19 @@ from respondex.plans.pipelines import (
     build,
     prepare_prompts,
     read_texts,
+    search_lines,
+    search_question,
     unkeyed_path,
 )
 from respondex.plans.tables import embeddings, query_vector, survey, table, texts
-from respondex.schemas import QUESTIONS, TEXT_KEY, TEXTS
+from respondex.schemas import EMBEDDINGS, QUESTIONS, TEXT_KEY, TEXTS, create_tables
 from respondex.session import scratch_path
+from respondex.sources.colocated import buckets_for, read_colocated, store_colocated
 from respondex.sources.embeddings import (
     export_embeddings,
     export_join,
     materialize_if_absent,
+    model_embeddings,
     read_embeddings,
 )
 from respondex.sources.survey import read_survey, read_survey_split, write_survey
@@ -84,8 +88,7 @@ def _rounded(results: DataFrame) -> DataFrame:
 
 @query("survey_scan")
 def _survey_scan(spark, sf_dir):
-    survey(spark, sf_dir).createOrReplaceTempView("survey_frame")
-    return spark.sql("SELECT * FROM survey_frame")
+    return spark.sql("SELECT * FROM {frame}", frame=survey(spark, sf_dir))
 
 
 @query("csv_scan")
@@ -158,6 +161,18 @@ def _texts_scan(spark, sf_dir):
     return _stored(texts(spark, sf_dir), "texts")
 
 
+@query("tables_if_absent")
+def _tables_if_absent(spark, sf_dir):
+    """Tables are made once; making them again leaves what is in them."""
+    path = scratch_path(spark, "tables")
+    names = [f"{n}_{path[-32:]}" for n in ("texts", "words")]
+    for _ in range(2):
+        create_tables(spark, path, {names[0]: TEXTS, names[1]: EMBEDDINGS})
+        if spark.table(names[0]).isEmpty():
+            texts(spark, sf_dir).write.insertInto(names[0])
+    return spark.table(names[0])
+
+
 # Reshaping and keys
 
 
@@ -222,10 +237,43 @@ def _embed_pending(spark, sf_dir):
     return _elements(store.embeddings(), F.col("embedding"), *TEXT_KEY)
 
 
+def _edited(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All answers, and the same with those of one department edited."""
+    rows = _stored(texts(spark, sf_dir), "texts")
+    later = F.when(F.col("question_id") == "r2", F.concat("text", F.lit(" indeed"))).otherwise(F.col("text"))
+    return rows, _stored(rows.withColumn("text", later), "texts")
+
+
+@query("embed_edited")
+def _embed_edited(spark, sf_dir):
+    """Answers edited after they were embedded get a new vector, the others keep theirs."""
+    before, after = _edited(spark, sf_dir)
+    store = EmbeddingStore(spark, scratch_path(spark, "store"))
+    store.add_pending(before, WORDS)
+    store.add_pending(after, WORDS, refresh=True)
+    store.add_pending(after, WORDS, refresh=True)
+    return _elements(store.embeddings(), F.col("embedding"), *TEXT_KEY)
+
+
+@query("embed_compact")
+def _embed_compact(spark, sf_dir):
+    """``embed_pending``, and then many small batches become one."""
+    rows = _stored(texts(spark, sf_dir), "texts")
+    store = EmbeddingStore(spark, scratch_path(spark, "store"))
+    started = rows.join(embeddings(spark, sf_dir).select(*TEXT_KEY), list(TEXT_KEY), "left_semi")
+    store.add_pending(started, WORDS, batches=4)
+    store.add_pending(rows, WORDS, batches=4)
+    store.compact()
+    store.clean()
+    return _elements(store.embeddings(), F.col("embedding"), *TEXT_KEY)
+
+
 @query("embed_documents")
 def _embed_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _elements(embed_texts(rows, WORDS), F.col("embedding"), "doc_id")
+    # The model costs more than moving the texts to more tasks than files.
+    tasks = spark.sparkContext.defaultParallelism
+    return _elements(embed_texts(rows, WORDS, partitions=tasks), F.col("embedding"), "doc_id")
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -258,6 +306,42 @@ def _export_roundtrip(spark, sf_dir):
     return _elements(rows, vector, *TEXT_KEY)
 
 
+def _colocated(spark, df: DataFrame, key: str, buckets: int) -> DataFrame:
+    path = scratch_path(spark, "colocated")
+    name = f"colocated_{path[-32:]}"
+    store_colocated(df, name, key, buckets, path)
+    return read_colocated(spark, name)
+
+
+def _colocated_tables(spark, sf_dir) -> list[DataFrame]:
+    """Survey, texts and vectors in as many buckets of students."""
+    vectors = embeddings(spark, sf_dir)
+    n = max(8, buckets_for(vectors))
+    tables = {"perm": [survey(spark, sf_dir)], "student_id": [texts(spark, sf_dir), vectors]}
+    return [_colocated(spark, df, key, n) for key, dfs in tables.items() for df in dfs]
+
+
+@query("colocated_pending")
+def _colocated_pending(spark, sf_dir):
+    """``pending_texts`` without a shuffle."""
+    _, rows, vectors = _colocated_tables(spark, sf_dir)
+    return pending_texts(rows, embedded_keys(vectors))
+
+
+@query("colocated_export")
+def _colocated_export(spark, sf_dir):
+    """``export_join`` without a shuffle."""
+    _, rows, vectors = _colocated_tables(spark, sf_dir)
+    return export_join(rows, vectors).select(*TEXT_KEY, F.size("embedding").alias("width"))
+
+
+@query("colocated_search_join")
+def _colocated_search_join(spark, sf_dir):
+    """``search_join`` without a shuffle."""
+    people, _, vectors = _colocated_tables(spark, sf_dir)
+    return join_answers(people, vectors).withColumn("embedding", F.size("embedding"))
+
+
 # Vectors
 
 
@@ -394,6 +478,32 @@ def _search_normalized(spark, sf_dir):
     return _rounded(found)
 
 
+def _registered(spark, sf_dir) -> tuple[DataFrame, str]:
+    """Vectors of a model as its registry entry gives them, copied on first use, and a question."""
+    source, copies = scratch_path(spark, "source"), scratch_path(spark, "copies")
+    embed_texts(texts(spark, sf_dir), WORDS).drop("error").write.parquet(source)
+    entry = WORDS.using(source=source)
+    model_embeddings(spark, entry, copies)
+    vectors = model_embeddings(spark, entry, copies)
+    asked = _questions(spark, sf_dir).orderBy("qid").first()["text"]
+    return vectors, asked
+
+
+@query("search_question")
+def _search_question(spark, sf_dir):
+    """A question as text, against a model's own copy of the vectors."""
+    vectors, asked = _registered(spark, sf_dir)
+    people = survey(spark, sf_dir)
+    found = search_question(asked, people, vectors, limit=10, model=WORDS, include_embedding=False)
+    return _rounded(found)
+
+
+@query("search_lines")
+def _search_lines(spark, sf_dir):
+    vectors, asked = _registered(spark, sf_dir)
+    return search_lines(asked, survey(spark, sf_dir), vectors, limit=10, model=WORDS)
+
+
 @query("search_big_limit")
 def _search_big_limit(spark, sf_dir):
     """More rows than one task should merge."""
@@ -524,7 +634,8 @@ def _search_documents(spark, sf_dir):
         F.col("doc_id").cast("string").alias("perm"), F.col("text").alias("r1")
     )
     answers = to_long(rows, questions=["r1"])
-    vectors = _stored(embed_texts(answers, WORDS).drop("error"), "vectors")
+    tasks = spark.sparkContext.defaultParallelism
+    vectors = _stored(embed_texts(answers, WORDS, partitions=tasks).drop("error"), "vectors")
     asked = _stored(embed_queries(_questions(spark, sf_dir), WORDS), "questions")
     found = search_batch(rows, vectors, asked, limit=5, questions=["r1"])
     return _rounded(found).select("qid", "result_rank", "perm", "result_distance")

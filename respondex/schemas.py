@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -29,9 +31,19 @@ EMBEDDINGS = T.StructType(
 )
 
 
-def create_tables(spark: SparkSession, location: str, models: list[str]) -> list[str]:
-    """Create the typed tables that are not there yet: ``texts`` and one per model."""
-    wanted = {"texts": TEXTS} | {f"embeddings_{name}": EMBEDDINGS for name in models}
+def create_tables(
+    spark: SparkSession, location: str, tables: Sequence[str] | Mapping[str, T.StructType]
+) -> list[str]:
+    """Create the typed tables that are not there yet, and return their names.
+
+    ``tables`` are the names of models, which makes ``texts`` and one table for each model,
+    or names with their schemas.
+    """
+    wanted = (
+        dict(tables)
+        if isinstance(tables, Mapping)
+        else {"texts": TEXTS} | {f"embeddings_{name}": EMBEDDINGS for name in tables}
+    )
     for name, schema in wanted.items():
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
         spark.sql(

@@ -65,12 +65,17 @@ def files_below(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.isFile())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of a table that this package manages."""
+    fs, hadoop_path = _fs(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a table made at ``scratch_path``, and nothing else."""
     if not path.startswith(f"{scratch_base(spark)}/respondex/"):
         raise ValueError(f"not a scratch table: {path}")
-    fs, hadoop_path = _fs(spark, path)
-    fs.delete(hadoop_path, True)
+    remove(spark, path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

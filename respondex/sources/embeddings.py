@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from respondex.models import Model
 from respondex.operators.keys import orphan_keys
 from respondex.schemas import EMBEDDINGS, TEXT_KEY
-from respondex.session import MAX_BROADCAST_KEYS, path_exists, rename
+from respondex.session import MAX_BROADCAST_KEYS, path_exists, remove, rename
+
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(student_id, question_id, embedding), picked by name whatever the file order."""
@@ -73,5 +74,20 @@ def export_rows(texts: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def export_embeddings(texts: DataFrame, embeddings: DataFrame, path: str) -> None:
-    """Write the export to Parquet, replacing what is there."""
-    export_rows(texts, embeddings).write.mode("overwrite").parquet(path)
+    """Write the export to Parquet, replacing what is there.
+
+    The new export is written beside and takes the name once it is whole, so a run that dies
+    on the way leaves the old one. If it dies between the two renames, the old one lies next
+    to the path, with ``.old`` in its name.
+    """
+    spark, path = texts.sparkSession, path.rstrip("/")
+    token = uuid.uuid4().hex
+    unfinished, old = f"{path}.{token}", f"{path}.old-{token}"
+    export_rows(texts, embeddings).write.parquet(unfinished)
+    replaced = path_exists(spark, path)
+    if replaced and not rename(spark, path, old):
+        raise RuntimeError(f"could not rename {path} to {old}")
+    if not rename(spark, unfinished, path):
+        raise RuntimeError(f"could not rename {unfinished} to {path}")
+    if replaced:
+        remove(spark, old)

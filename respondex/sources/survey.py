@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -23,15 +26,54 @@ _REGULAR = f"(?s)^{_FIELD}(?:,{_FIELD})*+$"
 def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """The files under each header, a header being its column names in order.
 
-    One short job per file, which reads its first record only.
+    One distributed read finds the first line of every file, whatever their number. Only if
+    a header runs over several lines, these files are looked at once more. A row for each
+    file comes to the driver, as many as the plan lists anyway.
     """
-    reader = spark.read.options(multiLine=True, **_CSV)
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            "value",
+        )
+        .where((F.col("block") == 0) & (F.trim("value") != ""))
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("record"))
+    records = {r["file"]: r["record"] for r in first.collect()}
+    open_files = [f for f, record in records.items() if record.count('"') % 2]
+    if open_files:
+        records |= _long_headers(lines.where(F.col("file").isin(open_files)))
     found: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        found.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    for file in sorted(records):
+        found.setdefault(_column_names(records[file]), []).append(file)
     return found
 
 
+def _long_headers(lines: DataFrame) -> dict[str, str]:
+    """First records that go on until their quotes are closed."""
+    in_file = Window.partitionBy("file").orderBy("line")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    so_far = F.sum(quotes).over(in_file.rowsBetween(Window.unboundedPreceding, 0))
+    counted = lines.select("*", so_far.alias("quotes"))
+    closed = counted.groupBy("file").agg(F.min(F.when(F.col("quotes") % 2 == 0, F.col("line"))).alias("last"))
+    parts = counted.join(closed, "file").where(F.col("last").isNull() | (F.col("line") <= F.col("last")))
+    whole = parts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("parts"))
+    record = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    return {r["file"]: r["record"] for r in whole.select("file", record.alias("record")).collect()}
+
+
+def _column_names(record: str) -> tuple[str, ...]:
+    """Names as Spark's CSV reader gives them: empty ones are numbered, and so are repeated
+    ones, in which case doesn't count."""
+    names = next(csv.reader(io.StringIO(record.lstrip("\ufeff"), newline="")))
+    counts = Counter(n.lower() for n in names)
+    return tuple(
+        f"_c{i}" if not n else f"{n}{i}" if counts[n.lower()] > 1 else n for i, n in enumerate(names)
+    )
+
+
 def survey_columns(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     """All column names of the files, in the order in which they are met."""
     return list(dict.fromkeys(c for header in _headers(spark, path) for c in header))

@@ -1,6 +1,9 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import (
     EMBEDDINGS,
@@ -13,6 +16,7 @@ from helpers import (
 )
 from respondex.operators import nearest
 from respondex.operators.batch import search_batch
+from respondex.operators.keys import number_within
 from respondex.operators.nearest import _near, nearest_answers
 from test_search import people
 
@@ -155,3 +159,23 @@ def test_hot_perm_is_cut_to_what_can_count(stored):
     want = wanted(301, survey, vectors)
     for qid in want:
         assert [r[:3] for r in got[qid]] == [r[:3] for r in want[qid]]
+
+
+def test_all_rows_of_a_question_lie_in_many_tasks(spark, stored):
+    """A third of the rows is of one group, and still no window holds it."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 == 0 else None if i % 7 == 0 else str(i % 5), rng.randrange(50), i) for i in range(3000)]
+    frame = stored(rows, "g string, d int, i int").repartition(6)
+    order = [F.col("d").asc_nulls_last(), F.col("i").asc_nulls_last()]
+    found = number_within(frame, "g", order)
+    assert "Window" not in plan_of(found).split("FileScan")[0].split("SortMergeJoin")[0]
+    got = {(r["g"], r["i"]): r["rank"] for r in found.collect()}
+    for g in {r[0] for r in rows}:
+        ordered = sorted((d, i) for h, d, i in rows if h == g)
+        assert [got[g, i] for _, i in ordered] == list(range(1, len(ordered) + 1))
+    hot = found.where("g = 'hot'").select(F.spark_partition_id().alias("p")).distinct()
+    assert hot.count() > 1
+
+
+def test_no_rows_to_number(spark, stored):
+    assert number_within(stored([], "g string, d int"), "g", [F.col("d").asc()]).count() == 0

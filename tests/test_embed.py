@@ -1,14 +1,22 @@
+import hashlib
+import os
+from collections import Counter
+
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from helpers import EMBEDDINGS, NO_BROADCAST, plan_of
 from respondex.operators import embed as job
-from respondex.models import MODELS, Model, model, word_count_model
+from respondex.models import MODELS, Model, _count_words, model, word_count_model
 from respondex.operators.embed import (
     EmbeddingStore,
     embed_column,
+    embed_distinct,
     embed_queries,
     embed_texts,
 )
+from respondex.session import write_record
 from respondex.sources import embeddings as sink
 from respondex.sources.embeddings import (
     export_embeddings,
@@ -235,3 +243,137 @@ def test_copy_is_made_once_and_never_touched(spark, tmp_path):
     before = single.read_bytes()
     materialize_if_absent(spark, copy, str(single)).count()
     assert single.read_bytes() == before
+
+
+def counting(path, dim=2):
+    """A model that notes every text it is called with."""
+
+    def load():
+        def embed(texts):
+            with open(f"{path}/{os.getpid()}", "a") as f:
+                f.writelines(t.replace("\n", " ") + "\n" for t in texts)
+            return [None if "none" in t else [float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    return Model("counting", dim, load=load)
+
+
+def calls(path):
+    return Counter(line for f in path.iterdir() for line in f.read_text().splitlines())
+
+
+@pytest.mark.parametrize("copy_rows", [1 << 16, 7])
+@pytest.mark.parametrize("batches", [1, 3])
+def test_each_text_is_embedded_once(spark, stored, tmp_path, monkeypatch, batches, copy_rows):
+    monkeypatch.setattr(job, "_COPY_ROWS", copy_rows)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    rows = [(str(i), "r1", "N/A") for i in range(100)]
+    rows += [(str(i), "r2", f"text {i % 40}") for i in range(100)] + [(str(i), "r3", "none") for i in range(5)]
+    rows += [("x", "r1", "single")]
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    store.add_pending(stored(rows, TEXTS), counting(seen), batches=batches)
+    assert calls(seen) == Counter({"N/A", "none", "single"} | {f"text {i}" for i in range(40)})
+    got = {(r["student_id"], r["question_id"]): r["embedding"] for r in store.embeddings().collect()}
+    assert got == {(s, q): [float(len(t)), 1.0] for s, q, t in rows if t != "none"}
+    assert store.failures().count() == 5
+    assert store.add_pending(stored(rows[:200], TEXTS), counting(seen)) is None
+
+
+def test_distinct_texts_of_nothing_and_nulls(spark, stored):
+    rows = stored([("1", "r1", None), ("2", "r1", None), ("3", "r1", ""), ("4", "r1", "")], TEXTS)
+    found = {r["student_id"]: r for r in embed_distinct(rows, lengths()).collect()}
+    assert {s: r["error"] for s, r in found.items()} == {"1": "text is NULL", "2": "text is NULL", "3": None, "4": None}
+    assert found["3"]["text_hash"] == found["4"]["text_hash"] and found["1"]["text_hash"] is None
+    assert embed_distinct(rows.where("false"), lengths()).count() == 0
+
+
+def test_edited_answers_get_a_new_vector(spark, stored, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    model = counting(seen)
+    first = [("1", "r1", "aa"), ("2", "r1", "bbb"), ("3", "r1", "c")]
+    store.add_pending(stored(first, TEXTS), model)
+    edited = [("1", "r1", "aa"), ("2", "r1", "bbbbbb"), ("3", "r1", "c"), ("4", "r1", "new")]
+    assert store.add_pending(stored(edited[:3], TEXTS), model) is None
+    assert vectors_of(store)["2"] == [3.0, 1.0]
+    store.add_pending(stored(edited, TEXTS), model, refresh=True)
+    assert vectors_of(store) == {"1": [2.0, 1.0], "2": [6.0, 1.0], "3": [1.0, 1.0], "4": [3.0, 1.0]}
+    assert calls(seen) == Counter(["aa", "bbb", "c", "bbbbbb", "new"])
+    assert store.add_pending(stored(edited, TEXTS), model, refresh=True) is None
+    # An edit that can't be embedded leaves the old vector, and is tried again.
+    store.add_pending(stored([("1", "r1", "none")], TEXTS), model, refresh=True)
+    assert vectors_of(store)["1"] == [2.0, 1.0] and store.failures().count() == 1
+    store.add_pending(stored([("2", "r1", "b")], TEXTS), model, refresh=True)
+    assert vectors_of(store)["2"] == [1.0, 1.0] and store.embeddings().count() == 4
+
+
+def test_vectors_without_a_hash_count_as_right(spark, stored, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    rows = embed_texts(stored([("1", "r1", "aa")], TEXTS), lengths())
+    store._save(rows, "1", 0)
+    write_record(spark, f"{store.path}/done/1-0")
+    assert store.add_pending(stored([("1", "r1", "other")], TEXTS), lengths(), refresh=True) is None
+    assert vectors_of(store) == {"1": [2.0, 1.0]}
+
+
+def test_compaction(spark, stored, tmp_path, monkeypatch):
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    rows = sample(30) + [("bad", "r1", "none")]
+    assert store.compact() is None
+    store.add_pending(stored(rows[:20], TEXTS), lengths(), batches=4)
+    store.add_pending(stored(rows, TEXTS), lengths(), batches=4)
+    store.add_pending(stored([("3", "r1", "longer than before")], TEXTS), lengths(), refresh=True)
+    before, failed = vectors_of(store), sorted(map(tuple, store.failures().collect()))
+    assert len(store.records()) == 9 and before["3"] == [18.0, 1.0] and len(failed) == 1
+    old = store.embeddings()
+
+    def cut_off(*_):
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "write_record", cut_off)
+        with pytest.raises(RuntimeError, match="cut off"):
+            store.compact()
+    assert len(store.records()) == 9 and vectors_of(store) == before
+    store.compact()
+    assert len(store.records()) == 1 and vectors_of(store) == before
+    assert sorted(map(tuple, store.failures().collect())) == failed
+    assert {r["student_id"]: r["embedding"] for r in old.collect()} == before
+    data = len(list((tmp_path / "store").rglob("*.parquet")))
+    store.clean()
+    assert vectors_of(store) == before and len(list((tmp_path / "store").rglob("*.parquet"))) < data
+    assert len(store._stored("ok").inputFiles()) <= 2
+    # Later runs go on from the compacted state.
+    store.add_pending(stored([("4", "r1", "edited"), ("new", "r1", "ab")], TEXTS), lengths(), refresh=True)
+    assert vectors_of(store) == before | {"4": [6.0, 1.0], "new": [2.0, 1.0]}
+    assert store.compact() and vectors_of(store)["4"] == [6.0, 1.0]
+
+
+def test_a_failed_export_leaves_the_old_one(spark, stored, tmp_path):
+    path = str(tmp_path / "export")
+    texts = stored([("1", "r1", "a"), ("2", "r1", "b")], TEXTS)
+    export_embeddings(texts, stored([("1", "r1", [1.0])], EMBEDDINGS), path)
+    bad = stored([("1", "r1", [2.0])], EMBEDDINGS)
+    broken = bad.withColumn("embedding", F.when(F.rand() < 2, F.raise_error(F.lit("lost")).cast("array<float>")))
+    with pytest.raises(Exception, match="lost"):
+        export_embeddings(texts, broken, path)
+    got = {r["student_id"]: r["embedding"] for r in read_embeddings(spark, path).collect()}
+    assert got == {"1": [1.0], "2": None}
+    export_embeddings(texts, bad, path)
+    got = {r["student_id"]: r["embedding"] for r in read_embeddings(spark, path).collect()}
+    assert got == {"1": [2.0], "2": None}
+    assert not list(tmp_path.glob("export.old*"))
+
+
+def test_word_counts_of_awkward_texts():
+    texts = ["", "a\0b", "\0", "é漢 x𝒳y \U0001f600z", "  ", "1a2", "ß İ", "It's", "a" * 5000]
+    got = _count_words(64)(texts)
+    for row, text in zip(got, texts):
+        want = [0.0] * 64
+        for word in regex.findall(r"\p{L}+", text):
+            want[int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % 64] += 1
+        assert row.tolist() == want
+    assert _count_words(64)([]).shape == (0, 64)

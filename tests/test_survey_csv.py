@@ -121,3 +121,29 @@ def test_stray_quotes_lose_nothing_in_silence(spark, tmp_path, text):
     assert read_survey(spark, str(tmp_path)).count() == 3
     with pytest.raises(Exception, match="quote|MALFORMED|malformed|CSV"):
         read_survey_split(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("reader", [read_survey, read_survey_split])
+def test_headers_of_many_files_take_one_job(spark, tmp_path, reader):
+    for i in range(12):
+        write(tmp_path / f"{i}.csv", [(str(i), "a", None, None, "d")])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        found = reader(spark, str(tmp_path))
+        assert len(tracker.getJobIdsForGroup("headers")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows_of(found) == [(str(i), "a", None, None, "d") for i in range(12)]
+
+
+@pytest.mark.parametrize("reader", [read_survey, read_survey_split])
+def test_odd_headers(spark, tmp_path, reader):
+    (tmp_path / "a.csv").write_text('perm,"a ""b""\nc, d",r1,R1,\n1,x,y,z,w\n')
+    (tmp_path / "b.csv").write_text("\n\nperm,r1\n2,only\n")
+    names = list(spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "a.csv")).columns)
+    found = reader(spark, str(tmp_path / "a.csv"))
+    assert found.columns == names
+    assert [tuple(r) for r in found.collect()] == [("1", "x", "y", "z", "w")]
+    if reader is read_survey:
+        assert [tuple(r) for r in reader(spark, str(tmp_path / "b.csv")).collect()] == [("2", "only")]
