@@ -128,10 +128,11 @@ def test_headers_of_many_files_take_one_job(spark, tmp_path, reader):
     for i in range(12):
         write(tmp_path / f"{i}.csv", [(str(i), "a", None, None, "d")])
     tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("headers", "headers")
+    group = f"headers of {reader.__name__}"
+    spark.sparkContext.setJobGroup(group, group)
     try:
         found = reader(spark, str(tmp_path))
-        assert len(tracker.getJobIdsForGroup("headers")) <= 2
+        assert len(tracker.getJobIdsForGroup(group)) <= 2
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert rows_of(found) == [(str(i), "a", None, None, "d") for i in range(12)]
