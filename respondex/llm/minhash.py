@@ -229,7 +229,9 @@ def _verified(
         .select("row.doc_id", "row.hash")
     )
     same = docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["hash"] == ids["hash"])
-    bags = written(_bags(docs.join(ids, same, "left_semi"), shingle), "near-bags")
+    # Rows that repeat an id and a text give a bag each; one of them is enough.
+    found = _bags(docs.join(ids, same, "left_semi"), shingle)
+    bags = written(found.groupBy("key").agg(F.first("bag").alias("bag")), "near-bags")
     left = bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
     common = F.size(F.array_intersect("bag_a", "bag_b"))
@@ -367,15 +369,20 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    key, body = F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`")
     if options.get("single"):
-        numbered = written(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-rows")
-        gone = near_duplicates(numbered, doc_id, text, row="_near_row", **options).where("not kept")
-        left = numbered.join(gone.select(F.col("row").alias("_near_row")), "_near_row", "left_anti")
-        return left.select(*[f"`{c}`" for c in docs.columns])
+        # Numbered once, as every later look has to find the same numbers.
+        rows = written(
+            docs.select(own, key, body.alias("_text"), F.monotonically_increasing_id().alias("_n")),
+            "near-rows",
+        )
+        gone = near_duplicates(rows, "_id", "_text", row="_n", **options).where("not kept")
+        return rows.join(gone.select(F.col("row").alias("_n")), "_n", "left_anti").select(*columns)
     gone = near_duplicates(docs, doc_id, text, **options).where("not kept")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    hashed = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return docs.join(
-        gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")), "left_anti"
-    )
+    gone = gone.select("doc_id", "hash").distinct()
+    rows = docs.select(own, key, F.xxhash64(F.coalesce(body, F.lit(""))).alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("hash"))
+    return rows.join(gone, same, "left_anti").select(*columns)
