@@ -21,6 +21,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET_PERCENT = 150
 REPEATS = 2
 BLOCK = 128
+#: Blocks that the target of any source has at least; blocks are smaller if need be.
+SOURCE_BLOCKS = 8
 SHARD_ROWS = 1024
 SEED = 20_24
 
@@ -144,6 +146,10 @@ def mix(
         F.sum("size").alias("source_size"), F.count("*").alias("rows")
     )
     shared = written(targets(by_source, weights, budget_percent, repeats), "mix-targets")
+    # Blocks are equal for all sources, so the smallest target says how small they must be.
+    smallest = shared.where("target > 0").agg(F.min("target")).first()[0]
+    if smallest is not None:
+        block = max(1, min(block, int(smallest) // SOURCE_BLOCKS))
     seats = shared.select(
         "*",
         F.lit(0).alias("all"),
