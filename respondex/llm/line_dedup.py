@@ -12,6 +12,7 @@ a word whose entry is 1 is in one line only, so it can find nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -373,7 +374,12 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ),
         "line-sets",
     )
-    posts = sets.where("n >= 4").select(
+    # Of two different sets the smaller one has at most n / (n + 1) of all their words.
+    if threshold >= 1:
+        smallest = 1 << 30
+    else:
+        smallest = math.ceil(threshold / (1 - threshold) - 1e-9)
+    posts = sets.where(F.col("n") >= smallest).select(
         F.explode(F.arrays_zip("prefix.places", "prefix.words")).alias("post"),
         "first",
         "k1",
@@ -424,10 +430,11 @@ def dedup_lines(
     Lines are what line feeds part. Of each line with words all but the first occurrence of
     its set of words go, in the order of document id and line number, and so do all lines
     whose set has a Jaccard similarity of ``threshold`` or more with that of an earlier line.
-    Lines without words stay. The other lines stay as they are, with one line feed between. A null text stays null. Rows that repeat an id and a text
-    are one document seen twice: the same lines go from each; where only the id repeats, it
-    is open, but settled by the words, which of two lines of one number is the first. A null
-    id comes first. An empty table gives an empty result.
+    Lines without words stay. The other lines stay as they are, with one line feed between.
+    A null text stays null. Rows that repeat an id and a text are one document seen twice:
+    the same lines go from each; where only the id repeats, it is open, but settled by the
+    words, which of two lines of one number is the first. A null id comes first. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -446,7 +453,13 @@ def dedup_lines(
     )
     value = F.col("_row").getField(text)
     parts = F.split(value, "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("lines", i))
+
+    def left(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
+        return F.transform(places, lambda i: F.get(lines, i))
+
+    # As the only element of an array the lines are split once, and not for every place.
+    kept = F.transform(F.array(parts), left)[0]
     return joined.select(
         "_row",
         F.when(F.col("lines").isNull(), value).otherwise(F.array_join(kept, "\n")).alias("text"),
