@@ -46,29 +46,48 @@ NAMES = frozenset(
     "related reply replies respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription taboola teaser toolbar tooltip warning widget".split()
 )
+#: Of these, what holds no article even if it is most of the page.
+CERTAIN = frozenset(
+    "ad ads adsense advert advertisement advertising adverts breadcrumb breadcrumbs comment "
+    "commentlist comments consent cookie cookies copyright disclaimer discussion disqus footer "
+    "gdpr menu menubar nav navbar navigation notice notices outbrain pager pagination promo "
+    "related replies reply respond sponsored taboola".split()
+)
+#: Words of a name that say nothing of what is inside.
+PLACES = frozenset(
+    "area bar block bottom box buttons col column container content group icons inner items "
+    "left link links list main outer panel post posts primary right secondary section site "
+    "slot thread top user users wrap wrapper".split()
+)
+#: Words that turn a name into a remark about the page.
+ABOUT = frozenset("has no not with without".split())
 _MAIN = frozenset(["article", "main"])
 
-_MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_QUOTED_REST = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>")
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW.split("|")}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-def _named(rest: str) -> bool:
-    """Whether a class, an id or a role as a whole is made of listed words only."""
+def _names_of(rest: str) -> set[str]:
+    """The listed words by which a class, an id or a role names an element.
+
+    A name counts if all its words are listed but for those that say where and what kind of
+    box it is. ``with-sidebar`` says what else there is, and ``post-header`` has the title.
+    """
+    out: set[str] = set()
     for _, value in _NAMED.findall(rest):
         for name in value.strip("\"'").lower().split():
-            words = _WORD.findall(name)
-            if words and NAMES.issuperset(words):
-                return True
-    return False
+            words = set(_WORD.findall(name))
+            telling = words - PLACES
+            if not telling or words & ABOUT or not NAMES.issuperset(telling):
+                continue
+            if telling == {"header"} and "post" in words:
+                continue
+            out |= telling
+    return out
 
 
 def _dropped(tag: str, rest: str, in_main: bool) -> bool:
@@ -78,7 +97,63 @@ def _dropped(tag: str, rest: str, in_main: bool) -> bool:
         return not (tag == "header" and in_main)
     if not rest.strip(" /"):
         return False
-    return _named(rest) or bool(_UNSEEN.search(rest))
+    return bool(_names_of(rest)) or bool(_UNSEEN.search(rest))
+
+
+def _tokens(page: str) -> list[tuple[str, str, str]]:
+    """kind (text, open, close), value, attributes; comments and raw elements are blanks.
+
+    One pass: a search that finds nothing up to the end of the page is never made again.
+    """
+    out: list[tuple[str, str, str]] = []
+    text_from = at = 0
+    last = page.rfind(">")
+    # Up to here quotes can't be trusted, as one of them is never closed.
+    unquoted = -1
+
+    def end_text(upto: int) -> None:
+        if upto > text_from:
+            out.append(("text", page[text_from:upto], ""))
+
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at + 1 >= len(page):
+            break
+        if page.startswith("<!--", at):
+            end_text(at)
+            end = page.find("-->", at + 4)
+            text_from = at = len(page) if end < 0 else end + 3
+            continue
+        if at > last:
+            # Comments may still come, tags can't.
+            at += 1
+            continue
+        closing = page[at + 1] == "/"
+        name = _NAME.match(page, at + 1 + closing)
+        if not name:
+            if page[at + 1] not in "!?/":
+                at += 1
+                continue
+            end_text(at)
+            text_from = at = page.find(">", at) + 1
+            continue
+        found = None
+        if at > unquoted:
+            found = _QUOTED_REST.match(page, name.end())
+            if not found:
+                unquoted = max(page.rfind('"'), page.rfind("'"))
+        end = found.end() if found else page.find(">", name.end()) + 1
+        end_text(at)
+        tag, rest = name[0].lower(), page[name.end() : end - 1]
+        if tag in _RAW_ENDS and not closing:
+            closed = _RAW_ENDS[tag].search(page, end)
+            end = closed.end() if closed else len(page)
+            out.append(("text", " ", ""))
+        else:
+            out.append(("close" if closing else "open", tag, rest))
+        text_from = at = end
+    end_text(len(page))
+    return out
 
 
 def _unlinked(tokens: list[tuple[str, str, str]], ends: dict[int, int]) -> list[int]:
@@ -102,20 +177,7 @@ def _unlinked(tokens: list[tuple[str, str, str]], ends: dict[int, int]) -> list[
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Text, number of characters in links, whether in the marked article; one per block."""
-    tokens: list[tuple[str, str, str]] = []  # kind (text, open, close), value, attributes
-    at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            tokens.append(("text", page[at : m.start()], ""))
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if tag:
-            end = m["end"] if m["tag"] else m["end2"]
-            tokens.append(("close" if end else "open", tag, (m["rest"] or m["rest2"] or "")))
-        elif m["raw"]:
-            tokens.append(("text", " ", ""))
-    if at < len(page):
-        tokens.append(("text", page[at:], ""))
+    tokens = _tokens(page)
 
     # Ends of elements; a loose one without end ends before the next block, others nowhere.
     ends: dict[int, int] = {}
@@ -134,7 +196,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 loose.append(k)
             if value not in VOID and not rest.rstrip().endswith("/"):
                 waiting.setdefault(value, []).append(k)
-            if value in _MAIN and not _named(rest):
+            if value in _MAIN and not _names_of(rest):
                 mains.append(k)
         elif waiting.get(value):
             ends[waiting[value].pop()] = k
@@ -144,16 +206,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     before = _unlinked(tokens, ends)
 
     def cut(k: int, in_main: bool) -> bool:
-        """Whether an element is left out: never for its name if most of the text is in it.
+        """Whether an element is left out.
 
-        A few lines outweigh an article of a few words; there a mark elsewhere decides.
+        What is named as comments, adverts, notices or navigation goes however long it is.
+        Other names are also given to wrappers of whole pages, so they don't count where most
+        of the text is; in a page of few words a mark elsewhere decides.
         """
         _, tag, rest = tokens[k]
         if not _dropped(tag, rest, in_main):
             return False
+        if tag in DROPPED or CERTAIN & _names_of(rest):
+            return True
         held = before[ends[k]] - before[k]
         short = not in_main and marked and held < WINDOW * BAR
-        return tag in DROPPED or 2 * held <= before[-1] or bool(short)
+        return 2 * held <= before[-1] or bool(short)
 
     blocks: list[tuple[str, int, bool]] = []
     parts: list[str] = []
@@ -235,7 +301,15 @@ def main_text(page: str, window: int = WINDOW, bar: int = BAR) -> str:
                     runs[-1][1] = end
                 else:
                     runs.append([first, end])
-        for first, end in runs:
+        # Short lines between two stretches of text are text, unless there are links among them.
+        joined: list[list[int]] = []
+        for run in runs:
+            gap = range(joined[-1][1], run[0]) if joined else []
+            if joined and not any(2 * lines[i][1] >= len(lines[i][0]) for i in gap):
+                joined[-1][1] = run[1]
+            else:
+                joined.append(run)
+        for first, end in joined:
             # Windows reach beyond the text; lists of links there are none of it.
             while first < end and _links(lines[first], weights[first - low], level / window):
                 first += 1
