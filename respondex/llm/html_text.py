@@ -175,6 +175,23 @@ def _unlinked(tokens: list[tuple[str, str, str]], ends: dict[int, int]) -> list[
     return out
 
 
+def _rest(
+    tokens: list[tuple[str, str, str]], ends: dict[int, int], mains: list[int], before: list[int]
+) -> int:
+    """Unlinked characters outside all elements that a name could cut."""
+    out, until, main = before[-1], 0, 0
+    for k, (kind, _, rest) in enumerate(tokens):
+        while main < len(mains) and mains[main] <= k:
+            main += 1
+        if k < until or kind != "open" or k not in ends or not rest.strip(" /"):
+            continue
+        holds_main = main < len(mains) and mains[main] < ends[k]
+        if not holds_main and _names_of(rest):
+            out -= before[ends[k]] - before[k]
+            until = ends[k]
+    return out
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Text, number of characters in links, whether in the marked article; one per block."""
     tokens = _tokens(page)
@@ -204,18 +221,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         ends.setdefault(k, len(tokens))
     marked = [(k, ends.get(k, len(tokens))) for k in mains]
     before = _unlinked(tokens, ends)
+    text_left = _rest(tokens, ends, mains, before) > 0
 
     def cut(k: int, in_main: bool) -> bool:
         """Whether an element is left out.
 
-        What is named as comments, adverts, notices or navigation goes however long it is.
-        Other names are also given to wrappers of whole pages, so they don't count where most
-        of the text is; in a page of few words a mark elsewhere decides.
+        What is named as comments, adverts, notices or navigation goes however long it is, if
+        any text is left then. Other names are also given to wrappers of whole pages, so they
+        don't count where most of the text is; in a page of few words a mark elsewhere decides.
         """
         _, tag, rest = tokens[k]
         if not _dropped(tag, rest, in_main):
             return False
-        if tag in DROPPED or CERTAIN & _names_of(rest):
+        if tag in DROPPED or (text_left and CERTAIN & _names_of(rest)):
             return True
         held = before[ends[k]] - before[k]
         short = not in_main and marked and held < WINDOW * BAR

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -156,6 +157,51 @@ def plain_lines(rows, threshold=0.8):
     return out
 
 
+def test_copies_of_two_near_texts_are_compared_once(spark):
+    words = [f"w{i}" for i in range(300)]
+    near = " ".join([*words[:299], "other"])
+    rows = [(7, " ".join(words))] * 3000 + [(8, near)] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    started = time.perf_counter()
+    got = minhash.near_duplicates(frame, single=True).collect()
+    assert {r.class_id for r in got} == {7} and sum(r.kept for r in got) == 1
+    assert time.perf_counter() - started < 100
+    assert minhash.one_of_each(frame, single=True).count() == 1
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_any_column_names_and_repeated_rows(spark, single):
+    text = " ".join(f"w{i}" for i in range(30))
+    schema = "doc_id long, text string, _id int, _hash string, _near_row string, _row int, row int, hash string, _n string, _text int"
+    rest = (5, "h", "n", 6, 7, "g", "m", 8)
+    rows = [(2, text, *rest), (3, text, *rest), (2, text, *rest), (None, None, *rest), (9, "alone here", *rest)]
+    frame = spark.createDataFrame(rows, schema)
+    left = minhash.one_of_each(frame, single=single)
+    assert left.columns == frame.columns
+    want = [rows[0], rows[3], rows[4]] + ([] if single else [rows[2]])
+    assert Counter(map(tuple, left.collect())) == Counter(want)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.9, 1.0])
+def test_line_dedup_at_other_thresholds(spark, threshold):
+    rng = random.Random(8)
+    lines = ["a b", "a b c", "x", "x y", "p q r", "p q s", "k l m n", "n m l k", "a b c d"]
+    lines += [" ".join(rng.sample("abcdefghij", rng.randrange(1, 8))) for _ in range(120)]
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r._row.doc_id: r.text for r in line_dedup.dedup_lines(frame, threshold=threshold).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_lines(texts, threshold)
+
+
+def test_a_text_of_many_equal_lines(spark):
+    text = "\n".join(["the same words once more"] * 300_000 + ["and an end"])
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.perf_counter()
+    row = line_dedup.dedup_lines(frame).first()
+    assert row.text == "the same words once more\nand an end" and row.n_removed == 299_999
+    assert time.perf_counter() - started < 60
+
+
 @pytest.mark.parametrize(("offers", "word_sets"), [(3, 1 << 16), (1, 8)])
 def test_line_dedup(spark, monkeypatch, offers, word_sets):
     monkeypatch.setattr(line_dedup, "OFFERS", offers)

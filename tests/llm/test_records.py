@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import time
 import zlib
 from collections import defaultdict
 
@@ -67,6 +68,47 @@ def test_parts_of_names_and_links_cut_nothing():
     assert html_text.main_text(f"{small}<div>{LONG_BODY}</div>") == "\n".join(LONG)
 
 
+COMPOUND = "sidebar-left left-sidebar site-footer main-nav comments-area nav-links comment-list user-comments post-comments ad-container top-menu comment-thread ad_slot".split()
+
+
+@pytest.mark.parametrize("name", COMPOUND)
+def test_compound_names(name):
+    part = f"<div class='{name}'><p>{LONG[0]}</p><p>{LONG[1]}</p></div>"
+    for page in (f"<article>{LONG_BODY}</article>{part}", f"<div>{LONG_BODY}</div>{part}", f"{part}<div class='post main'>{LONG_BODY}</div>", f"<article>{LONG_BODY}{part}</article>"):
+        assert html_text.main_text(page) == "\n".join(LONG)
+
+
+@pytest.mark.parametrize("wrap", ["class=comments", "id=comments", "class='ad-box'", "class='cookie-notice'", "class='main-nav'"])
+def test_comments_and_adverts_go_however_long_they_are(wrap):
+    part = f"<section {wrap}>{LONG_BODY * 4}</section>"
+    for page in (f"<article>{LONG_BODY}{part}</article>", f"<div>{LONG_BODY}</div>{part}", f"<main><p>Short one.</p></main>{part}"):
+        assert html_text.main_text(page) == ("Short one." if "Short one" in page else "\n".join(LONG))
+    # Names that say with what else a box comes, or that it is a post's header, cut nothing.
+    assert html_text.main_text(f"<div class='post-header'><h1>{LONG[0]}</h1></div>{LONG_BODY}") == "\n".join(LONG[:1] + LONG)
+
+
+def test_short_lines_inside_an_article_stay():
+    short = "".join(f"<p>No {i}.</p>" for i in range(8))
+    want = "\n".join([*LONG, *[f"No {i}." for i in range(8)], *LONG])
+    assert html_text.main_text(f"<div>{LONG_BODY}{short}{LONG_BODY}</div>") == want
+    links = "".join(f"<p><a href={i}>Link {i}</a></p>" for i in range(8))
+    assert html_text.main_text(f"<div>{LONG_BODY}{links}{LONG_BODY}</div>") == "\n".join(LONG * 2)
+
+
+@pytest.mark.parametrize("part", ["<script ", "<a b ", "<a b \"", "<a '\">", "<", "</script ", "<div class='", "<!--", "<script>", "a" * 8])
+def test_a_megabyte_of_broken_markup(part):
+    started = time.perf_counter()
+    html_text.main_text("<" + part * (1_000_000 // len(part)))
+    html_text.main_text("<p>" + part * (1_000_000 // len(part)) + ">")
+    assert time.perf_counter() - started < 10
+
+
+def test_markup_is_read_as_far_as_it_goes():
+    page = f"<p title='a > b'>{LONG[0]}</p><p title=\"never closed>{LONG[1]}</p><SCRIPT x>var a = '<p>';</script ><p>1 < 2 and <3</p><!-- {LONG[2]} --><? x ?><p>{LONG[3]}</p>"
+    got = html_text.main_text(page)
+    assert got.split("\n") == [LONG[0], LONG[1], "1 < 2 and <3", LONG[3]]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<<<>>>", "<p", "<!--", "<script>", "</p></p>", "<article></article>", "<nav>x</nav>"])
 def test_pages_without_article(page):
     assert html_text.main_text(page).strip("<>p ") == ""

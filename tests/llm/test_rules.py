@@ -206,6 +206,17 @@ def test_mix_comes_near_its_targets(spark):
     assert {r.source: r.n for r in per.collect()} == dict(taken)
 
 
+def test_mix_of_a_source_smaller_than_a_block(spark):
+    texts = [" ".join(["w"] * 40)] * 100 + [" ".join(["v"] * 10)] * 3
+    rows = [(i, t, ("a" if i % 2 else "b") if i < 100 else "tiny", "x", "y") for i, t in enumerate(texts)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    tiny = [r for r in got if r.doc_id >= 100]
+    assert abs(sum(r.taken for r in tiny) - tiny[0].target) <= 0.2 * tiny[0].target
+    for s in ("a", "b"):
+        rows = [r for r in got if r.doc_id < 100 and (r.doc_id % 2 == 1) == (s == "a")]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 0.05 * rows[0].target
+
+
 def test_mix_of_little(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     empty = mixing.mix(docs(spark, [None, ""])).collect()
