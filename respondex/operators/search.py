@@ -11,7 +11,7 @@ from respondex.functions.text import display_line, pick_answer
 from respondex.functions.vectors import checked, distance_or_fault
 from respondex.operators.keys import assign_ids
 from respondex.schemas import QUESTIONS, STUDENT_KEY
-from respondex.session import fits_auto_broadcast, input_bytes
+from respondex.session import fits_auto_broadcast, input_bytes, scratch_path
 
 # Up to this limit the winners' keys are small enough to broadcast.
 MAX_TOP = 10_000
@@ -64,7 +64,7 @@ def search(
     or "auto": direct for small input (a survey that Spark broadcasts, up to 4 GB of
     embeddings) or if all rows are wanted. Both give the same rows. Nothing runs before the
     caller acts, but for a limit above 10,000: its rows are numbered by range, so that no
-    task merges them all, and a sorted table of distances is written for that.
+    task merges them all, and distances and rows that can count are written for that.
     """
     if route not in ("auto", "direct", "narrow"):
         raise ValueError(f"unknown route {route!r}")
@@ -96,18 +96,27 @@ def search(
 def _first_many(found: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows for a limit too large for one task.
 
-    The distances alone are sorted by range and numbered; those beyond the last one that
-    counts drop out, and only what is left is sorted and numbered as whole rows.
+    The distances alone are written, sorted by range and numbered; rows beyond the last one
+    that counts drop out. What is left is written and then sorted and numbered as whole
+    rows. So vectors are measured twice, and not again for the sampling of each sort.
     """
     distance = F.col("result_distance")
-    numbered = assign_ids(found.select("result_distance"), [F.asc_nulls_last(distance)], "_place")
+    distances = _written(found.select("result_distance"), "distances")
+    numbered = assign_ids(distances, [F.asc_nulls_last(distance)], "_place")
     last = numbered.filter(F.col("_place") == limit).first()
     if last is None:
         return found
     cut = last["result_distance"]
     if cut is not None:
         found = found.filter(distance <= cut)  # NaN is above all numbers
-    return assign_ids(found, order, "_place").filter(F.col("_place") <= limit).drop("_place")
+    near = _written(found, "near")
+    return assign_ids(near, order, "_place").filter(F.col("_place") <= limit).drop("_place")
+
+
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _scored(embeddings: DataFrame, vector: Sequence[float]) -> DataFrame:
