@@ -7,6 +7,7 @@ import io
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def _headers(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str,
         records |= _long_headers(lines.where(F.col("file").isin(open_files)))
     found: dict[tuple[str, ...], list[str]] = {}
     for file in sorted(records):
-        found.setdefault(_column_names(records[file]), []).append(file)
+        # Spark gives paths in the form of URLs and takes them as they are.
+        found.setdefault(_column_names(records[file]), []).append(unquote(file))
     return found
 
 

@@ -148,3 +148,11 @@ def test_odd_headers(spark, tmp_path, reader):
     assert [tuple(r) for r in found.collect()] == [("1", "x", "y", "z", "w")]
     if reader is read_survey:
         assert [tuple(r) for r in reader(spark, str(tmp_path / "b.csv")).collect()] == [("2", "only")]
+
+
+@pytest.mark.parametrize("reader", [read_survey, read_survey_split])
+def test_paths_with_blanks_and_percents(spark, tmp_path, reader):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    write(folder / "s 1.csv", [("1", "a", None, None, "d")])
+    assert rows_of(reader(spark, str(folder))) == [("1", "a", None, None, "d")]
