@@ -163,6 +163,16 @@ def test_fingerprints(spark, range_rows):
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
 
 
+def test_fingerprints_run_no_python(spark):
+    rows = spark.createDataFrame(prose(4, 20), "id long, text string")
+    placed = fingerprint._with_next(rows, 8)
+    words = placed.select("range", "place", F.explode(F.split("text", " ")).alias("w")).groupBy("range", "place", F.xxhash64("w").alias("word")).agg(F.count("*").alias("n"))
+    plan = fingerprint.samples_of(words, ["range", "place"], ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    # One exchange of the texts; what follows stays in their ranges.
+    assert plan.count("Exchange hashpartitioning(range") == 1 == plan.count("Exchange")
+
+
 def test_fingerprints_of_odd_rows(spark):
     schema = "doc_id long, text string"
     assert fingerprint.compare_neighbours(spark.createDataFrame([], schema)).count() == 0
