@@ -2,21 +2,23 @@
 
 A line is the set of its words. Words are ordered by rarity, so two lines of enough common
 words share a word in a short prefix of each; prefixes are met by word, and positional and
-length filters, and a bound from the parity of 256 word groups, leave few pairs. Their whole
+length filters, and a bound from the parity of 128 word groups, leave few pairs. Their whole
 sets are compared. A line goes if an earlier line, kept or not, is as similar as that.
 
 Equal sets are one node. Rarity comes from exact counts of all words in a table of fixed
 size: words that share an entry count as equally frequent, which costs time and no match, and
-a word whose entry is 1 is in one line only, so it can find nothing.
+a word whose entry is 1 is in one line only, so it can find nothing. Only documents that hold
+a set of some pair are hashed again for the comparison in full.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from respondex.llm.shared import passing, written
 THRESHOLD = 0.8
 #: Entries of the table of counts are 2 ** COUNT_BITS; it is broadcast with a byte for each.
 COUNT_BITS = 24
-#: Entries of the filters of sets and documents; a bit each is broadcast.
+#: Most entries of the filters of sets and documents, 2 ** FILTER_BITS; a bit each is broadcast.
+#: Up to there eight for each key; with more keys the filters pass more and a join does the rest.
 FILTER_BITS = 24
 #: Partners that a line offers for each of its words before it is asked for the rest.
 OFFERS = 3
@@ -38,15 +41,20 @@ STRETCH = 1 << 17
 WORD_SETS = 1 << 16
 _BLOCK_BITS = 16
 #: 64 parities each.
-_BITS = [f"bits{k}" for k in range(4)]
+_BITS = [f"bits{k}" for k in range(2)]
+
+
+def _code(counts: np.ndarray) -> np.ndarray:
+    """One byte for each count: counts to 63, then eight steps for each doubling."""
+    steps = 64 + np.floor(8 * np.log2(np.maximum(counts, 64) / 64))
+    return np.where(counts < 64, counts, np.minimum(steps, 255)).astype(np.uint8)
 
 
 def _table(parts: DataFrame, bits: int) -> np.ndarray:
     """Sum of (block, at, count) tables: ``at`` and ``count`` are packed numbers of a block.
 
     The blocks are summed by as many tasks as there are shuffle partitions, each of which
-    holds its blocks only, and come to the driver with one byte an entry: counts to 63, then
-    eight steps for each doubling.
+    holds its blocks only, and come to the driver with one byte an entry.
     """
     size = 1 << _BLOCK_BITS
 
@@ -60,10 +68,8 @@ def _table(parts: DataFrame, bits: int) -> np.ndarray:
                 more = own[places].astype(np.uint64) + np.frombuffer(count, np.uint32)
                 own[places] = np.minimum(more, 1 << 31)
         for block, own in sums.items():
-            steps = 64 + np.floor(8 * np.log2(np.maximum(own, 64) / 64))
-            codes = np.where(own < 64, own, np.minimum(steps, 255)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int32()), "codes": [codes.tobytes()]}
+                {"block": pa.array([block], pa.int32()), "codes": [_code(own).tobytes()]}
             )
 
     out = np.zeros(1 << bits, np.uint8)
@@ -88,8 +94,10 @@ def _packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _key_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """One bit for each entry that a key of the table falls on, packed."""
+def _key_filter(keys: DataFrame, column: str) -> tuple[int, Broadcast]:
+    """One bit for each entry that a key of the written table falls on, packed."""
+    wanted = (8 * keys.count()).bit_length()
+    bits = min(max(wanted, _BLOCK_BITS), FILTER_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
@@ -99,7 +107,8 @@ def _key_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
         yield from _packed(seen.view(np.uint8))
 
     parts = keys.select(column).mapInArrow(task, "block int, at binary, count binary")
-    return np.packbits(_table(parts, bits) > 0)
+    packed = np.packbits(_table(parts, bits) > 0).tobytes()
+    return bits, keys.sparkSession.sparkContext.broadcast(packed)
 
 
 def _in_filter(bits: int, packed: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -107,47 +116,51 @@ def _in_filter(bits: int, packed: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _sets(part: pa.RecordBatch, text: int):
-    """Line of each distinct word, the word, number of lines, the lines' text and number.
+class _Sets:
+    """The lines of a batch's texts as sets of words, one after the other.
 
-    Lines are numbered over the whole batch and words sorted within a line.
+    ``line`` and ``words`` have an entry for each distinct word of a line, ordered by line,
+    then by the value that ``rank`` gives a word; ``held`` are the lines with words, ``begins``
+    where they begin and ``sizes`` how many words they have. ``texts`` and ``number`` say for
+    each line which text it is in and its place there.
     """
-    offsets, data = offsets_of(part.column(text))
-    edges, bounds = lines_of(offsets, data)
-    words, at = words_of(edges, data)
-    counts = np.diff(at)
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = order_of(line, len(counts), words)
-    line, words = line[order], words[order]
-    first = np.ones(len(line), bool)
-    first[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
-    texts = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-    number = np.arange(len(counts)) - bounds[:-1][texts]
-    return line[first], words[first], len(counts), texts, number
-
-
-def _keys(n: int, line: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each line's set."""
-    out = []
-    with np.errstate(over="ignore"):
-        for k in range(2):
-            sums = np.zeros(n, np.uint64)
-            np.add.at(sums, line, mix(words, 50 + k))
-            out.append(mix(sums, 60 + k))
-    return out[0], out[1]
+
+    def __init__(self, part: pa.RecordBatch, text: int, rank: Callable[[np.ndarray], np.ndarray]):
+        offsets, data = offsets_of(part.column(text))
+        edges, bounds = lines_of(offsets, data)
+        words, at = words_of(edges, data)
+        counts = np.diff(at)
+        line = np.repeat(np.arange(len(counts)), counts)
+        order = order_of(line, len(counts), rank(words))
+        line, words = line[order], words[order]
+        first = np.ones(len(line), bool)
+        first[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
+        self.line, self.words = line[first], words[first]
+        sizes = np.bincount(self.line, minlength=len(counts))
+        self.held = np.flatnonzero(sizes > 0)
+        self.sizes = sizes[self.held]
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.texts = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+        self.number = np.arange(len(counts)) - bounds[:-1][self.texts]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each held line's set."""
+        with np.errstate(over="ignore"):
+            return tuple(
+                mix(np.add.reduceat(mix(self.words, 50 + k), self.begins), 60 + k) for k in range(2)
+            )
 
 
 def _counted(docs: DataFrame) -> np.ndarray:
-    """In how many lines each word is, by entry."""
+    """How often each word occurs, at least once for each line that has it, by entry."""
     size = 1 << COUNT_BITS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         for batch in batches:
             for part in slices(batch, 0, SLICE):
-                words = _sets(part, 0)[1]
-                entry, times = np.unique(words >> np.uint64(64 - COUNT_BITS), return_counts=True)
-                counts[entry.astype(np.int64)] += times.astype(np.uint32)
+                words, _ = words_of(*offsets_of(part.column(0)))
+                np.add.at(counts, (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         yield from _packed(counts)
 
     parts = docs.select("text").mapInArrow(task, "block int, at binary, count binary")
@@ -155,79 +168,86 @@ def _counted(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
-    """id, hash, line, k1, k2, n, parities, places, words: one row per line with a word.
+    """id, hash, line, k1, k2, n, often, parities, places, words: one row per line with a word.
 
     ``words`` are those of the prefix that more than one line has, ``places`` their places
-    in the order of rarity; both null for a set that its slice has shown before.
+    in the order of rarity; ``often`` says that one of them may be in the prefixes of more
+    than ``WORD_SETS`` sets. For a set that its slice has shown before, words and places are
+    empty and parities 0.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_counted(docs).tobytes())
     kind = docs.schema["id"].dataType
     schema = (
-        f"id {kind.simpleString()}, hash bigint, line int, k1 bigint, k2 bigint, n int, "
-        "bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint, "
-        "places array<int>, words array<bigint>"
+        f"id {kind.simpleString()}, hash bigint, line int, k1 bigint, k2 bigint, n int, often boolean, "
+        + "".join(f"{b} bigint, " for b in _BITS)
+        + "places array<int>, words array<bigint>"
     )
+    many = _code(np.array([WORD_SETS]))[0]
+    groups = np.uint64(len(_BITS) - 1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(shared.value, np.uint8)
+
+        def rarity(words: np.ndarray) -> np.ndarray:
+            return codes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+
+        def rank(words: np.ndarray) -> np.ndarray:
+            # Rarity stands above the first 56 bits of the word.
+            return (rarity(words).astype(np.uint64) << np.uint64(56)) | (mix(words, 70) >> np.uint64(8))
+
         for batch in batches:
             for part in slices(batch, 2, SLICE):
-                line, words, n_lines, texts, number = _sets(part, 2)
-                k1, k2 = _keys(n_lines, line, words)
-                sizes = np.bincount(line, minlength=n_lines)
-                parity = np.zeros((len(_BITS), n_lines), np.uint64)
-                part_of = (words >> np.uint64(6) & np.uint64(len(_BITS) - 1)).astype(np.int64)
+                found = _Sets(part, 2, rank)
+                words, sizes, begins, held = found.words, found.sizes, found.begins, found.held
+                if not len(held):
+                    continue
+                k1, k2 = found.keys()
+                _, first = np.unique(k1, return_index=True)
+                fresh = np.zeros(len(held), bool)
+                fresh[first] = True
                 one = np.uint64(1) << (words & np.uint64(63))
-                np.bitwise_xor.at(parity, (part_of, line), one)
-                rarity = codes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                # By line, rarity, word: rarity stands above the first 56 bits of the word.
-                rank = (rarity.astype(np.uint64) << np.uint64(56)) | (mix(words, 70) >> np.uint64(8))
-                order = order_of(line, n_lines, rank)
-                line, words, rarity = line[order], words[order], rarity[order]
-                begins = np.cumsum(sizes) - sizes
-                place = np.arange(len(line)) - begins[line]
+                part_of = words >> np.uint64(6) & groups
+                parity = [
+                    np.bitwise_xor.reduceat(np.where(part_of == k, one, 0), begins) * fresh
+                    for k in range(len(_BITS))
+                ]
+                place = np.arange(len(words)) - np.repeat(begins, sizes)
                 most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-                held = np.flatnonzero(sizes > 0)
-                _, first = np.unique(k1[held], return_index=True)
-                fresh = np.zeros(n_lines, bool)
-                fresh[held[first]] = True
-                posted = (place < most[line]) & (rarity > 1) & fresh[line]
-                per_line = np.bincount(line[posted], minlength=n_lines)[held]
+                code = rarity(words)
+                posted = (place < np.repeat(np.where(fresh, most, 0), sizes)) & (code > 1)
+                per_line = np.add.reduceat(posted, begins, dtype=np.int64)
+                often = np.logical_or.reduceat(posted & (code >= many), begins)
                 bounds = pa.array(np.append(0, np.cumsum(per_line)), pa.int32())
+                texts = pa.array(found.texts[held])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(texts[held])),
-                        part.column(1).take(pa.array(texts[held])),
-                        pa.array(number[held], pa.int32()),
-                        pa.array(k1[held].view(np.int64)),
-                        pa.array(k2[held].view(np.int64)),
-                        pa.array(sizes[held], pa.int32()),
-                        *[pa.array(x[held].view(np.int64)) for x in parity],
+                        part.column(0).take(texts),
+                        part.column(1).take(texts),
+                        pa.array(found.number[held], pa.int32()),
+                        pa.array(k1.view(np.int64)),
+                        pa.array(k2.view(np.int64)),
+                        pa.array(sizes, pa.int32()),
+                        pa.array(often),
+                        *[pa.array(x.view(np.int64)) for x in parity],
                         pa.ListArray.from_arrays(bounds, pa.array(place[posted], pa.int32())),
                         pa.ListArray.from_arrays(bounds, pa.array(words[posted].view(np.int64))),
                     ],
-                    names=["id", "hash", "line", "k1", "k2", "n", *_BITS, "places", "words"],
+                    names=["id", "hash", "line", "k1", "k2", "n", "often", *_BITS, "places", "words"],
                 )
 
     return docs.select("id", "hash", "text").mapInArrow(task, schema)
 
 
-def _offers(posts: DataFrame, threshold: float, most: int | None) -> DataFrame:
+def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """later, earlier, more: pairs that pass all filters.
 
     ``posts`` has word, id, line, k1, size, parities, asks. Rows of a word lie together and in
     order; each that asks is held against those before it, the nearest first, until it has
     ``most`` partners (``more`` then says that others may be left). Comparisons run over all
-    words of a stretch at once, one distance after the other. A word with many sets deals
-    them to halves, and each pair of halves is compared by itself.
+    words of a stretch at once, one distance after the other. A word with many sets (``many``
+    has hot, halves) deals them to halves, and each pair of halves is compared by itself.
     """
-    many = written(
-        posts.groupBy("word").count().where(F.col("count") > WORD_SETS).select(
-            F.col("word").alias("hot"), F.ceil(F.col("count") / (WORD_SETS // 2)).alias("halves")
-        ),
-        "line-words",
-    )
     half = F.coalesce(F.pmod(F.xxhash64("k1"), "halves"), F.lit(0))
     others = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("halves"), F.lit(1)) - 1)
     dealt = posts.join(many, F.col("word") == F.col("hot"), "left").select(
@@ -301,55 +321,63 @@ def _offers(posts: DataFrame, threshold: float, most: int | None) -> DataFrame:
     return ordered.select(*fields).mapInArrow(task, "later bigint, earlier bigint, more boolean")
 
 
-def _token_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """k1, k2, items of the sets that pass the filter of ``keys`` (k1), and a few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(
-        _key_filter(keys, "k1", FILTER_BITS).tobytes()
-    )
+def _token_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """k1, k2, items of the sets that pass the filter of ``keys`` (k1), and a few others.
+
+    Texts in which none of these sets comes first are not looked at.
+    """
+    homes = sets.join(keys, "k1", "left_semi").select(F.col("first.hash").alias("hash"))
+    text_bits, text_filter = _key_filter(written(homes, "line-homes"), "hash")
+    key_bits, key_filter = _key_filter(keys, "k1")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        homes = np.frombuffer(text_filter.value, np.uint8)
+        bits = np.frombuffer(key_filter.value, np.uint8)
         for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                line, words, n_lines, _, _ = _sets(part, 0)
-                k1, k2 = _keys(n_lines, line, words)
-                sizes = np.bincount(line, minlength=n_lines)
-                held = np.flatnonzero(sizes > 0)
-                _, first = np.unique(k1[held], return_index=True)
-                wanted = np.zeros(n_lines, bool)
-                wanted[held[first]] = True
-                wanted &= _in_filter(FILTER_BITS, bits, k1)
-                bounds = np.append(0, np.cumsum(sizes[wanted]))
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            batch = batch.filter(pa.array(_in_filter(text_bits, homes, hashes)))
+            for part in slices(batch, 1, SLICE):
+                found = _Sets(part, 1, lambda words: words)
+                if not len(found.held):
+                    continue
+                k1, k2 = found.keys()
+                _, first = np.unique(k1, return_index=True)
+                wanted = np.zeros(len(k1), bool)
+                wanted[first] = True
+                wanted &= _in_filter(key_bits, bits, k1)
+                bounds = np.append(0, np.cumsum(found.sizes[wanted]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(k1[wanted].view(np.int64)),
                         pa.array(k2[wanted].view(np.int64)),
                         pa.ListArray.from_arrays(
                             pa.array(bounds, pa.int32()),
-                            pa.array(words[wanted[line]].view(np.int64)),
+                            pa.array(found.words[np.repeat(wanted, found.sizes)].view(np.int64)),
                         ),
                     ],
                     names=["k1", "k2", "items"],
                 )
 
-    return docs.select("text").mapInArrow(task, "k1 bigint, k2 bigint, items array<bigint>")
+    schema = "k1 bigint, k2 bigint, items array<bigint>"
+    return docs.select("hash", "text").mapInArrow(task, schema)
 
 
-def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """k1, k2 of the later sets of ``pairs`` that are similar to the earlier one, in full."""
     pairs = written(pairs.select("later", "earlier").distinct(), "line-pairs")
     keys = pairs.select(F.explode(F.array("later", "earlier")).alias("k1")).distinct()
-    sets = (
-        _token_sets(docs, keys)
+    keys = written(keys, "line-keys")
+    full = (
+        _token_sets(docs, sets, keys)
         .join(keys, "k1", "left_semi")
         .groupBy("k1", "k2")
         .agg(F.first("items").alias("items"))
     )
-    sets = written(sets, "line-sets")
-    later = sets.select(
+    full = written(full, "line-items")
+    later = full.select(
         F.col("k1").alias("later"), F.col("k2").alias("later_2"), F.col("items").alias("x")
     )
-    earlier = sets.select(F.col("k1").alias("earlier"), F.col("items").alias("y"))
+    earlier = full.select(F.col("k1").alias("earlier"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(later, "later")
@@ -362,42 +390,51 @@ def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, hash, lines: which lines of which documents (id, hash, text) match an earlier one."""
-    lines = written(_prefixed(docs, threshold), "lines")
     first = F.struct("id", "line", "k1", "hash")
-    sets = written(
-        lines.groupBy("k1", "k2")
-        .agg(
-            F.min(first).alias("first"),
-            F.first("n").alias("n"),
-            *[F.first(b).alias(b) for b in _BITS],
-            F.max_by(F.struct("places", "words"), F.size("words")).alias("prefix"),
-        ),
-        "line-sets",
-    )
+    with passing(docs.sparkSession):
+        wide = written(_prefixed(docs, threshold), "lines-wide")
+        sets = written(
+            wide.groupBy("k1", "k2").agg(
+                F.min(first).alias("first"),
+                F.first("n").alias("n"),
+                F.max("often").alias("often"),
+                F.max_by(F.struct("places", "words", *_BITS), F.size("words")).alias("prefix"),
+            ),
+            "line-sets",
+            keep=True,
+        )
+        lines = written(wide.select("id", "hash", "line", "k1", "k2"), "lines", keep=True)
     # Of two different sets the smaller one has at most n / (n + 1) of all their words.
     if threshold >= 1:
         smallest = 1 << 30
     else:
         smallest = math.ceil(threshold / (1 - threshold) - 1e-9)
-    posts = sets.where(F.col("n") >= smallest).select(
-        F.explode(F.arrays_zip("prefix.places", "prefix.words")).alias("post"),
-        "first",
-        "k1",
-        "n",
-        *_BITS,
-    )
-    posts = posts.select(
-        F.col("post.words").alias("word"),
-        "first.id",
-        "first.line",
-        "k1",
-        # The set's size and the word's place in it, as one number.
-        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("post.places")).alias("size"),
-        *_BITS,
-        F.lit(True).alias("asks"),
+
+    def posts_of(some: DataFrame) -> DataFrame:
+        posts = some.where(F.col("n") >= smallest).select(
+            F.explode(F.arrays_zip("prefix.places", "prefix.words")).alias("post"), "first", "k1", "n", "prefix"
+        )
+        return posts.select(
+            F.col("post.words").alias("word"),
+            "first.id",
+            "first.line",
+            "k1",
+            # The set's size and the word's place in it, as one number.
+            (F.shiftleft(F.col("n").cast("long"), 32) + F.col("post.places")).alias("size"),
+            *[F.col(f"prefix.{b}") for b in _BITS],
+        )
+
+    posts = posts_of(sets)
+    many = written(
+        posts_of(sets.where("often"))
+        .groupBy("word")
+        .count()
+        .where(F.col("count") > WORD_SETS)
+        .select(F.col("word").alias("hot"), F.ceil(F.col("count") / (WORD_SETS // 2)).alias("halves")),
+        "line-words",
     )
-    offers = written(_offers(posts, threshold, OFFERS), "line-offers")
-    matched = written(_matched(docs, offers, threshold), "line-matches")
+    offers = written(_offers(posts.withColumn("asks", F.lit(True)), many, threshold, OFFERS), "line-offers")
+    matched = written(_matched(docs, sets, offers, threshold), "line-matches")
     # Lines with more partners than were tried, and no match among those.
     open_sets = written(
         offers.where("more")
@@ -407,15 +444,16 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "line-open",
     )
     if not open_sets.isEmpty():
-        asking = posts.drop("asks").join(open_sets.withColumn("asks", F.lit(True)), "k1", "left")
+        asked = posts_of(sets.join(open_sets, "k1", "left_semi")).select("word").distinct()
+        asking = posts.join(written(asked, "line-asked"), "word", "left_semi").join(
+            open_sets.withColumn("asks", F.lit(True)), "k1", "left"
+        )
         asking = asking.withColumn("asks", F.coalesce("asks", F.lit(False)))
-        words = asking.where("asks").select("word").distinct()
-        rest = _offers(asking.join(words, "word", "left_semi"), threshold, None)
+        rest = _offers(asking, many, threshold, None)
         rest = rest.join(offers.select("later", "earlier").distinct(), ["later", "earlier"], "left_anti")
-        matched = matched.union(written(_matched(docs, rest, threshold), "line-matches"))
+        matched = matched.union(written(_matched(docs, sets, rest, threshold), "line-matches"))
     gone = (
-        lines.select("id", "hash", "line", "k1", "k2")
-        .join(sets.select("k1", "k2", "first"), ["k1", "k2"])
+        lines.join(sets.select("k1", "k2", "first"), ["k1", "k2"])
         .join(matched.withColumn("hit", F.lit(True)).distinct(), ["k1", "k2"], "left")
         .where(F.col("hit").isNotNull() | ~first.eqNullSafe(F.col("first")))
     )

@@ -30,7 +30,10 @@ _passing: list[list[str]] = []
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside the block, unless to be kept, are deleted at its end."""
+    """Tables written inside the block are deleted at its end.
+
+    Those to be kept go at the end of the block around it, if there is one.
+    """
     _passing.append([])
     try:
         yield
@@ -47,8 +50,9 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    if _passing and not keep:
-        _passing[-1].append(path)
+    open_blocks = _passing[:-1] if keep else _passing
+    if open_blocks:
+        open_blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
