@@ -69,6 +69,43 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         return mix(np.add.reduceat(terms, at - at[0]), 2), bounds
 
 
+#: Words of more bytes are hashed byte by byte.
+_SHORT = 64
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def words_by_eights(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words_of``, with other hashes: eight bytes of each word are mixed at once."""
+    solid = ~_SPACE[data]
+    starts, ends = solid.copy(), solid.copy()
+    starts[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    starts[heads] = solid[heads]
+    inner = heads[heads > 0]
+    ends[inner - 1] = solid[inner - 1]
+    at = np.flatnonzero(starts)
+    bounds = np.searchsorted(at, offsets)
+    sizes = np.flatnonzero(ends) + 1 - at
+    padded = np.append(data, np.zeros(8, np.uint8))
+    # Entry k has the bytes k to k + 7.
+    eights = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64), 3)
+    short = np.flatnonzero(sizes <= _SHORT)
+    done = 0
+    while len(short):
+        left = np.minimum(sizes[short] - done, 8)
+        out[short] = mix(out[short] ^ (eights[at[short] + done] & _FIRST[left]), 4)
+        done += 8
+        short = short[sizes[short] > done]
+    for k in np.flatnonzero(sizes > _SHORT):
+        own = data[at[k] : at[k] + sizes[k]]
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(len(own), _MULTIPLIER))
+            out[k] = mix(out[k : k + 1] ^ (_BYTES[own] * powers).sum(dtype=np.uint64), 5)[0]
+    return out, bounds
+
+
 def order_of(group: np.ndarray, n_groups: int, value: np.ndarray) -> np.ndarray:
     """The order by group, then value, from one sort of their leading bits."""
     bits = np.uint64(max(1, (n_groups - 1).bit_length()))

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.hashing import lines_of, mix, offsets_of, order_of, slices, words_of
+from respondex.llm.hashing import lines_of, mix, offsets_of, order_of, slices, words_by_eights
 from respondex.llm.shared import passing, written
 
 THRESHOLD = 0.8
@@ -128,7 +128,7 @@ class _Sets:
     def __init__(self, part: pa.RecordBatch, text: int, rank: Callable[[np.ndarray], np.ndarray]):
         offsets, data = offsets_of(part.column(text))
         edges, bounds = lines_of(offsets, data)
-        words, at = words_of(edges, data)
+        words, at = words_by_eights(edges, data)
         counts = np.diff(at)
         line = np.repeat(np.arange(len(counts)), counts)
         order = order_of(line, len(counts), rank(words))
@@ -159,7 +159,7 @@ def _counted(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(size, np.uint32)
         for batch in batches:
             for part in slices(batch, 0, SLICE):
-                words, _ = words_of(*offsets_of(part.column(0)))
+                words, _ = words_by_eights(*offsets_of(part.column(0)))
                 np.add.at(counts, (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         yield from _packed(counts)
 

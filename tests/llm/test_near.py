@@ -132,6 +132,20 @@ def test_signatures_are_unbiased():
     assert abs((out[0] == out[1]).mean() - truth) < 4 * (truth * (1 - truth) / 4096) ** 0.5
 
 
+def test_words_by_eights_tell_words_apart():
+    rng = random.Random(4)
+    texts = ["", " \n", "a", "b a", "x" * 8, "x" * 9, "x" * 64, "x" * 65, "x" * 3000, "é ü\tß", "tail"]
+    texts += [" ".join("ab"[rng.randrange(2)] * rng.randrange(1, 80) for _ in range(9)) for _ in range(60)]
+    offsets, data = hashing.offsets_of(pa.array(texts))
+    hashes, bounds = hashing.words_by_eights(offsets, data)
+    words = [w for t in texts for w in WORD.findall(t)]
+    assert list(np.diff(bounds)) == [len(WORD.findall(t)) for t in texts]
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    alone, _ = hashing.words_by_eights(*hashing.offsets_of(pa.array(words)))
+    assert (alone == hashes).all()
+    assert not len(hashing.words_by_eights(*hashing.offsets_of(pa.array([], pa.string())))[0])
+
+
 def test_word_hashes_see_words_only():
     texts = pa.array(["a bc", None, "", " a\t\nbc ", "ab c", "a bc\x00"])
     words, bounds = hashing.words_of(*hashing.offsets_of(texts[0:]))
