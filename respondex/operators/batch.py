@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.text import pick_answer
-from respondex.operators.keys import number_within
+from respondex.operators.keys import assign_ids, number_within
 from respondex.operators.nearest import answers_of, nearest_answers
-from respondex.operators.search import MAX_TOP, copy_order, result_order, students_of
+from respondex.operators.search import MAX_TOP, copy_order, result_order, students_of, written
 from respondex.schemas import QUESTIONS, STUDENT_KEY
 from respondex.session import scratch_path
 
@@ -33,7 +33,8 @@ def search_batch(
     Columns: ``qid, result_rank``, the survey's, ``result_question_id, result_distance,
     result_text``. A question without a vector gets no rows. ``limit`` 0 or less means all
     rows; these are sorted by range when the caller's plan is made, so that the rows of one
-    question lie in many tasks. The same goes for a limit above 10,000.
+    question lie in many tasks. The same goes for a limit above 10,000. Only keys and numbers
+    are sorted; the other columns of the survey join the caller's plan if it wants them.
 
     The pass over the vectors runs here and leaves its winners, ``limit`` keys per
     question, in a scratch table; texts are fetched when the caller acts. ``queries``
@@ -54,7 +55,8 @@ def search_batch(
     # they do for all questions alike.
     if limit <= 0 or stored.filter(F.col("rank") == limit).isEmpty():
         near = near.unionByName(_absent(students, candidates, queries, limit))
-    return _with_answers(survey, near, limit, key, questions)
+    answers = _with_answers if 0 < limit <= MAX_TOP else _with_many_answers
+    return answers(survey, near, limit, key, questions)
 
 
 def _absent(
@@ -97,26 +99,58 @@ def _with_answers(
     theirs = survey.join(
         wanted, survey[key].cast("string").eqNullSafe(wanted["_student"]), "left_semi"
     )
-    rows = theirs
-    if limit > 0:
-        copies = Window.partitionBy(F.col(key).cast("string")).orderBy(*copy_order(survey.columns))
-        rows = (
-            theirs.withColumn("_copy", F.row_number().over(copies))
-            .filter(F.col("_copy") <= limit)
-            .drop("_copy")
-        )
+    copies = Window.partitionBy(F.col(key).cast("string")).orderBy(*copy_order(survey.columns))
+    rows = (
+        theirs.withColumn("_copy", F.row_number().over(copies))
+        .filter(F.col("_copy") <= limit)
+        .drop("_copy")
+    )
     found = rows.join(near, rows[key].cast("string").eqNullSafe(near["_student"]))
     order = result_order(F.col(key), survey.columns)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
     found = found.select("qid", *survey.columns, "result_question_id", "result_distance")
-    if 0 < limit <= MAX_TOP:
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
-        found = found.withColumn("result_rank", rank)
-    else:
-        found = number_within(found, "qid", order, "result_rank")
-    return found.filter((F.col("result_rank") <= limit) | F.lit(limit <= 0)).select(
+    found = found.withColumn("result_rank", rank).filter(F.col("result_rank") <= limit)
+    return _results(found, survey.columns, questions)
+
+
+def _with_many_answers(
+    survey: DataFrame, near: DataFrame, limit: int, key: str, questions: Sequence[str]
+) -> DataFrame:
+    """The same for all rows, or more than a task can rank.
+
+    A survey row meets every question, so its texts must not be sorted with the results.
+    The rows are numbered in the order that settles ties, and the numbers are ranked in
+    their place. The other columns are looked up by that number; Spark leaves this join out
+    if the caller selects none of them, as the numbers are unique.
+    """
+    numbered = assign_ids(
+        survey, [F.asc_nulls_last(F.col(key).cast("string")), *copy_order(survey.columns)], "_row"
+    )
+    keys = written(numbered.select("_row", key), "survey-keys")
+    rows = keys.withColumn("_same", F.col(key).cast("string"))
+    if limit > 0:
+        copy = F.row_number().over(Window.partitionBy("_same").orderBy("_row"))
+        rows = rows.withColumn("_copy", copy).filter(F.col("_copy") <= limit).drop("_copy")
+    found = rows.join(near, rows["_same"].eqNullSafe(near["_student"])).select(
+        "qid", key, "_row", "result_question_id", "result_distance"
+    )
+    ranked = number_within(found, "qid", result_order(F.col(key), ["_row"]), "result_rank")
+    others = [c for c in survey.columns if c != key]
+    if others:
+        rest = F.struct(*[F.col(c) for c in others])
+        texts = numbered.groupBy("_row").agg(F.first(rest).alias("_rest"))
+        ranked = ranked.join(texts, "_row", "left").withColumns(
+            {c: F.col("_rest").getField(c) for c in others}
+        )
+    kept = ranked.filter((F.col("result_rank") <= limit) | F.lit(limit <= 0))
+    return _results(kept, survey.columns, questions)
+
+
+def _results(found: DataFrame, columns: Sequence[str], questions: Sequence[str]) -> DataFrame:
+    return found.select(
         "qid",
         "result_rank",
-        *survey.columns,
+        *columns,
         "result_question_id",
         "result_distance",
         pick_answer(F.col("result_question_id"), questions).alias("result_text"),

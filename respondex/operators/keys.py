@@ -100,6 +100,10 @@ def number_within(
     before = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("_size").over(before), F.lit(0))
     starts = parts.select("_group", "_in", (earlier - F.col("_least") + 1).alias("_start"))
+    # Written, Spark knows that they are few, and doesn't shuffle all rows to meet them.
+    path = scratch_path(rows.sparkSession, "starts")
+    starts.write.parquet(path)
+    starts = rows.sparkSession.read.schema(starts.schema).parquet(path)
     same = (F.col("_part") == F.col("_in")) & F.col(group).eqNullSafe(F.col("_group"))
     return placed.join(starts, same).select(
         *rows.columns, (F.col("_start") + F.col("_in_part")).cast("int").alias(name)

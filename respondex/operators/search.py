@@ -101,7 +101,7 @@ def _first_many(found: DataFrame, order: Sequence[Column], limit: int) -> DataFr
     rows. So vectors are measured twice, and not again for the sampling of each sort.
     """
     distance = F.col("result_distance")
-    distances = _written(found.select("result_distance"), "distances")
+    distances = written(found.select("result_distance"), "distances")
     numbered = assign_ids(distances, [F.asc_nulls_last(distance)], "_place")
     last = numbered.filter(F.col("_place") == limit).first()
     if last is None:
@@ -109,11 +109,11 @@ def _first_many(found: DataFrame, order: Sequence[Column], limit: int) -> DataFr
     cut = last["result_distance"]
     if cut is not None:
         found = found.filter(distance <= cut)  # NaN is above all numbers
-    near = _written(found, "near")
+    near = written(found, "near")
     return assign_ids(near, order, "_place").filter(F.col("_place") <= limit).drop("_place")
 
 
-def _written(rows: DataFrame, label: str) -> DataFrame:
+def written(rows: DataFrame, label: str) -> DataFrame:
     path = scratch_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

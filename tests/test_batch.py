@@ -182,3 +182,30 @@ def test_all_rows_of_a_question_lie_in_many_tasks(stored, set_conf):
 
 def test_no_rows_to_number(spark, stored):
     assert number_within(stored([], "g string, d int"), "g", [F.col("d").asc()]).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_texts_are_not_sorted_with_all_results(stored, monkeypatch, limit):
+    survey = [("a", "x", None, "z", None), ("a", "w", "y", None, None), (None, "v", None, None, None), ("b", "u", None, None, "t")]
+    vectors = [("a", "r1", [1.0, 0.0, 0.0]), ("a", "r2", [1.0, 0.0, 0.0]), ("b", "r4", [0.0, 2.0, 0.0])]
+    sorted_columns = []
+
+    def spy(rows, order):
+        sorted_columns.append(set(rows.columns))
+        return _sorted_by_range(rows, order)
+
+    monkeypatch.setattr("respondex.operators.keys._sorted_by_range", spy)
+    found = search_batch(
+        stored(survey, SURVEY), stored(vectors, EMBEDDINGS), stored(ASKED, QUERIES), limit=limit
+    )
+    with_qid = [columns for columns in sorted_columns if "qid" in columns]
+    assert with_qid and not any({"r1", "r2", "r3", "r4"} & columns for columns in with_qid)
+    # Copies of a perm follow one another by their columns, after the question.
+    for qid, _ in ASKED:
+        rows = found.where(f"qid = {qid}").orderBy("result_rank").collect()
+        assert [r["result_rank"] for r in rows] == list(range(1, 7))
+        first = [(r["perm"], r["result_question_id"], r["r1"], r["result_text"]) for r in rows]
+        of_a = [("a", "r1", "w", "w"), ("a", "r1", "x", "x"), ("a", "r2", "w", "y"), ("a", "r2", "x", None)]
+        assert [r for r in first if r[0] == "a"] == of_a
+        assert first[-1] == (None, None, "v", None) and ("b", "r4", "u", "t") in first
+    assert "r3" not in plan_of(found.select("qid", "result_rank", "perm", "result_distance"))
