@@ -100,30 +100,6 @@ def distance_or_fault(embedding: Column | str, vector: Sequence[float]) -> Colum
     return run(embedding)
 
 
-def distance_between(a: Column | str, b: Column | str) -> Column:
-    """Euclidean distance of two vector columns of one length, ``FAULT`` for a faulty ``a``.
-
-    NULL for a NULL ``a``; ``b`` must be whole. The squares are added in element order.
-    """
-
-    @F.arrow_udf("double")
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        full = np.zeros(len(left))
-        valid = left.is_valid().to_numpy(zero_copy_only=False)
-        lengths = right.value_lengths().to_numpy(zero_copy_only=False)
-        for dim in np.unique(lengths):
-            own = lengths == dim
-            good = sound(left, int(dim)) & own
-            full[own & ~good] = FAULT
-            good &= valid
-            x = matrix_of(left.filter(pa.array(good)), int(dim)).astype(np.float64)
-            gaps = (x - matrix_of(right.filter(pa.array(good)), int(dim))) ** 2
-            full[good] = np.sqrt(np.add.accumulate(gaps, axis=1)[:, -1]) if dim else 0.0
-        return pa.array(full, mask=~valid)
-
-    return run(a, b)
-
-
 def checked(distance: Column) -> Column:
     """The distance; a faulty vector fails the query."""
     message = F.lit("a vector has another length than the question's or a null element")

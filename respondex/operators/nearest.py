@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +59,25 @@ def nearest_answers(
     that, each block of questions is a pass of its own that appends to a scratch table.
     """
     asked = queries.filter(F.col("vector").isNotNull()).select("qid", "vector")
+    return in_blocks(asked, lambda table: _nearest_block(embeddings, table, limit), block_bytes)
+
+
+def in_blocks(
+    asked: DataFrame, measure: Callable[[pa.Table], DataFrame], block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """What ``measure`` gives for ``asked(qid, vector, ...)``, one block of them after the other."""
     first = asked.first()
     block = max(1, block_bytes // (8 * len(first["vector"]) if first and first["vector"] else 8))
     table = asked.limit(block + 1).toArrow()
     if table.num_rows <= block:
-        return _nearest_block(embeddings, table, limit)
+        return measure(table)
     # Hashed blocks vary in size, so they are planned half full.
     n_blocks = math.ceil(2 * asked.count() / block)
     number = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
-    spark = embeddings.sparkSession
+    spark = asked.sparkSession
     path = scratch_path(spark, "nearest")
     for b in range(n_blocks):
-        some = _nearest_block(embeddings, asked.filter(number == b).toArrow(), limit)
+        some = measure(asked.filter(number == b).toArrow())
         some.write.parquet(f"{path}/block={b}")
     return spark.read.parquet(path).drop("block")
 
@@ -106,9 +113,14 @@ def _nearest_block(embeddings: DataFrame, asked: pa.Table, limit: int) -> DataFr
         run,
         f"qid {qid_type}, student_id string, question_id string, result_distance double",
     )
-    order = [F.asc_nulls_last(c) for c in ("result_distance", "student_id", "question_id")]
     if limit <= 0:
         return local.withColumn("rank", F.lit(0))
+    return first_of_each(local, limit)
+
+
+def first_of_each(local: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` pairs of every question, with their ``rank``."""
+    order = [F.asc_nulls_last(c) for c in ("result_distance", "student_id", "question_id")]
     local = local.withColumn("_middle", F.spark_partition_id() % _MIDDLE_TASKS)
     for groups in (("qid", "_middle"), ("qid",)):
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))

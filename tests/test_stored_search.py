@@ -168,6 +168,27 @@ def test_many_questions_by_cell(stored, tables, cell_path, limit):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_questions_and_vectors_never_meet_as_rows(spark, stored, tables, cell_path):
+    """Their pairs are as many as both multiplied."""
+    queries = stored([(i, [float(i % 40), 0.0, 1.0, -1.0]) for i in range(500)], QUERIES)
+    sound = by_cell.cell_vectors(spark, cell_path).where("cell <> -1")
+    found = by_cell._nearest_by_cell(sound, queries, 2, cell_path)
+    plan = plan_of(found)
+    assert "MapInArrow" in plan and "Join" not in plan and "ArrowEvalPython" not in plan
+    assert found.count() == 1000
+
+
+def test_repeated_and_absent_qids_by_cell(stored, tables, cell_path):
+    survey, vectors = tables
+    queries = stored([(1, QUESTION), (1, QUESTION), (None, QUESTION), (2, QUESTION)], QUERIES)
+    found = search_cells_batch(survey, cell_path, queries, limit=3).orderBy("qid", "result_rank")
+    got = [(r["qid"], r["perm"], r["result_question_id"]) for r in found.collect()]
+    once = search_batch(survey, vectors, queries.where("qid = 2"), limit=3).orderBy("result_rank")
+    want = [(r["perm"], r["result_question_id"]) for r in once.collect()]
+    # Both rows of a question count for each of them, so the nearest answer comes four times.
+    assert got == [(1, *want[0])] * 3 + [(2, *w) for w in want]
+
+
 def test_equal_vectors_fill_a_cell_of_their_own(spark, stored, tables, tmp_path):
     survey, _ = tables
     rows = [(str(i), "r1", [3.0] * DIM) for i in range(150)]
