@@ -123,10 +123,11 @@ def lines_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     A line takes its line feed along. Each text has one line at least.
     """
     breaks = np.flatnonzero(_LINE[data]) + 1
-    ends = np.concatenate([breaks, offsets[1:]])
-    texts = np.concatenate(
-        [np.searchsorted(offsets, breaks - 1, side="right") - 1, np.arange(len(offsets) - 1)]
-    )
-    order = np.lexsort((ends, texts))
-    counts = np.bincount(texts, minlength=len(offsets) - 1)
-    return np.append(0, ends[order]), np.append(0, np.cumsum(counts))
+    texts = np.searchsorted(offsets, breaks - 1, side="right") - 1
+    counts = np.bincount(texts, minlength=len(offsets) - 1) + 1
+    bounds = np.append(0, np.cumsum(counts))
+    edges = np.zeros(bounds[-1] + 1, np.int64)
+    # Before a break lie the other breaks and the ends of earlier texts.
+    edges[1 + np.arange(len(breaks)) + texts] = breaks
+    edges[bounds[1:]] = offsets[1:]
+    return edges, bounds

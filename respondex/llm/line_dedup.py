@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ FILTER_BITS = 24
 OFFERS = 3
 #: Bytes of text that are hashed at once; their arrays stay in the CPU caches.
 SLICE = 1 << 18
+#: Words that are sorted before they are counted.
+COUNTED_AT_ONCE = 1 << 20
 #: Rows over which comparisons are run at once.
 STRETCH = 1 << 17
 #: Sets that one task compares for a word; a word of more sets is dealt to more tasks.
@@ -121,7 +124,7 @@ class _Sets:
 
     ``line`` and ``words`` have an entry for each distinct word of a line, ordered by line,
     then by the value that ``rank`` gives a word; ``held`` are the lines with words, ``begins``
-    where they begin and ``sizes`` how many words they have. ``texts`` and ``number`` say for
+    where they begin and ``sizes`` how many words they have. ``ranks`` are those values. ``texts`` and ``number`` say for
     each line which text it is in and its place there.
     """
 
@@ -131,11 +134,12 @@ class _Sets:
         words, at = words_by_eights(edges, data)
         counts = np.diff(at)
         line = np.repeat(np.arange(len(counts)), counts)
-        order = order_of(line, len(counts), rank(words))
+        ranks = rank(words)
+        order = order_of(line, len(counts), ranks)
         line, words = line[order], words[order]
         first = np.ones(len(line), bool)
         first[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
-        self.line, self.words = line[first], words[first]
+        self.line, self.words, self.ranks = line[first], words[first], ranks[order][first]
         sizes = np.bincount(self.line, minlength=len(counts))
         self.held = np.flatnonzero(sizes > 0)
         self.sizes = sizes[self.held]
@@ -151,16 +155,29 @@ class _Sets:
             )
 
 
+def _add(counts: np.ndarray, at: np.ndarray) -> None:
+    """Add 1 for each of ``at``; in order, so that the table is not walked at random."""
+    at = np.sort(at)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    counts[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
+
+
 def _counted(docs: DataFrame) -> np.ndarray:
     """How often each word occurs, at least once for each line that has it, by entry."""
     size = 1 << COUNT_BITS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
+        held: list[np.ndarray] = []
         for batch in batches:
             for part in slices(batch, 0, SLICE):
                 words, _ = words_by_eights(*offsets_of(part.column(0)))
-                np.add.at(counts, (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+                held.append((words >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+                if sum(map(len, held)) >= COUNTED_AT_ONCE:
+                    _add(counts, np.concatenate(held))
+                    held = []
+        if held:
+            _add(counts, np.concatenate(held))
         yield from _packed(counts)
 
     parts = docs.select("text").mapInArrow(task, "block int, at binary, count binary")
@@ -189,12 +206,10 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(shared.value, np.uint8)
 
-        def rarity(words: np.ndarray) -> np.ndarray:
-            return codes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-
         def rank(words: np.ndarray) -> np.ndarray:
             # Rarity stands above the first 56 bits of the word.
-            return (rarity(words).astype(np.uint64) << np.uint64(56)) | (mix(words, 70) >> np.uint64(8))
+            rarity = codes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            return (rarity.astype(np.uint64) << np.uint64(56)) | (mix(words, 70) >> np.uint64(8))
 
         for batch in batches:
             for part in slices(batch, 2, SLICE):
@@ -214,7 +229,7 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
                 ]
                 place = np.arange(len(words)) - np.repeat(begins, sizes)
                 most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-                code = rarity(words)
+                code = found.ranks >> np.uint64(56)
                 posted = (place < np.repeat(np.where(fresh, most, 0), sizes)) & (code > 1)
                 per_line = np.add.reduceat(posted, begins, dtype=np.int64)
                 often = np.logical_or.reduceat(posted & (code >= many), begins)
@@ -258,15 +273,31 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
         # The larger half and the smaller one name their meeting.
         F.xxhash64("word", F.least("half", "other"), F.greatest("half", "other")).alias("group"),
         "id",
-        "line",
         "k1",
         "size",
         *_BITS,
-        (4 * F.col("half") + alone + F.when(F.col("asks"), 1).otherwise(0)).alias("flags"),
+        # The line and the flags, as one number.
+        (
+            F.shiftleft(F.col("line").cast("long"), 32)
+            + 4 * F.col("half")
+            + alone
+            + F.when(F.col("asks"), 1).otherwise(0)
+        ).alias("spot"),
     )
-    ordered = dealt.repartition("group").sortWithinPartitions("group", "id", "line", "k1")
-
-    def pairs(word, key, size, flags, *bits) -> Iterator[pa.RecordBatch]:
+    # By one number Spark sorts fastest; each stretch is put in order below.
+    grouped = dealt.repartition("group").sortWithinPartitions("group")
+    by = [(c, "ascending") for c in ("group", "id", "line", "k1")]
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        spot = rows.column("spot").to_numpy()
+        rows = rows.append_column("line", pa.array(spot >> 32))
+        order = pc.sort_indices(rows, sort_keys=by, null_placement="at_start")
+        rows = rows.select(["group", "k1", "size", *_BITS]).take(order)
+        flags = spot[order.to_numpy()] & ((1 << 32) - 1)
+        group, key, size, *bits = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
+        yield from offered(group, key, size, flags, *bits)
+
+    def offered(word, key, size, flags, *bits) -> Iterator[pa.RecordBatch]:
         n, place = size >> 32, size & ((1 << 32) - 1)
         asks, alone, half = flags & 1 > 0, flags & 2 > 0, flags >> 2
         begins = np.flatnonzero(np.diff(word, prepend=~word[0]))
@@ -303,22 +334,22 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
             live = live[keep]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(x[0]) for x in held) < STRETCH:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < STRETCH:
                 continue
-            columns = [np.concatenate(x) for x in zip(*held)]
+            whole = pa.concat_batches(held)
             # The last word may go on in the next batch.
-            cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
+            groups = whole.column("group").to_numpy()
+            cut = int(np.searchsorted(groups, groups[-1], side="left"))
             if cut:
-                yield from pairs(*(c[:cut] for c in columns))
-            held = [[c[cut:] for c in columns]]
-        if sum(len(x[0]) for x in held):
-            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+                yield from pairs(whole.slice(0, cut))
+            held = [whole.slice(cut)]
+        if sum(x.num_rows for x in held):
+            yield from pairs(pa.concat_batches(held))
 
-    fields = ["group", "k1", "size", "flags", *_BITS]
-    return ordered.select(*fields).mapInArrow(task, "later bigint, earlier bigint, more boolean")
+    return grouped.mapInArrow(task, "later bigint, earlier bigint, more boolean")
 
 
 def _token_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:

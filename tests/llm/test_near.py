@@ -305,3 +305,37 @@ def test_components_of_chains_and_hubs(spark):
     assert {r.node: r.label for r in got} == {i: 0 for i in range(61)} | {500: 500} | {1000 + i: 500 for i in range(200)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_words_are_counted_in_order():
+    """The table of counts is larger than a cache; it is not walked at random."""
+    rng = np.random.default_rng(2)
+    at = rng.integers(0, 50, 1000).astype(np.uint32)
+    counts = np.zeros(64, np.uint32)
+    line_dedup._add(counts, at[:600])
+    line_dedup._add(counts, at[600:])
+    line_dedup._add(counts, at[:0])
+    assert (counts == np.bincount(at, minlength=64)).all()
+
+
+def test_lines_of_texts_with_gaps():
+    texts = ["", "a\nb", "\n", "", "c", "d\n\n", ""]
+    edges, bounds = hashing.lines_of(*hashing.offsets_of(pa.array(texts)))
+    data = "".join(texts)
+    lines = [data[a:b].rstrip("\n") for a, b in zip(edges, edges[1:])]
+    assert [lines[a:b] for a, b in zip(bounds, bounds[1:])] == [t.split("\n") for t in texts]
+
+
+def test_postings_are_sorted_by_one_number(spark):
+    """Spark sorts by the group alone; ids, also null ones, and lines are put in order later."""
+    rows = [(7, i, line, k, (5 << 32), 1, 3, True) for i, line, k in [(2, 0, 12), (None, 4, 13), (2, 1, 11), (None, 1, 14)]]
+    posts = spark.createDataFrame(
+        rows, "word long, id long, line int, k1 long, size long, bits0 long, bits1 long, asks boolean"
+    )
+    many = spark.createDataFrame([], "hot long, halves long")
+    found = line_dedup._offers(posts, many, 0.8, None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[group#\d+L ASC NULLS FIRST\], false", plan)
+    # In order: 14, 13, 12, 11.
+    want = {(13, 14), (12, 13), (12, 14), (11, 12), (11, 13), (11, 14)}
+    assert {(r.later, r.earlier) for r in found.collect()} == want
