@@ -151,7 +151,8 @@ class _Sets:
         """128 bits for each held line's set."""
         with np.errstate(over="ignore"):
             return tuple(
-                mix(np.add.reduceat(mix(self.words, 50 + k), self.begins), 60 + k) for k in range(2)
+                mix(np.add.reduceat(words, self.begins), 60 + k)
+                for k, words in enumerate((mix(self.words, 50), self.words))
             )
 
 
@@ -184,21 +185,75 @@ def _counted(docs: DataFrame) -> np.ndarray:
     return _table(parts, COUNT_BITS)
 
 
+def _pieces(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, one piece for each of ``ends``."""
+    offsets = (np.append(0, ends) * values.itemsize).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(ends), buffers)
+
+
+def _values(pieces: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of ``pieces``, and how many each has."""
+    offsets, data = offsets_of(pieces)
+    return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _posts(sets: DataFrame, asked: tuple[int, Broadcast] | None = None) -> DataFrame:
+    """word, id, line, k1, size, parities: a row for each word that a set shows.
+
+    With a filter of words, those that pass it.
+    """
+    kind = sets.schema["first"].dataType["id"].dataType
+    schema = f"word bigint, id {kind.simpleString()}, line int, k1 bigint, size bigint" + "".join(
+        f", {b} bigint" for b in _BITS
+    )
+    heads = len(_BITS)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown, counts = _values(batch.column("words"), np.uint64)
+            skipped, _ = _values(batch.column("skipped"), np.uint32)
+            begins = np.cumsum(counts) - counts
+            counts = counts - heads
+            row = np.repeat(np.arange(len(counts)), counts)
+            index = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            word = shown[begins[row] + heads + index]
+            place = skipped + index
+            if asked is not None:
+                keep = _in_filter(asked[0], np.frombuffer(asked[1].value, np.uint8), word)
+                row, word, place = row[keep], word[keep], place[keep]
+            rows = pa.array(row)
+            # The set's size and the word's place in it, as one number.
+            size = (batch.column("n").to_numpy().astype(np.int64)[row] << 32) + place
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(word.view(np.int64)),
+                    *[batch.column(c).take(rows) for c in ("id", "line", "k1")],
+                    pa.array(size),
+                    *[pa.array(shown[begins + k].view(np.int64)[row]) for k in range(heads)],
+                ],
+                names=["word", "id", "line", "k1", "size", *_BITS],
+            )
+
+    showing = sets.where(F.length("words") > 8 * heads)
+    return showing.select("first.id", "first.line", "k1", "n", "words", "skipped").mapInArrow(task, schema)
+
+
 def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
-    """id, hash, line, k1, k2, n, often, parities, places, words: one row per line with a word.
+    """id, hash, line, k1, k2, n, often, words, skipped: one row per line with a word.
 
-    ``words`` are those of the prefix that more than one line has, ``places`` their places
-    in the order of rarity; ``often`` says that one of them may be in the prefixes of more
-    than ``WORD_SETS`` sets. For a set that its slice has shown before, words and places are
-    empty and parities 0.
+    ``words`` holds the parities, then the words of the prefix that more than one line has, 8
+    bytes each; ``skipped`` how many words of the prefix were left out before each of them, 4
+    bytes each. Spark moves and compares such columns as they are, arrays number by number.
+    ``often`` says that one of the words may be in the prefixes of more than ``WORD_SETS``
+    sets. For a set that its slice has shown before, words and skipped are empty.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_counted(docs).tobytes())
     kind = docs.schema["id"].dataType
     schema = (
         f"id {kind.simpleString()}, hash bigint, line int, k1 bigint, k2 bigint, n int, often boolean, "
-        + "".join(f"{b} bigint, " for b in _BITS)
-        + "places array<int>, words array<bigint>"
+        "words binary, skipped binary"
     )
     many = _code(np.array([WORD_SETS]))[0]
     groups = np.uint64(len(_BITS) - 1)
@@ -207,9 +262,9 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
         codes = np.frombuffer(shared.value, np.uint8)
 
         def rank(words: np.ndarray) -> np.ndarray:
-            # Rarity stands above the first 56 bits of the word.
+            # Rarity stands above the first 56 bits of the word, which is a hash already.
             rarity = codes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-            return (rarity.astype(np.uint64) << np.uint64(56)) | (mix(words, 70) >> np.uint64(8))
+            return (rarity.astype(np.uint64) << np.uint64(56)) | (words >> np.uint64(8))
 
         for batch in batches:
             for part in slices(batch, 2, SLICE):
@@ -224,7 +279,7 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
                 one = np.uint64(1) << (words & np.uint64(63))
                 part_of = words >> np.uint64(6) & groups
                 parity = [
-                    np.bitwise_xor.reduceat(np.where(part_of == k, one, 0), begins) * fresh
+                    np.bitwise_xor.reduceat(np.where(part_of == k, one, 0), begins)[fresh]
                     for k in range(len(_BITS))
                 ]
                 place = np.arange(len(words)) - np.repeat(begins, sizes)
@@ -233,7 +288,16 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
                 posted = (place < np.repeat(np.where(fresh, most, 0), sizes)) & (code > 1)
                 per_line = np.add.reduceat(posted, begins, dtype=np.int64)
                 often = np.logical_or.reduceat(posted & (code >= many), begins)
-                bounds = pa.array(np.append(0, np.cumsum(per_line)), pa.int32())
+                ends = np.cumsum(per_line)
+                index = np.arange(ends[-1]) - np.repeat(ends - per_line, per_line)
+                head = np.cumsum(np.where(fresh, per_line + len(_BITS), 0))
+                shown = np.zeros(head[-1], np.uint64)
+                own = np.ones(len(shown), bool)
+                for k, bits in enumerate(parity):
+                    at = (head - per_line - len(_BITS))[fresh] + k
+                    shown[at], own[at] = bits, False
+                shown[own] = words[posted]
+                skipped = (place[posted] - index).astype(np.uint32)
                 texts = pa.array(found.texts[held])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -244,11 +308,10 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
                         pa.array(k2.view(np.int64)),
                         pa.array(sizes, pa.int32()),
                         pa.array(often),
-                        *[pa.array(x.view(np.int64)) for x in parity],
-                        pa.ListArray.from_arrays(bounds, pa.array(place[posted], pa.int32())),
-                        pa.ListArray.from_arrays(bounds, pa.array(words[posted].view(np.int64))),
+                        _pieces(shown, head),
+                        _pieces(skipped, ends),
                     ],
-                    names=["id", "hash", "line", "k1", "k2", "n", "often", *_BITS, "places", "words"],
+                    names=["id", "hash", "line", "k1", "k2", "n", "often", "words", "skipped"],
                 )
 
     return docs.select("id", "hash", "text").mapInArrow(task, schema)
@@ -263,15 +326,21 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
     words of a stretch at once, one distance after the other. A word with many sets (``many``
     has hot, halves) deals them to halves, and each pair of halves is compared by itself.
     """
-    half = F.coalesce(F.pmod(F.xxhash64("k1"), "halves"), F.lit(0))
-    others = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("halves"), F.lit(1)) - 1)
-    dealt = posts.join(many, F.col("word") == F.col("hot"), "left").select(
-        *posts.columns, half.alias("half"), F.explode(others).alias("other")
-    )
-    alone = F.when(F.col("half") == F.col("other"), 2).otherwise(0)
-    dealt = dealt.select(
+    if many.isEmpty():
+        half, alone, group = F.lit(0).cast("bigint"), F.lit(2), F.col("word")
+        dealt = posts
+    else:
+        half = F.coalesce(F.pmod(F.xxhash64("k1"), "halves"), F.lit(0))
+        others = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("halves"), F.lit(1)) - 1)
+        dealt = posts.join(many, F.col("word") == F.col("hot"), "left").select(
+            *posts.columns, half.alias("half"), F.explode(others).alias("other")
+        )
+        half = F.col("half")
+        alone = F.when(half == F.col("other"), 2).otherwise(0)
         # The larger half and the smaller one name their meeting.
-        F.xxhash64("word", F.least("half", "other"), F.greatest("half", "other")).alias("group"),
+        group = F.xxhash64("word", F.least("half", "other"), F.greatest("half", "other"))
+    dealt = dealt.select(
+        group.alias("group"),
         "id",
         "k1",
         "size",
@@ -279,7 +348,7 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
         # The line and the flags, as one number.
         (
             F.shiftleft(F.col("line").cast("long"), 32)
-            + 4 * F.col("half")
+            + 4 * half
             + alone
             + F.when(F.col("asks"), 1).otherwise(0)
         ).alias("spot"),
@@ -289,6 +358,12 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
     by = [(c, "ascending") for c in ("group", "id", "line", "k1")]
 
     def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        groups = rows.column("group").to_numpy()
+        same = groups[1:] == groups[:-1]
+        # A set alone with its word meets nothing.
+        rows = rows.filter(pa.array(np.append(same, False) | np.append(False, same)))
+        if not rows.num_rows:
+            return
         spot = rows.column("spot").to_numpy()
         rows = rows.append_column("line", pa.array(spot >> 32))
         order = pc.sort_indices(rows, sort_keys=by, null_placement="at_start")
@@ -429,7 +504,10 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 F.min(first).alias("first"),
                 F.first("n").alias("n"),
                 F.max("often").alias("often"),
-                F.max_by(F.struct("places", "words", *_BITS), F.size("words")).alias("prefix"),
+                (F.count(F.lit(1)) > 1).alias("repeated"),
+                # Empty, or the same in all rows of a set.
+                F.max("words").alias("words"),
+                F.max("skipped").alias("skipped"),
             ),
             "line-sets",
             keep=True,
@@ -441,23 +519,10 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     else:
         smallest = math.ceil(threshold / (1 - threshold) - 1e-9)
 
-    def posts_of(some: DataFrame) -> DataFrame:
-        posts = some.where(F.col("n") >= smallest).select(
-            F.explode(F.arrays_zip("prefix.places", "prefix.words")).alias("post"), "first", "k1", "n", "prefix"
-        )
-        return posts.select(
-            F.col("post.words").alias("word"),
-            "first.id",
-            "first.line",
-            "k1",
-            # The set's size and the word's place in it, as one number.
-            (F.shiftleft(F.col("n").cast("long"), 32) + F.col("post.places")).alias("size"),
-            *[F.col(f"prefix.{b}") for b in _BITS],
-        )
-
-    posts = posts_of(sets)
+    large = sets.where(F.col("n") >= smallest)
+    posts = _posts(large)
     many = written(
-        posts_of(sets.where("often"))
+        _posts(large.where("often"))
         .groupBy("word")
         .count()
         .where(F.col("count") > WORD_SETS)
@@ -475,18 +540,25 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "line-open",
     )
     if not open_sets.isEmpty():
-        asked = posts_of(sets.join(open_sets, "k1", "left_semi")).select("word").distinct()
-        asking = posts.join(written(asked, "line-asked"), "word", "left_semi").join(
-            open_sets.withColumn("asks", F.lit(True)), "k1", "left"
+        asked = _posts(large.join(open_sets, "k1", "left_semi")).select("word").distinct()
+        asked = written(asked, "line-asked")
+        asking = (
+            _posts(large, _key_filter(asked, "word"))
+            .join(asked, "word", "left_semi")
+            .join(open_sets.withColumn("asks", F.lit(True)), "k1", "left")
         )
         asking = asking.withColumn("asks", F.coalesce("asks", F.lit(False)))
         rest = _offers(asking, many, threshold, None)
         rest = rest.join(offers.select("later", "earlier").distinct(), ["later", "earlier"], "left_anti")
         matched = matched.union(written(_matched(docs, sets, rest, threshold), "line-matches"))
-    gone = (
-        lines.join(sets.select("k1", "k2", "first"), ["k1", "k2"])
-        .join(matched.withColumn("hit", F.lit(True)).distinct(), ["k1", "k2"], "left")
-        .where(F.col("hit").isNotNull() | ~first.eqNullSafe(F.col("first")))
+    # Only lines of these sets may go; of a set with one line it goes if the set has a match.
+    heads = (
+        sets.where("repeated")
+        .select("k1", "k2", "first")
+        .join(matched.distinct().withColumn("hit", F.lit(True)), ["k1", "k2"], "full")
+    )
+    gone = lines.join(heads, ["k1", "k2"]).where(
+        F.col("hit").isNotNull() | ~first.eqNullSafe(F.col("first"))
     )
     return gone.groupBy("id", "hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 

@@ -339,3 +339,25 @@ def test_postings_are_sorted_by_one_number(spark):
     # In order: 14, 13, 12, 11.
     want = {(13, 14), (12, 13), (12, 14), (11, 12), (11, 13), (11, 14)}
     assert {(r.later, r.earlier) for r in found.collect()} == want
+
+
+def test_prefixes_are_bytes_and_give_all_postings(spark):
+    """A set's words move through Spark as one value; the rare word of a line finds nothing."""
+    common = "b c d e f g h i j"
+    texts = [(1, f"x {common}\nq"), (2, f"x2 {common}"), (3, f"{common} x x x"), (4, "\n")]
+    docs = spark.createDataFrame(texts, "id long, text string").selectExpr("id", "xxhash64(text) AS hash", "text")
+    wide = line_dedup._prefixed(docs.coalesce(1), 0.8)
+    assert not [c for c, kind in wide.dtypes if kind.startswith("array")]
+    sets = wide.selectExpr("struct(id, line) AS first", "k1", "n", "words", "skipped").cache()
+    posts = line_dedup._posts(sets).collect()
+    places = {}
+    for r in posts:
+        assert r.size >> 32 == 10 and r.line == 0
+        places.setdefault(r.word, set()).add((r.id, r.size & 0xFFFFFFFF))
+    # Three words of ten are the prefix; "x2" is in one line, "x" in more than one place.
+    assert {i for held in places.values() for i, _ in held} == {1, 2}
+    assert sorted(p for held in places.values() for i, p in held if i == 2) == [1, 2]
+    assert all(len({r[b] for r in posts if r.id == i}) == 1 for i in (1, 2) for b in line_dedup._BITS)
+    asked = line_dedup._key_filter(spark.createDataFrame([(posts[0].word,)], "word long"), "word")
+    some = {r.word for r in line_dedup._posts(sets, asked).collect()}
+    assert posts[0].word in some and some <= set(places)
