@@ -114,6 +114,15 @@ def _key_filter(keys: DataFrame, column: str) -> tuple[int, Broadcast]:
     return bits, keys.sparkSession.sparkContext.broadcast(packed)
 
 
+def _passed(rows: DataFrame, column: str, bits: int, packed: Broadcast) -> DataFrame:
+    """Rows whose key passes the filter, by columns only: nothing else goes to the tasks' Python."""
+    longs = np.packbits(np.unpackbits(np.frombuffer(packed.value, np.uint8)), bitorder="little")
+    held = rows.sparkSession.createDataFrame([(longs.view(np.int64).tolist(),)], "_held array<bigint>")
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    bit = F.getbit(F.get("_held", F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int"))
+    return rows.join(F.broadcast(held), bit == 1, "left_semi")
+
+
 def _in_filter(bits: int, packed: np.ndarray, key: np.ndarray) -> np.ndarray:
     at = (key >> np.uint64(64 - bits)).astype(np.int64)
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
@@ -375,6 +384,8 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
     def offered(word, key, size, flags, *bits) -> Iterator[pa.RecordBatch]:
         n, place = size >> 32, size & ((1 << 32) - 1)
         asks, alone, half = flags & 1 > 0, flags & 2 > 0, flags >> 2
+        dealt = not alone.all()
+        rest = n - place
         begins = np.flatnonzero(np.diff(word, prepend=~word[0]))
         index = np.arange(len(word)) - np.repeat(begins, np.diff(np.append(begins, len(word))))
         found = np.zeros(len(word), np.int32)
@@ -384,13 +395,13 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
             x, y = live, live - gap
             total = n[x] + n[y]
             need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
-            left = np.minimum(n[x] - place[x], n[y] - place[y])
-            near = np.flatnonzero(
-                (left >= need)
-                & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
-                & (key[x] != key[y])
-                & (alone[x] | (half[x] != half[y]))
-            )
+            # This bounds the sizes too: the words left are no more than the smaller set has.
+            near = np.flatnonzero(np.minimum(rest[x], rest[y]) >= need)
+            a, b = x[near], y[near]
+            other = key[a] != key[b]
+            if dealt:
+                other &= alone[a] | (half[a] != half[b])
+            near = near[other]
             a, b = x[near], y[near]
             differ = sum(np.bitwise_count((c[a] ^ c[b]).view(np.uint64)).astype(np.int64) for c in bits)
             hit = total[near] - differ >= 2 * need[near]
@@ -437,13 +448,10 @@ def _token_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
     key_bits, key_filter = _key_filter(keys, "k1")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes = np.frombuffer(text_filter.value, np.uint8)
         bits = np.frombuffer(key_filter.value, np.uint8)
         for batch in batches:
-            hashes = batch.column(0).to_numpy().view(np.uint64)
-            batch = batch.filter(pa.array(_in_filter(text_bits, homes, hashes)))
-            for part in slices(batch, 1, SLICE):
-                found = _Sets(part, 1, lambda words: words)
+            for part in slices(batch, 0, SLICE):
+                found = _Sets(part, 0, lambda words: words)
                 if not len(found.held):
                     continue
                 k1, k2 = found.keys()
@@ -465,7 +473,7 @@ def _token_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
                 )
 
     schema = "k1 bigint, k2 bigint, items array<bigint>"
-    return docs.select("hash", "text").mapInArrow(task, schema)
+    return _passed(docs, "hash", text_bits, text_filter).select("text").mapInArrow(task, schema)
 
 
 def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
