@@ -22,8 +22,11 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = np.where(_SPACE, np.uint64(0), mix(np.arange(256, dtype=np.uint64), 1) | np.uint64(1))
-_LINE = np.zeros(256, bool)
-_LINE[10] = True
+
+
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Which bytes are not white space; compared and not looked up, many bytes at once."""
+    return (data - np.uint8(9) > 4) & (data != 32)
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -52,7 +55,7 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A word's hash sums random numbers of its bytes, each times a power that its place gives.
     """
-    solid = ~_SPACE[data]
+    solid = _solid(data)
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
@@ -71,12 +74,13 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 #: Words of more bytes are hashed byte by byte.
 _SHORT = 64
+_SIZES = mix(np.arange(_SHORT + 2, dtype=np.uint64), 3)
 _FIRST = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def words_by_eights(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``words_of``, with other hashes: eight bytes of each word are mixed at once."""
-    solid = ~_SPACE[data]
+    solid = _solid(data)
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -90,9 +94,11 @@ def words_by_eights(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray,
     padded = np.append(data, np.zeros(8, np.uint8))
     # Entry k has the bytes k to k + 7.
     eights = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
-    out = mix(sizes.astype(np.uint64), 3)
-    short = np.flatnonzero(sizes <= _SHORT)
-    done = 0
+    sized = _SIZES[np.minimum(sizes, _SHORT + 1)]
+    # The first eight bytes of all words, then the next ones of those that have more.
+    out = mix(sized ^ (eights[at] & _FIRST[np.minimum(sizes, 8)]), 4)
+    done = 8
+    short = np.flatnonzero((sizes > done) & (sizes <= _SHORT))
     while len(short):
         left = np.minimum(sizes[short] - done, 8)
         out[short] = mix(out[short] ^ (eights[at[short] + done] & _FIRST[left]), 4)
@@ -102,7 +108,8 @@ def words_by_eights(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray,
         own = data[at[k] : at[k] + sizes[k]]
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.full(len(own), _MULTIPLIER))
-            out[k] = mix(out[k : k + 1] ^ (_BYTES[own] * powers).sum(dtype=np.uint64), 5)[0]
+            size = mix(sizes[k : k + 1].astype(np.uint64), 3)
+            out[k] = mix(size ^ (_BYTES[own] * powers).sum(dtype=np.uint64), 5)[0]
     return out, bounds
 
 
@@ -122,7 +129,7 @@ def lines_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A line takes its line feed along. Each text has one line at least.
     """
-    breaks = np.flatnonzero(_LINE[data]) + 1
+    breaks = np.flatnonzero(data == 10) + 1
     texts = np.searchsorted(offsets, breaks - 1, side="right") - 1
     counts = np.bincount(texts, minlength=len(offsets) - 1) + 1
     bounds = np.append(0, np.cumsum(counts))

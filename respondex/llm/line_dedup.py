@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from respondex.llm.hashing import lines_of, mix, offsets_of, order_of, slices, words_by_eights
-from respondex.llm.shared import passing, written
+from respondex.llm.shared import passing, written as _written
+from respondex.session import estimated_bytes
 
 THRESHOLD = 0.8
 #: Entries of the table of counts are 2 ** COUNT_BITS; it is broadcast with a byte for each.
@@ -38,13 +39,29 @@ OFFERS = 3
 SLICE = 1 << 18
 #: Words that are sorted before they are counted.
 COUNTED_AT_ONCE = 1 << 20
+#: Postings that a task puts in order before it hands them on.
+PACKED_AT_ONCE = 1 << 19
 #: Rows over which comparisons are run at once.
 STRETCH = 1 << 17
 #: Sets that one task compares for a word; a word of more sets is dealt to more tasks.
 WORD_SETS = 1 << 16
+#: Columns whose values hardly repeat.
+HASHES = ("k1", "k2", "words", "skipped", "later", "earlier")
 _BLOCK_BITS = 16
 #: 64 parities each.
 _BITS = [f"bits{k}" for k in range(2)]
+#: A posting as it moves, beside the id of its set's first line. Above two flags there is the half.
+_POST = np.dtype(
+    [("word", np.uint64), ("k1", np.int64)]
+    + [(c, np.uint32) for c in ("n", "place", "line", "flags")]
+    + [(b, np.int64) for b in _BITS]
+)
+_ASKS, _ALONE = 1, 2
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """As ``shared.written``; dictionaries of hashes would only cost time."""
+    return _written(df, label, keep, distinct=HASHES)
 
 
 def _code(counts: np.ndarray) -> np.ndarray:
@@ -207,6 +224,36 @@ def _values(pieces: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
+def _shown(sets: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the posting of each word that sets (k1, n, line, words, skipped) show."""
+    heads = len(_BITS)
+    shown, counts = _values(sets.column("words"), np.uint64)
+    skipped, _ = _values(sets.column("skipped"), np.uint32)
+    begins = np.cumsum(counts) - counts
+    counts = counts - heads
+    row = np.repeat(np.arange(len(counts)), counts)
+    index = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    posts = np.zeros(len(row), _POST)
+    posts["word"] = shown[begins[row] + heads + index]
+    posts["place"] = skipped + index
+    for c in ("k1", "n", "line"):
+        posts[c] = sets.column(c).to_numpy()[row]
+    for k, c in enumerate(_BITS):
+        posts[c] = shown[begins + k].view(np.int64)[row]
+    return row, posts
+
+
+def _taken(posts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``posts[order]``; rows of numbers are copied faster than records."""
+    numbers = posts.view(np.int64).reshape(len(posts), -1)
+    return numbers.take(order, axis=0).reshape(-1).view(_POST)
+
+
+def _showing(sets: DataFrame) -> DataFrame:
+    some = sets.where(F.length("words") > 8 * len(_BITS))
+    return some.select("first.id", "first.line", "k1", "n", "words", "skipped")
+
+
 def _posts(sets: DataFrame, asked: tuple[int, Broadcast] | None = None) -> DataFrame:
     """word, id, line, k1, size, parities: a row for each word that a set shows.
 
@@ -216,36 +263,93 @@ def _posts(sets: DataFrame, asked: tuple[int, Broadcast] | None = None) -> DataF
     schema = f"word bigint, id {kind.simpleString()}, line int, k1 bigint, size bigint" + "".join(
         f", {b} bigint" for b in _BITS
     )
-    heads = len(_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shown, counts = _values(batch.column("words"), np.uint64)
-            skipped, _ = _values(batch.column("skipped"), np.uint32)
-            begins = np.cumsum(counts) - counts
-            counts = counts - heads
-            row = np.repeat(np.arange(len(counts)), counts)
-            index = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            word = shown[begins[row] + heads + index]
-            place = skipped + index
+            row, posts = _shown(batch)
             if asked is not None:
-                keep = _in_filter(asked[0], np.frombuffer(asked[1].value, np.uint8), word)
-                row, word, place = row[keep], word[keep], place[keep]
-            rows = pa.array(row)
+                keep = _in_filter(asked[0], np.frombuffer(asked[1].value, np.uint8), posts["word"])
+                row, posts = row[keep], _taken(posts, np.flatnonzero(keep))
+            columns = {c: pa.array(np.ascontiguousarray(posts[c])) for c in ("k1", *_BITS)}
+            columns["word"] = pa.array(posts["word"].astype(np.int64))
+            columns["line"] = pa.array(posts["line"].astype(np.int32))
+            columns["id"] = batch.column("id").take(pa.array(row))
             # The set's size and the word's place in it, as one number.
-            size = (batch.column("n").to_numpy().astype(np.int64)[row] << 32) + place
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(word.view(np.int64)),
-                    *[batch.column(c).take(rows) for c in ("id", "line", "k1")],
-                    pa.array(size),
-                    *[pa.array(shown[begins + k].view(np.int64)[row]) for k in range(heads)],
-                ],
-                names=["word", "id", "line", "k1", "size", *_BITS],
-            )
+            columns["size"] = pa.array((posts["n"].astype(np.int64) << 32) + posts["place"])
+            names = ["word", "id", "line", "k1", "size", *_BITS]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return _showing(sets).mapInArrow(task, schema)
+
+
+def _dealt(posts: np.ndarray, hot: np.ndarray, halves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``posts``, and the postings that they become: more than one for a hot word.
+
+    ``hot`` is in order. The sets of such a word fall into halves, and each pair of halves meets
+    by itself, under a number that the larger half and the smaller one give.
+    """
+    at = np.minimum(np.searchsorted(hot, posts["word"]), len(hot) - 1)
+    is_hot = hot[at] == posts["word"]
+    times = np.where(is_hot, halves[at], 1)
+    half = mix(posts["k1"].astype(np.uint64), 70) % times.astype(np.uint64)
+    part = (np.cumsum(times) - 1) // PACKED_AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(posts)]
+    for a, b in zip(edges, edges[1:]):
+        row = np.repeat(np.arange(a, b), times[a:b])
+        other = np.arange(len(row)) - np.repeat(np.cumsum(times[a:b]) - times[a:b], times[a:b])
+        own, other = half[row], other.astype(np.uint64)
+        out = _taken(posts, row)
+        meeting = mix(mix(out["word"], 71) ^ np.minimum(own, other), 72) ^ np.maximum(own, other)
+        out["word"] = np.where(is_hot[row], mix(meeting, 73), out["word"])
+        alone = np.where(own == other, _ALONE, 0).astype(np.uint32)
+        out["flags"] = (out["flags"] & _ASKS) + alone + 4 * own.astype(np.uint32)
+        yield row, out
+
+
+def _packed_posts(rows: DataFrame, many: DataFrame, bits: int, read: Callable) -> DataFrame:
+    """group, ids, posts: postings by the first ``bits`` bits of their words, many in a row.
+
+    ``read`` gives the ids and the postings of a batch of ``rows``. Their tasks put them in
+    order, so Spark moves and sorts some large values and not each posting by itself.
+    """
+    kind = rows.schema["id"].dataType
+    schema = f"group bigint, ids array<{kind.simpleString()}>, posts binary"
+    held = sorted((r.hot % 2**64, r.halves) for r in many.collect())
+    hot, halves = (np.array(x, t) for x, t in zip(zip(*held), (np.uint64, np.int64))) if held else (None, None)
+
+    def packed(ids: pa.Array, posts: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(posts["word"])
+        posts, ids = _taken(posts, order), ids.take(pa.array(order))
+        group = (posts["word"] >> np.uint64(64 - bits)).astype(np.int64)
+        ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+        offsets = pa.array(np.append(0, ends), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(group[ends - 1]), pa.ListArray.from_arrays(offsets, ids), _pieces(posts, ends)],
+            names=["group", "ids", "posts"],
+        )
 
-    showing = sets.where(F.length("words") > 8 * heads)
-    return showing.select("first.id", "first.line", "k1", "n", "words", "skipped").mapInArrow(task, schema)
+    def joined(parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, posts = pa.concat_arrays([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        if hot is None:
+            yield packed(ids, posts)
+            return
+        for row, more in _dealt(posts, hot, halves):
+            yield packed(ids.take(pa.array(row)), more)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            ids, posts = read(batch)
+            if len(posts):
+                parts.append((ids, posts))
+                n += len(posts)
+            if n >= PACKED_AT_ONCE:
+                yield from joined(parts)
+                parts, n = [], 0
+        if n:
+            yield from joined(parts)
+
+    return rows.mapInArrow(task, schema)
 
 
 def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
@@ -326,64 +430,67 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
     return docs.select("id", "hash", "text").mapInArrow(task, schema)
 
 
-def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | None) -> DataFrame:
+def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | None, bits: int = 4) -> DataFrame:
+    """later, earlier, more: pairs that pass all filters, of postings in rows.
+
+    ``posts`` has word, id, line, k1, size, parities, asks.
+    """
+
+    def read(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+        columns = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in rows.schema.names if c != "id"}
+        out = np.zeros(rows.num_rows, _POST)
+        for c in ("word", "k1", "line", *_BITS):
+            out[c] = columns[c].view(np.uint64) if c == "word" else columns[c]
+        out["n"], out["place"] = columns["size"] >> 32, columns["size"] & ((1 << 32) - 1)
+        out["flags"] = np.where(columns["asks"], _ALONE + _ASKS, _ALONE)
+        return rows.column("id"), out
+
+    rows = posts.select("word", "id", "line", "k1", "size", *_BITS, "asks")
+    return _met(_packed_posts(rows, many, bits, read), threshold, most)
+
+
+def _first_offers(sets: DataFrame, many: DataFrame, threshold: float, most: int, bits: int) -> DataFrame:
+    """later, earlier, more: as ``_offers`` for all words that ``sets`` show, of which each asks."""
+
+    def read(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+        row, out = _shown(rows)
+        out["flags"] = _ALONE + _ASKS
+        return rows.column("id").take(pa.array(row)), out
+
+    return _met(_packed_posts(_showing(sets), many, bits, read), threshold, most)
+
+
+def _met(packed: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """later, earlier, more: pairs that pass all filters.
 
-    ``posts`` has word, id, line, k1, size, parities, asks. Rows of a word lie together and in
-    order; each that asks is held against those before it, the nearest first, until it has
-    ``most`` partners (``more`` then says that others may be left). Comparisons run over all
-    words of a stretch at once, one distance after the other. A word with many sets (``many``
-    has hot, halves) deals them to halves, and each pair of halves is compared by itself.
+    Postings of a word lie together and in order; each that asks is held against those before
+    it, the nearest first, until it has ``most`` partners (``more`` then says that others may be
+    left). Comparisons run over all words of a stretch at once, one distance after the other.
     """
-    if many.isEmpty():
-        half, alone, group = F.lit(0).cast("bigint"), F.lit(2), F.col("word")
-        dealt = posts
-    else:
-        half = F.coalesce(F.pmod(F.xxhash64("k1"), "halves"), F.lit(0))
-        others = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("halves"), F.lit(1)) - 1)
-        dealt = posts.join(many, F.col("word") == F.col("hot"), "left").select(
-            *posts.columns, half.alias("half"), F.explode(others).alias("other")
-        )
-        half = F.col("half")
-        alone = F.when(half == F.col("other"), 2).otherwise(0)
-        # The larger half and the smaller one name their meeting.
-        group = F.xxhash64("word", F.least("half", "other"), F.greatest("half", "other"))
-    dealt = dealt.select(
-        group.alias("group"),
-        "id",
-        "k1",
-        "size",
-        *_BITS,
-        # The line and the flags, as one number.
-        (
-            F.shiftleft(F.col("line").cast("long"), 32)
-            + 4 * half
-            + alone
-            + F.when(F.col("asks"), 1).otherwise(0)
-        ).alias("spot"),
-    )
     # By one number Spark sorts fastest; each stretch is put in order below.
-    grouped = dealt.repartition("group").sortWithinPartitions("group")
+    grouped = packed.repartition("group").sortWithinPartitions("group")
     by = [(c, "ascending") for c in ("group", "id", "line", "k1")]
 
-    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        groups = rows.column("group").to_numpy()
-        same = groups[1:] == groups[:-1]
-        # A set alone with its word meets nothing.
-        rows = rows.filter(pa.array(np.append(same, False) | np.append(False, same)))
-        if not rows.num_rows:
+    def several(ids: pa.Array, posts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Without the sets that are alone with their word: they meet nothing."""
+        order = np.argsort(posts["word"])
+        words = posts["word"][order]
+        same = words[1:] == words[:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+        return ids.take(pa.array(order)), _taken(posts, order)
+
+    def pairs(parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, posts = pa.concat_arrays([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        if not len(posts):
             return
-        spot = rows.column("spot").to_numpy()
-        rows = rows.append_column("line", pa.array(spot >> 32))
-        order = pc.sort_indices(rows, sort_keys=by, null_placement="at_start")
-        rows = rows.select(["group", "k1", "size", *_BITS]).take(order)
-        flags = spot[order.to_numpy()] & ((1 << 32) - 1)
-        group, key, size, *bits = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
-        yield from offered(group, key, size, flags, *bits)
-
-    def offered(word, key, size, flags, *bits) -> Iterator[pa.RecordBatch]:
-        n, place = size >> 32, size & ((1 << 32) - 1)
-        asks, alone, half = flags & 1 > 0, flags & 2 > 0, flags >> 2
+        keys = [pa.array(np.ascontiguousarray(posts[c])) for c in ("word", "line", "k1")]
+        rows = pa.RecordBatch.from_arrays([keys[0], ids, *keys[1:]], names=["group", "id", "line", "k1"])
+        posts = _taken(posts, pc.sort_indices(rows, sort_keys=by, null_placement="at_start").to_numpy())
+        yield from offered(*(np.ascontiguousarray(posts[c]) for c in _POST.names))
+
+    def offered(word, key, n, place, line, flags, *bits) -> Iterator[pa.RecordBatch]:
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        asks, alone, half = flags & _ASKS > 0, flags & _ALONE > 0, flags >> 2
         dealt = not alone.all()
         rest = n - place
         begins = np.flatnonzero(np.diff(word, prepend=~word[0]))
@@ -420,20 +527,26 @@ def _offers(posts: DataFrame, many: DataFrame, threshold: float, most: int | Non
             live = live[keep]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        block, open_parts, parts, n = None, [], [], 0
         for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) < STRETCH:
-                continue
-            whole = pa.concat_batches(held)
-            # The last word may go on in the next batch.
-            groups = whole.column("group").to_numpy()
-            cut = int(np.searchsorted(groups, groups[-1], side="left"))
-            if cut:
-                yield from pairs(whole.slice(0, cut))
-            held = [whole.slice(cut)]
-        if sum(x.num_rows for x in held):
-            yield from pairs(pa.concat_batches(held))
+            groups = batch.column("group").to_numpy()
+            edges = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])).tolist()
+            for a, b in zip(edges, [*edges[1:], len(groups)]):
+                if open_parts and groups[a] != block:
+                    parts.append(several(*whole(open_parts)))
+                    n += len(parts[-1][1])
+                    open_parts = []
+                if n >= STRETCH:
+                    yield from pairs(parts)
+                    parts, n = [], 0
+                block = groups[a]
+                open_parts.append(batch.slice(a, b - a))
+        if open_parts:
+            yield from pairs([*parts, several(*whole(open_parts))])
+
+    def whole(rows: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
+        ids = pa.concat_arrays([x.column("ids").flatten() for x in rows])
+        return ids, np.concatenate([_values(x.column("posts"), _POST)[0] for x in rows])
 
     return grouped.mapInArrow(task, "later bigint, earlier bigint, more boolean")
 
@@ -528,7 +641,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         smallest = math.ceil(threshold / (1 - threshold) - 1e-9)
 
     large = sets.where(F.col("n") >= smallest)
-    posts = _posts(large)
+    # A posting takes eight bytes at least, so a block of them is a stretch or less.
+    bits = max(1, (estimated_bytes(sets) // (8 * STRETCH)).bit_length())
     many = written(
         _posts(large.where("often"))
         .groupBy("word")
@@ -537,7 +651,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select(F.col("word").alias("hot"), F.ceil(F.col("count") / (WORD_SETS // 2)).alias("halves")),
         "line-words",
     )
-    offers = written(_offers(posts.withColumn("asks", F.lit(True)), many, threshold, OFFERS), "line-offers")
+    offers = written(_first_offers(large, many, threshold, OFFERS, bits), "line-offers")
     matched = written(_matched(docs, sets, offers, threshold), "line-matches")
     # Lines with more partners than were tried, and no match among those.
     open_sets = written(
@@ -556,7 +670,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             .join(open_sets.withColumn("asks", F.lit(True)), "k1", "left")
         )
         asking = asking.withColumn("asks", F.coalesce("asks", F.lit(False)))
-        rest = _offers(asking, many, threshold, None)
+        rest = _offers(asking, many, threshold, None, bits)
         rest = rest.join(offers.select("later", "earlier").distinct(), ["later", "earlier"], "left_anti")
         matched = matched.union(written(_matched(docs, sets, rest, threshold), "line-matches"))
     # Only lines of these sets may go; of a set with one line it goes if the set has a match.
@@ -607,12 +721,14 @@ def dedup_lines(
         places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
         return F.transform(places, lambda i: F.get(lines, i))
 
+    # Line feeds are counted without building the lines.
+    n_lines = F.octet_length(value) - F.octet_length(F.replace(value, F.lit("\n"), F.lit(""))) + 1
     # As the only element of an array the lines are split once, and not for every place.
     kept = F.transform(F.array(parts), left)[0]
     return joined.select(
         "_row",
         F.when(F.col("lines").isNull(), value).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(value.isNotNull(), F.size(parts)).otherwise(0).cast("long").alias("n_lines"),
+        F.when(value.isNotNull(), n_lines).otherwise(0).cast("long").alias("n_lines"),
         F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).cast("long").alias("n_removed"),
     )
 

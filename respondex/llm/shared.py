@@ -42,14 +42,15 @@ def passing(spark: SparkSession) -> Iterator[None]:
             drop_scratch(spark, path)
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, keep: bool = False, distinct: tuple[str, ...] = ()) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder; its lineage ends there.
 
     Lost executors then cost a read and not a recomputation, and several readers share
-    one evaluation. The folder may be deleted once the session is over.
+    one evaluation. The folder may be deleted once the session is over. Columns named by
+    ``distinct`` get no dictionary.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in distinct}).parquet(path)
     open_blocks = _passing[:-1] if keep else _passing
     if open_blocks:
         open_blocks[-1].append(path)
