@@ -46,7 +46,8 @@ STRETCH = 1 << 17
 #: Sets that one task compares for a word; a word of more sets is dealt to more tasks.
 WORD_SETS = 1 << 16
 #: Columns whose values hardly repeat.
-HASHES = ("k1", "k2", "words", "skipped", "later", "earlier")
+HASHES = ("k1", "k2", "words", "skipped")
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BLOCK_BITS = 16
 #: 64 parities each.
 _BITS = [f"bits{k}" for k in range(2)]
@@ -60,8 +61,17 @@ _ASKS, _ALONE = 1, 2
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """As ``shared.written``; dictionaries of hashes would only cost time."""
-    return _written(df, label, keep, distinct=HASHES)
+    """As ``shared.written``; dictionaries of hashes would only cost time.
+
+    Shuffle files go once the table is there, and not when the driver happens to collect garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANED, None)
+    conf.set(_CLEANED, "true")
+    try:
+        return _written(df, label, keep, distinct=HASHES)
+    finally:
+        conf.unset(_CLEANED) if before is None else conf.set(_CLEANED, before)
 
 
 def _code(counts: np.ndarray) -> np.ndarray:
@@ -282,6 +292,23 @@ def _posts(sets: DataFrame, asked: tuple[int, Broadcast] | None = None) -> DataF
     return _showing(sets).mapInArrow(task, schema)
 
 
+def _often_shown(sets: DataFrame) -> DataFrame:
+    """word, sets: counts by parts of the words that the sets mark as often shown."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown, counts = _values(batch.column("words"), np.uint64)
+            often = batch.column("often").to_numpy()
+            ends = np.cumsum(often)
+            # The last ones of each set.
+            at = np.arange(ends[-1]) + np.repeat(np.cumsum(counts) - ends, often)
+            words, n = np.unique(shown[at], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "sets"])
+
+    marked = sets.where(F.col("often") > 0).select("words", "often")
+    return marked.mapInArrow(task, "word bigint, sets bigint")
+
+
 def _dealt(posts: np.ndarray, hot: np.ndarray, halves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of ``posts``, and the postings that they become: more than one for a hot word.
 
@@ -358,14 +385,14 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
     ``words`` holds the parities, then the words of the prefix that more than one line has, 8
     bytes each; ``skipped`` how many words of the prefix were left out before each of them, 4
     bytes each. Spark moves and compares such columns as they are, arrays number by number.
-    ``often`` says that one of the words may be in the prefixes of more than ``WORD_SETS``
-    sets. For a set that its slice has shown before, words and skipped are empty.
+    The last ``often`` words may be in the prefixes of more than ``WORD_SETS`` sets. For a set
+    that its slice has shown before, words and skipped are empty.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_counted(docs).tobytes())
     kind = docs.schema["id"].dataType
     schema = (
-        f"id {kind.simpleString()}, hash bigint, line int, k1 bigint, k2 bigint, n int, often boolean, "
+        f"id {kind.simpleString()}, hash bigint, line int, k1 bigint, k2 bigint, n int, often int, "
         "words binary, skipped binary"
     )
     many = _code(np.array([WORD_SETS]))[0]
@@ -400,7 +427,7 @@ def _prefixed(docs: DataFrame, threshold: float) -> DataFrame:
                 code = found.ranks >> np.uint64(56)
                 posted = (place < np.repeat(np.where(fresh, most, 0), sizes)) & (code > 1)
                 per_line = np.add.reduceat(posted, begins, dtype=np.int64)
-                often = np.logical_or.reduceat(posted & (code >= many), begins)
+                often = np.add.reduceat(posted & (code >= many), begins, dtype=np.int32)
                 ends = np.cumsum(per_line)
                 index = np.arange(ends[-1]) - np.repeat(ends - per_line, per_line)
                 head = np.cumsum(np.where(fresh, per_line + len(_BITS), 0))
@@ -644,11 +671,11 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A posting takes eight bytes at least, so a block of them is a stretch or less.
     bits = max(1, (estimated_bytes(sets) // (8 * STRETCH)).bit_length())
     many = written(
-        _posts(large.where("often"))
+        _often_shown(large)
         .groupBy("word")
-        .count()
-        .where(F.col("count") > WORD_SETS)
-        .select(F.col("word").alias("hot"), F.ceil(F.col("count") / (WORD_SETS // 2)).alias("halves")),
+        .agg(F.sum("sets").alias("sets"))
+        .where(F.col("sets") > WORD_SETS)
+        .select(F.col("word").alias("hot"), F.ceil(F.col("sets") / (WORD_SETS // 2)).alias("halves")),
         "line-words",
     )
     offers = written(_first_offers(large, many, threshold, OFFERS, bits), "line-offers")
