@@ -40,14 +40,19 @@ SLICE = 1 << 18
 #: Words that are sorted before they are counted.
 COUNTED_AT_ONCE = 1 << 20
 #: Postings that a task puts in order before it hands them on.
-PACKED_AT_ONCE = 1 << 19
+PACKED_AT_ONCE = 1 << 17
 #: Rows over which comparisons are run at once.
 STRETCH = 1 << 17
 #: Sets that one task compares for a word; a word of more sets is dealt to more tasks.
 WORD_SETS = 1 << 16
 #: Columns whose values hardly repeat.
 HASHES = ("k1", "k2", "words", "skipped")
-_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch of large rows between Spark and its tasks' Python.
+BATCH = 1 << 20
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH),
+}
 _BLOCK_BITS = 16
 #: 64 parities each.
 _BITS = [f"bits{k}" for k in range(2)]
@@ -63,15 +68,18 @@ _ASKS, _ALONE = 1, 2
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """As ``shared.written``; dictionaries of hashes would only cost time.
 
-    Shuffle files go once the table is there, and not when the driver happens to collect garbage.
+    Shuffle files go once the table is there, and not when the driver happens to collect garbage;
+    batches are small whatever the rows hold.
     """
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANED, None)
-    conf.set(_CLEANED, "true")
+    before = {k: conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         return _written(df, label, keep, distinct=HASHES)
     finally:
-        conf.unset(_CLEANED) if before is None else conf.set(_CLEANED, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def _code(counts: np.ndarray) -> np.ndarray:
@@ -124,9 +132,12 @@ def _packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _key_filter(keys: DataFrame, column: str) -> tuple[int, Broadcast]:
-    """One bit for each entry that a key of the written table falls on, packed."""
-    wanted = (8 * keys.count()).bit_length()
+def _key_filter(keys: DataFrame, column: str, each: int = 8) -> tuple[int, Broadcast]:
+    """One bit for each entry that a key of the written table falls on, packed.
+
+    Of other keys one in ``each`` passes, or less, up to the largest size.
+    """
+    wanted = (each * keys.count()).bit_length()
     bits = min(max(wanted, _BLOCK_BITS), FILTER_BITS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,11 +368,13 @@ def _packed_posts(rows: DataFrame, many: DataFrame, bits: int, read: Callable) -
 
     def joined(parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids, posts = pa.concat_arrays([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-        if hot is None:
-            yield packed(ids, posts)
-            return
-        for row, more in _dealt(posts, hot, halves):
-            yield packed(ids.take(pa.array(row)), more)
+        dealt = [(None, posts)] if hot is None else _dealt(posts, hot, halves)
+        for row, more in dealt:
+            out = packed(ids if row is None else ids.take(pa.array(row)), more)
+            # Small batches; Spark keeps the buffers of large ones.
+            at_once = max(1, out.num_rows * BATCH // max(1, out.nbytes))
+            for k in range(0, out.num_rows, at_once):
+                yield out.slice(k, at_once)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -375,6 +388,8 @@ def _packed_posts(rows: DataFrame, many: DataFrame, bits: int, read: Callable) -
                 parts, n = [], 0
         if n:
             yield from joined(parts)
+        parts = batch = ids = posts = None
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(task, schema)
 
@@ -570,6 +585,9 @@ def _met(packed: DataFrame, threshold: float, most: int | None) -> DataFrame:
                 open_parts.append(batch.slice(a, b - a))
         if open_parts:
             yield from pairs([*parts, several(*whole(open_parts))])
+        # The workers stay, and what they hold counts beside the executor's own memory.
+        parts = open_parts = batch = None
+        pa.default_memory_pool().release_unused()
 
     def whole(rows: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray]:
         ids = pa.concat_arrays([x.column("ids").flatten() for x in rows])
@@ -692,7 +710,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         asked = _posts(large.join(open_sets, "k1", "left_semi")).select("word").distinct()
         asked = written(asked, "line-asked")
         asking = (
-            _posts(large, _key_filter(asked, "word"))
+            _posts(large, _key_filter(asked, "word", 128))
             .join(asked, "word", "left_semi")
             .join(open_sets.withColumn("asks", F.lit(True)), "k1", "left")
         )
