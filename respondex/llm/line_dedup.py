@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respondex.llm.hashing import lines_of, mix, offsets_of, order_of, slices, words_by_eights
@@ -65,21 +66,26 @@ _POST = np.dtype(
 _ASKS, _ALONE = 1, 2
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """As ``shared.written``; dictionaries of hashes would only cost time.
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go once a job is done, and not when the driver happens to collect garbage.
 
-    Shuffle files go once the table is there, and not when the driver happens to collect garbage;
-    batches are small whatever the rows hold.
+    Batches are small whatever the rows hold.
     """
-    conf = df.sparkSession.conf
-    before = {k: conf.get(k, None) for k in _WRITING}
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
-            conf.set(k, v)
-        return _written(df, label, keep, distinct=HASHES)
+            spark.conf.set(k, v)
+        yield
     finally:
         for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """As ``shared.written``; dictionaries of hashes would only cost time."""
+    with _writing(df.sparkSession):
+        return _written(df, label, keep, distinct=HASHES)
 
 
 def _code(counts: np.ndarray) -> np.ndarray:
@@ -112,7 +118,9 @@ def _table(parts: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, np.uint8)
     dealt = parts.repartition("block").mapInArrow(task, "block int, codes binary")
-    for row in dealt.collect():
+    with _writing(parts.sparkSession):
+        rows = dealt.collect()
+    for row in rows:
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(row.codes, np.uint8)
     return out
 
