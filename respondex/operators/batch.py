@@ -27,6 +27,7 @@ def search_batch(
     key: str = STUDENT_KEY,
     questions: Sequence[str] = QUESTIONS,
     nearest: Callable[[DataFrame, DataFrame, int], DataFrame] = nearest_answers,
+    students: DataFrame | None = None,
 ) -> DataFrame:
     """For every question in ``queries(qid, vector)`` what ``search`` gives, plus a rank.
 
@@ -38,9 +39,10 @@ def search_batch(
 
     The pass over the vectors runs here and leaves its winners, ``limit`` keys per
     question, in a scratch table; texts are fetched when the caller acts. ``queries``
-    should be a stored table, as it is read more than once.
+    should be a stored table, as it is read more than once. ``students`` are what ``students_of``
+    gives for the survey, if the caller has stored them.
     """
-    students = students_of(survey, key)
+    students = students_of(survey, key) if students is None else students
     candidates = answers_of(embeddings, students.filter(F.col("_student").isNotNull()))
     path = scratch_path(survey.sparkSession, "winners")
     nearest(candidates, queries, limit).write.parquet(path)

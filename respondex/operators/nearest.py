@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +118,21 @@ def _nearest_block(embeddings: DataFrame, asked: pa.Table, limit: int) -> DataFr
     return first_of_each(local, limit)
 
 
-def first_of_each(local: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` pairs of every question, with their ``rank``."""
-    order = [F.asc_nulls_last(c) for c in ("result_distance", "student_id", "question_id")]
+def first_of_each(
+    local: DataFrame,
+    limit: int,
+    by: Sequence[str] = ("result_distance", "student_id", "question_id"),
+    few: int | None = None,
+) -> DataFrame:
+    """The first ``limit`` pairs of every question, with their ``rank``.
+
+    ``few``: the number of tasks, if each has about ``limit`` pairs of a question already. Up to
+    as many as the middle tasks these would drop nothing.
+    """
+    order = [F.asc_nulls_last(c) for c in sorted(by, key=lambda c: c != "result_distance")]
     local = local.withColumn("_middle", F.spark_partition_id() % _MIDDLE_TASKS)
-    for groups in (("qid", "_middle"), ("qid",)):
+    ways = [("qid", "_middle"), ("qid",)]
+    for groups in ways[1:] if few is not None and few <= _MIDDLE_TASKS else ways:
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
         local = local.withColumn("rank", rank).filter(F.col("rank") <= limit)
     return local.drop("_middle")

@@ -198,3 +198,55 @@ def test_equal_vectors_fill_a_cell_of_their_own(spark, stored, tables, tmp_path)
     for limit in (200,):
         want = result_rows(search(survey, vectors, [3.0] * DIM, limit=limit))
         assert result_rows(search_cells(survey, str(tmp_path / "cells"), [3.0] * DIM, limit=limit)) == want
+
+
+def test_few_pairs_leave_a_task(spark, stored, tmp_path, monkeypatch):
+    """However the vectors of the cells lie: here each batch has some of all cells."""
+    rng = random.Random(11)
+    rows = [(str(i), "r1", [rng.gauss(0, 1) for _ in range(8)]) for i in range(1500)]
+    build_cells(stored(rows, EMBEDDINGS), str(tmp_path / "cells"), 8, cell_rows=15)
+    queries = stored([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)], QUERIES)
+    mixed = by_cell.cell_vectors(spark, str(tmp_path / "cells")).where("cell >= 0").repartition(1, "student_id")
+    passed, rank = [], by_cell.first_of_each
+
+    def counting(local, *more, **options):
+        passed.append(local.count())
+        return rank(local, *more, **options)
+
+    monkeypatch.setattr(by_cell, "first_of_each", counting)
+    assert by_cell._nearest_by_cell(mixed, queries, 2, str(tmp_path / "cells")).count() == 400
+    assert len(passed) == 2 and max(passed) <= 420
+
+
+def test_centres_are_not_tasks(spark, stored):
+    rng = random.Random(12)
+    rows = [(str(i), "r1", [rng.gauss(0, 1) for _ in range(DIM)]) for i in range(300)]
+    vectors = stored([*rows, *rows[:5]], EMBEDDINGS)
+    spark.sparkContext.setJobGroup("fit", "centres")
+    centres = by_cell._fit(vectors, 60, vectors.count())
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("fit") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = [x for x in map(tracker.getStageInfo, stages) if x]
+    assert found and max(x.numTasks for x in found) < 30
+    assert 50 <= len(centres) <= 60
+    # Each centre is the middle of its vectors, or nearly after so many rounds.
+    apart = [min(math.dist(r[2], c) for c in centres) for r in rows]
+    assert sum(apart) / len(apart) < 0.9
+
+
+@pytest.mark.parametrize("about, spread", [(0.0, 1.0), (300.0, 1e-3), (0.0, 1e-20), (1e9, 1e18)])
+def test_many_questions_where_single_precision_is_not_enough(spark, stored, tmp_path, about, spread):
+    """Vectors far from zero and close together, very short or very long ones, and ties."""
+    rng = random.Random(13)
+    vector = lambda wide: [about + wide * spread * rng.gauss(0, 1) for _ in range(DIM)]
+    some = [vector(1) for _ in range(150)] + [[about] * DIM] * 30
+    vectors = stored([(str(i), q, some[i]) for i in range(180) for q in ("r1", "r2")], EMBEDDINGS)
+    survey = stored([(str(i), "a", "b", None, None) for i in range(180)], SURVEY)
+    asked = [(i, vector(1)) for i in range(30)] + [(30 + i, vector(1e6)) for i in range(5)]
+    queries = stored([*asked, (40, [about] * DIM), (41, [3e38, -3e38, 1.0, 0.0]), (42, some[3])], QUERIES)
+    build_cells(vectors, str(tmp_path / "cells"), DIM, cell_rows=20)
+    columns = ["qid", "result_rank", "perm", "result_question_id", "result_distance"]
+    want = search_batch(survey, vectors, queries, limit=4).select(*columns)
+    found = search_cells_batch(survey, str(tmp_path / "cells"), queries, limit=4).select(*columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
